@@ -114,7 +114,7 @@ def _links(leaf: int, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray,
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9,
-    trees: int = 4, leaf_size: int = 1024, spill: float = 0.7, sample_rows: int = 40_000, seed: int = 17,
+    trees: int = 3, leaf_size: int = 1024, spill: float = 0.7, sample_rows: int = 40_000, seed: int = 17,
 ) -> DataFrame:
     """Rows (id, n_links, component_id, kept): one per input row.
 
@@ -146,6 +146,7 @@ def near_duplicates(
     for v in picked:
         by_dim.setdefault(len(v), []).append(v)
     chord = float(np.sqrt(2 - 2 * threshold))
+    sent = np.float32 if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else np.float64
     forest = {}
     for dim, sample in by_dim.items():
         points = _unit(np.array(sample, dtype=np.float64))
@@ -167,12 +168,12 @@ def near_duplicates(
                 order = np.lexsort((code, row))
                 row, code = row[order], code[order]
                 cells = np.split(code, np.flatnonzero(np.diff(row)) + 1)
-                blobs, own = [c.tobytes() for c in cells], [p.tobytes() for p in points]
+                blobs, own = [c.tobytes() for c in cells], [p.tobytes() for p in points.astype(sent)]
                 ids, copies = part["id"].to_numpy(), part["copies"].to_numpy()
                 yield pd.DataFrame({"dim": dim, "leaf": code, "id": ids[row], "copies": copies[row], "v": [own[k] for k in row], "cells": [blobs[k] for k in row]})
 
     def compare(key, group):
-        points = np.frombuffer(b"".join(group["v"]), dtype=np.float64).reshape(len(group), -1)
+        points = np.frombuffer(b"".join(group["v"]), dtype=sent).reshape(len(group), -1).astype(np.float64)
         cells = [np.frombuffer(b, dtype=np.int64) for b in group["cells"]]
         return _links(int(key[1]), group["id"].to_numpy(), group["copies"].to_numpy().astype(np.float64), points, cells, threshold)
 
