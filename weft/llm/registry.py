@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import rp_forest
+from weft.llm import crf_toxicity, mil_quality, ppm_language, rp_forest
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -33,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to a function of (spark, sf_dir)."""
     return {
         "op1_embedding_near_dedup": rp_forest.op1_embedding_near_dedup,
+        "op3_quality": mil_quality.op3_quality,
+        "op5_language_id": ppm_language.op5_language_id,
+        "op7_toxicity": crf_toxicity.op7_toxicity,
     }
 
 
