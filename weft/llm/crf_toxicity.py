@@ -7,11 +7,11 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import held_out, labelled_sample, small_batches
+from weft.llm.texts import append, held_out, sample_of_labels, small_batches, strings
 
 _WORD = re.compile(r"\w+")
 _HASHES = [(np.uint64(m), np.uint64(c)) for m, c in ((2654435, 97), (40503, 7919), (1597334, 104729), (69069, 1299709))]
@@ -216,12 +216,12 @@ def train(texts: list[str], toxic: np.ndarray, window: int = 64, max_windows: in
 
 def tag(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, span_threshold: float = 0.5, per_label_bytes: int = 6_000_000, max_doc_bytes: int = 65_536, seed: int = 7,
+    threshold: float = 0.3, span_threshold: float = 0.5, per_label: int = 2_000, max_doc_bytes: int = 65_536, seed: int = 7,
 ) -> DataFrame:
     """Rows (id, held_out, score, predicted, spans), one per input row.
 
     The field is learnt from a seeded sample of labelled rows outside fold 2:
-    about `per_label_bytes` of whole texts per label, each of `max_doc_bytes` at
+    about `per_label` whole texts of each label, of `max_doc_bytes` at the
     most. Tokens are labelled from the documents' labels, then every whole text
     is tagged: score rises with the largest forward-backward marginal, spans
     lists (start, end, p) in code points of the runs of tokens with a marginal
@@ -230,31 +230,48 @@ def tag(
     every score is 0. Null labels are ignored, a document labelled twice is
     learnt twice. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(marks, "__id")
-    sample = labelled_sample(known, "__label", "__id", "__text", per_label_bytes, max_doc_bytes, seed)
-    sample = sample[sample["label"].isin([0, 1])]
-    field = spark.sparkContext.broadcast(train(list(sample["text"]), sample["label"].to_numpy(dtype=np.int64)))
-
-    def score(batches):
-        own = field.value
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            scores, spans = np.zeros(len(texts)), [[] for _ in texts]
-            if own is not None and texts:
-                tokens = [words(t) for t in texts]
-                marginals = own.marginals(tokens)
-                scores = own.score(marginals)
-                for k, m in enumerate(marginals):
-                    if len(m) and m.max() >= span_threshold:
-                        spans[k] = runs(texts[k], m, span_threshold)
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans})
+    field = learn(docs, labels, id_col, text_col, label_col, per_label, max_doc_bytes, seed)
+
+    def score(batch):
+        texts = strings(batch, "text")
+        scores, marginals = own_scores(field.value, texts)
+        spans = [runs(t, m, span_threshold) if len(m) and m.max() >= span_threshold else [] for t, m in zip(texts, marginals, strict=True)]
+        return {"score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans}
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(score, f"id {kind}, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
+    new = {"score": ("double", pa.float64()), "predicted": ("int", pa.int32()), "spans": ("array<struct<start:int,end:int,p:double>>", span)}
+    return append(rows, ["id", "held_out"], lambda: score, new)
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, max_doc_bytes: int, seed: int):
+    """The field, sent to all executors; None inside where the labels allow none."""
+    sample = sample_of_labels(docs, labels, label_col, id_col, text_col, per_label, max_doc_bytes, seed)
+    return docs.sparkSession.sparkContext.broadcast(train(list(sample["text"]), sample["label"].to_numpy(dtype=np.int64)))
+
+
+def own_scores(field: Field | None, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Scores and marginals of whole texts."""
+    if field is None or not texts:
+        return np.zeros(len(texts)), [np.zeros(0)] * len(texts)
+    marginals = field.marginals([words(t) for t in texts])
+    return field.score(marginals), marginals
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    threshold: float = 0.3, per_label: int = 2_000, max_doc_bytes: int = 65_536, seed: int = 7,
+) -> DataFrame:
+    """The rows of `docs` that score below `threshold` under the field that `tag` would learn; all columns as they are."""
+    field = learn(docs, labels, id_col, text_col, label_col, per_label, max_doc_bytes, seed)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(own_scores(field.value, strings(batch, text_col))[0] < threshold))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def runs(text: str, marginals: np.ndarray, least: float) -> list[dict]:

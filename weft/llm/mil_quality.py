@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import held_out, labelled_sample, small_batches
+from weft.llm.texts import append, held_out, sample_of_labels, small_batches, strings
 
 # Classes of code points, chosen here: letters by case and script block, digits, blanks, line ends and marks of their own.
 _MARKS = ".,!?|#$%&*:;-_@/()\"'<>="
@@ -156,12 +156,12 @@ def train(texts: list[str], y: np.ndarray, size: int = 500, hidden: int = 24, ga
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    threshold: float = 0.7, per_label_bytes: int = 5_000_000, max_doc_bytes: int = 65_536, passage: int = 500, seed: int = 23,
+    threshold: float = 0.7, per_label: int = 1_500, max_doc_bytes: int = 65_536, passage: int = 500, seed: int = 23,
 ) -> DataFrame:
     """Rows (id, held_out, score, predicted), one per input row.
 
     The model is learnt from a seeded sample of labelled rows outside fold 2:
-    about `per_label_bytes` of whole texts per label, each of `max_doc_bytes` at
+    about `per_label` whole texts of each label, of `max_doc_bytes` at the
     most. Every whole text is then cut into passages of `passage` code points,
     each passage encoded, and the attention-weighted sum scored. A null text
     counts as empty: one empty passage. Where the labels allow no model every
@@ -169,21 +169,16 @@ def classify(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(marks, "__id")
-    sample = labelled_sample(known, "__label", "__id", "__text", per_label_bytes, max_doc_bytes, seed)
-    sample = sample[sample["label"].isin([0, 1])]
+    sample = sample_of_labels(docs, labels, label_col, id_col, text_col, per_label, max_doc_bytes, seed)
     model = spark.sparkContext.broadcast(train(list(sample["text"]), sample["label"].to_numpy(dtype=np.int64), passage))
 
-    def score(batches):
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            scores = model.value.scores(texts, passage) if model.value is not None else np.full(len(texts), 0.5)
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
+    def score(batch):
+        texts = strings(batch, "text")
+        scores = model.value.scores(texts, passage) if model.value is not None else np.full(len(texts), 0.5)
+        return {"score": scores, "predicted": (scores >= threshold).astype(np.int32)}
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(score, f"id {kind}, held_out boolean, score double, predicted int")
+    return append(rows, ["id", "held_out"], lambda: score, {"score": ("double", pa.float64()), "predicted": ("int", pa.int32())})
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

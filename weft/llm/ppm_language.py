@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import held_out, labelled_sample, small_batches
+from weft.llm.texts import append, held_out, labelled_sample, small_batches, strings
 
 _UNIT = 1 << 16  # code lengths are whole numbers of 1 / _UNIT bits: sums don't depend on their order
 _OTHER = 0  # the symbol of bytes that were never learnt, and of the places before a text
@@ -153,23 +153,27 @@ def identify(
     texts = {str(lang): [t.encode() for t in part["text"]] for lang, part in sample.groupby("label") if part["text"].str.len().sum()}
     trees = spark.sparkContext.broadcast(ContextTrees(texts) if texts else None)
 
-    def score(batches):
-        for batch in batches:
-            lang, share, bits = np.full(len(batch), "und", object), np.zeros(len(batch)), np.full(len(batch), np.nan)
-            at = np.flatnonzero(batch["letters"].to_numpy(bool))
-            if len(at) and trees.value is not None:
-                lengths = trees.value.code_lengths([t.encode() for t in batch["text"].iloc[at]])
+    def make():
+        own = trees.value
+
+        def score(batch):
+            n = batch.num_rows
+            lang, share, bits = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan)
+            at = np.flatnonzero(batch.column("letters").to_numpy(zero_copy_only=False))
+            if len(at) and own is not None:
+                texts = strings(batch, "text")
+                lengths = own.code_lengths([texts[k].encode() for k in at])
                 best = lengths.argmin(1)
                 least = lengths[np.arange(len(at)), best]
-                lang[at] = np.array(trees.value.langs, object)[best]
+                lang[at] = np.array(own.langs, object)[best]
                 share[at] = 1 / np.exp2(-np.minimum((lengths - least[:, None]) / _UNIT, 1000.0)).sum(1)
                 bits[at] = least / _UNIT
-            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"], "lang_pred": lang, "score": share, "bits": bits})
+            return {"lang_pred": lang, "score": share, "bits": bits}
+
+        return score
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.mapInPandas(score, f"id {kind}, held_out boolean, lang_pred string, score double, bits double")
-    return scored.withColumn("bits", F.when(~F.isnan("bits"), F.col("bits")))
+    return append(rows, ["id", "held_out"], make, {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "bits": ("double", pa.float64())})
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,49 @@ def labelled_sample(
         limit = F.when(F.col("label") == F.lit(row["label"]), int(share * (1 << 30))).otherwise(limit)
     picked = usable.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < limit)
     return picked.toPandas().sort_values(["label", "id", "text"], kind="stable", ignore_index=True)[["label", "text"]]
+
+
+def sample_of_labels(
+    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_label: int, max_doc_bytes: int, seed: int
+) -> pd.DataFrame:
+    """Rows (label, text) of a seeded sample of labels 0 and 1 outside fold 2.
+
+    About `per_label` rows of each label are picked from the labels alone; their
+    ids, no more than that, are broadcast to fetch the whole texts in one scan.
+    Documents over `max_doc_bytes` are left out. Null labels and ids don't
+    count; a document labelled twice is there twice.
+    """
+    usable = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)").where(fold("__id") != 2)
+    limit = F.lit(-1)
+    for row in usable.groupBy("__label").count().collect():
+        limit = F.when(F.col("__label") == row["__label"], int(min(1.0, per_label / row["count"]) * (1 << 30))).otherwise(limit)
+    ids = usable.where(F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 30)) < limit)
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).where(F.octet_length("text") <= max_doc_bytes)
+    picked = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id")).select("__id", F.col("__label").alias("label"), "text")
+    return picked.toPandas().sort_values(["label", "__id", "text"], kind="stable", ignore_index=True)[["label", "text"]]
+
+
+def append(df: DataFrame, keep: list[str], make: Callable, new: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """`keep` columns of df, untouched, and `new` ones (name: its SQL and Arrow types) from a function of Arrow batches.
+
+    make() is called once a task; what it returns maps a batch to a dict of
+    columns. Kept columns never pass through pandas, so nulls and large integers
+    stay as they are.
+    """
+
+    def run(batches):
+        columns = make()
+        for batch in batches:
+            found = columns(batch)
+            arrays = [batch.column(c) for c in keep] + [pa.array(found[c], type=kind, from_pandas=True) for c, (_, kind) in new.items()]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *new])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep] + [f"`{c}` {kind}" for c, (kind, _) in new.items()]
+    order = {c: k for k, c in enumerate(keep)}
+    kinds[: len(keep)] = sorted(kinds[: len(keep)], key=lambda k: order[k[1:].split("`")[0]])
+    return df.mapInArrow(run, ", ".join(kinds))
+
+
+def strings(batch: pa.RecordBatch, column: str) -> list[str]:
+    """A text column with null texts as empty ones."""
+    return [t or "" for t in batch.column(column).to_pylist()]
