@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import crf_toxicity, mil_quality, ppm_language, rp_forest
+from weft.llm import best_fit_packing, budget_mix, chat_events, crf_toxicity, dart_minhash, lossless_webp, mil_quality, ppm_language, rp_forest, suffix_dedup
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -33,9 +33,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to a function of (spark, sf_dir)."""
     return {
         "op1_embedding_near_dedup": rp_forest.op1_embedding_near_dedup,
+        "op2_source_mix": budget_mix.op2_source_mix,
         "op3_quality": mil_quality.op3_quality,
+        "op4_minhash_near_dedup": dart_minhash.op4_minhash_near_dedup,
         "op5_language_id": ppm_language.op5_language_id,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_toxicity": crf_toxicity.op7_toxicity,
+        "op8_media": lossless_webp.op8_media,
+        "op9_chat_format": chat_events.op9_chat_format,
+        "op10_packing": best_fit_packing.op10_packing,
     }
 
 
