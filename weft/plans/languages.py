@@ -98,5 +98,5 @@ def mask_column(language: Language, rank: Column) -> Column:
     """`Language.bit` as a column."""
     if not language.k:
         return F.lit(0)
-    bit = F.shiftleft(F.lit(1), F.pmod(rank, F.lit(language.k)).cast("int")) if language.k > 1 else F.lit(1)
+    bit = F.pow(F.lit(2), F.pmod(rank, F.lit(language.k))).cast("int")
     return bit if language.exclude is None else F.when(rank == language.exclude, 0).otherwise(bit)
