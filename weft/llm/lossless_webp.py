@@ -126,10 +126,11 @@ def canonical(lens: np.ndarray) -> np.ndarray:
 class Table:
     """Symbol and length by the next bits; a code of one symbol takes no bits."""
 
-    def __init__(self, lens: np.ndarray):
-        used = np.flatnonzero(lens)
+    def __init__(self, lens: np.ndarray | None, only: int = 0):
+        """From code lengths, or for the code of `only` one symbol."""
+        used = np.flatnonzero(lens) if lens is not None else ()
         if len(used) < 2:
-            self.bits, self.symbols, self.lens = 0, np.array([used[0] if len(used) else 0], np.uint16), np.zeros(1, np.uint8)
+            self.bits, self.symbols, self.lens = 0, np.array([used[0] if len(used) else only], np.uint16), np.zeros(1, np.uint8)
         else:
             self.bits = int(lens.max())
             if sum(1 << (self.bits - int(n)) for n in lens[used]) != 1 << self.bits:
@@ -158,17 +159,17 @@ class Table:
 def write_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write the prefix code for these counts; its codes and lengths."""
     used = np.flatnonzero(counts)
-    lens = code_lengths(counts, 15)
-    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+    if len(used) < 2 and (not len(used) or used[0] < 256):
         first = int(used[0]) if len(used) else 0
-        w.put(1, 1)
-        w.put(max(0, len(used) - 1), 1)
-        w.put(int(first > 1), 1)
+        w.put(1 | int(first > 1) << 2, 3)
         w.put(first, 8 if first > 1 else 1)
-        if len(used) == 2:
-            w.put(int(used[1]), 8)
-            return canonical(lens), lens
         return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    lens = code_lengths(counts, 15)
+    if len(used) == 2 and used[1] < 256:
+        w.put(3 | int(used[0] > 1) << 2, 3)
+        w.put(int(used[0]), 8 if used[0] > 1 else 1)
+        w.put(int(used[1]), 8)
+        return canonical(lens), lens
     tokens: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
     flat, k, last = lens.tolist(), 0, 8
     end = len(flat)
@@ -222,6 +223,8 @@ def read_code(r: Reader, size: int) -> Table:
         symbols = [r.get(8 if wide else 1)] + ([r.get(8)] if two else [])
         if max(symbols) >= size:
             raise ValueError("a symbol is outside its alphabet")
+        if not two:
+            return Table(None, symbols[0])
         lens[symbols] = 1
         return Table(lens)
     small = np.zeros(19, np.int64)
@@ -441,23 +444,35 @@ def _read_literals(r: Reader, n: int, codes: list[Table], step: int = 1 << 16) -
         for k in (1, 2, 3):
             words |= part[k : len(part) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
         peeks = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
-        starts = np.arange(8 * (len(words) - 8))
-        at = starts
+        most = 8 * (len(words) - 8)
+        at = np.arange(most + 1, dtype=np.int32)
         for k in live:
             at = at + tables[k].lens[peeks[at] & np.uint32((1 << tables[k].bits) - 1)]
-        follow, here, found, left = at.tolist(), r.at & 7, [], n - done
-        add, most = found.append, len(starts)
-        while here < most and left:
-            add(here)
-            here = follow[here]
-            left -= 1
-        at = np.array(found)
+        at[most] = most
+        # the ways of 1, 2, 4, ... pixels from each bit; the longest are walked, the shorter fill in between
+        ways = [np.minimum(at, most)]
+        for _ in range(7):
+            ways.append(ways[-1][ways[-1]])
+        far, here, found = ways.pop(), r.at & 7, []
+        while here < most:
+            found.append(here)
+            here = int(far[here])
+        at = np.array(found, np.int32)
+        for way in reversed(ways):
+            at = np.stack([at, way[at]], 1).ravel()
+        at = at[at < most][: n - done]
+        found = len(at)
+        end = int(ways[0][at[-1]]) if found else most
+        if end == most:  # the last pixel may end beyond the stretch: its own length tells where
+            end = int(at[-1])
+            for k in live:
+                end += int(tables[k].lens[peeks[end] & np.uint32((1 << tables[k].bits) - 1)])
         for k in live:
             peek = peeks[at] & np.uint32((1 << tables[k].bits) - 1)
-            out[done : done + len(found)] |= tables[k].symbols[peek].astype(np.uint32) << np.uint32(place[k])
+            out[done : done + found] |= tables[k].symbols[peek].astype(np.uint32) << np.uint32(place[k])
             at = at + tables[k].lens[peek]
-        done += len(found)
-        r.at = base * 8 + here
+        done += found
+        r.at = base * 8 + end
     return out
 
 
@@ -551,7 +566,7 @@ def _bundle(size: int) -> int:
 
 
 def encode(pixels: np.ndarray, transforms: tuple[str, ...] = ("palette",), refs: bool = False, cache_bits: int = 0, meta_bits: int = 0) -> bytes:
-    """A lossless WebP file of pixels: (height, width) grey samples or (height, width, 4) red, green, blue, alpha.
+    """A lossless WebP file of pixels: (height, width, 4) red, green, blue, alpha, or (height, width) samples, which become the green channel.
 
     transforms, in order: any of predictor, cross_color, subtract_green and
     palette (last, where at most 256 colours occur).
@@ -566,7 +581,7 @@ def encode(pixels: np.ndarray, transforms: tuple[str, ...] = ("palette",), refs:
     w.put(height - 1, 14)
     grey = pixels.ndim == 2
     if grey:
-        argb = None if transforms == ("palette",) else 0xFF000000 | pixels.ravel().astype(np.uint32) * 0x10101
+        argb = None if transforms == ("palette",) else 0xFF000000 | pixels.ravel().astype(np.uint32) << np.uint32(8)
     else:
         flat = pixels.reshape(-1, 4)
         argb = _argb(flat[:, [3, 0, 1, 2]].astype(np.int64))
@@ -599,7 +614,7 @@ def encode(pixels: np.ndarray, transforms: tuple[str, ...] = ("palette",), refs:
                 used = np.flatnonzero(np.bincount(pixels.ravel(), minlength=256))
                 place = np.zeros(256, np.uint8)
                 place[used] = np.arange(len(used))
-                index, colours = place[pixels.ravel()], 0xFF000000 | used.astype(np.uint32) * 0x10101
+                index, colours = place[pixels.ravel()], 0xFF000000 | used.astype(np.uint32) << np.uint32(8)
             else:
                 colours, index = np.unique(argb, return_inverse=True)
             if len(colours) > 256:
@@ -683,7 +698,7 @@ _UNIT = 576
 
 
 def store(payload: bytes, row: int = _UNIT) -> bytes:
-    """The bytes as grey samples of one or more lossless WebP files, one after another.
+    """The bytes as green samples of one or more lossless WebP files, one after another.
 
     The length is a positive multiple of `row`. A row holds `row` samples, or a
     multiple of them where a picture would be too high; what exceeds the largest
