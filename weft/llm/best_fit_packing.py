@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -27,22 +28,25 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.merge = self.whole.model.tokenize
+        # byte-level names: printable bytes stand for themselves, the others for what follows 255
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.names = {b: 256 + k for k, b in enumerate(rest)}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, split, odd, missing = self.known, {}, [], {}
+        known, split, odd = self.known, {}, []
         if len(known) > self.room:
             known.clear()
         for k, text in enumerate(texts):
             if _ODD.search(text):
                 odd.append(k)
-                continue
-            split[k] = _WORD.findall(unicodedata.normalize("NFC", text).lower())
-            missing.update(dict.fromkeys(w for w in set(split[k]) if w not in known))
-        names = list(missing)
-        for at in range(0, len(names), 5000):
-            for word, e in zip(names[at : at + 5000], self.whole.encode_batch(names[at : at + 5000], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+            else:
+                split[k] = _WORD.findall(unicodedata.normalize("NFC", text).lower())
+        for word in set().union(*split.values()):
+            if word not in known:
+                known[word] = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.names))]).tobytes()
         out = [b""] * len(texts)
         for k, own in split.items():
             out[k] = b"".join(map(known.__getitem__, own))
@@ -65,9 +69,6 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
     small_batches(docs.sparkSession)
 
     def tokenize(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder, end = WordTokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             found = [x + end for x in coder.ids(strings(batch, "text"))]
