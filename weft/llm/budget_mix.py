@@ -33,10 +33,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_limit: int
     left = budget - int((taken * sizes).sum())
     # give back some of the largest, at least while over the budget: room for the dynamic programme to choose anew
     room, spread = min(8 * int(sizes.max(initial=0)), dp_limit), max(1, int(taken.max(initial=0)) // 8)
-    for part in (spread, int(taken.max(initial=0))):
+    for part, want, widest in ((spread, room, room), (int(taken.max(initial=0)), room, room), (int(taken.max(initial=0)), 0, int(sizes.max(initial=0)))):
         for k in range(len(sizes) - 1, -1, -1):
-            if left < room and sizes[k]:
-                back = min(int(taken[k]), part, -(-(room - left) // int(sizes[k])))
+            if left < want and 0 < sizes[k] <= widest:
+                back = min(int(taken[k]), part, -(-(want - left) // int(sizes[k])))
                 taken[k] -= back
                 left += back * int(sizes[k])
     for k in range(len(sizes) - 1, -1, -1):
