@@ -48,6 +48,8 @@ def test_components(spark):
     got = rows(connected_components(spark.createDataFrame(edges, PAIRS)))
     assert got == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (5, 5)} | {(k, 100) for k in range(100, 161)}
     assert connected_components(spark.createDataFrame([], PAIRS)).count() == 0
+    assert rows(connected_components(spark.createDataFrame(edges, PAIRS), one_task=1000)) == got
+    assert connected_components(spark.createDataFrame([], PAIRS), one_task=1000).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))

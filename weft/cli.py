@@ -46,14 +46,13 @@ def parse(argv: list[str]) -> dict:
 
 def report(spark, options: dict) -> list[str]:
     """The lines of the report: counts, then pairs unless quiet."""
-    from weft.operators import graph
     from weft.plans import analyses
     from weft.session import materialise
     from weft.sources.edge_list import pair_lines, read_edges
 
     edges = materialise(read_edges(spark, options["graph"]))
     if options["valueflow"]:
-        edges = materialise(graph.value_flow_edges(edges))
+        edges = materialise(analyses.value_flow_edges(edges))
     under = materialise(analyses.under_approximation(edges, options["valueflow"], "auto"))
     over = materialise(analyses.over_approximation(edges, options["method"], under, options["valueflow"], "auto"))
     lines = [f"Under approximation paths: {under.count()}", "", f"Over approximation paths ({options['method']}): {over.count()}"]

@@ -9,6 +9,8 @@ from weft.functions.labels import paired
 from weft.operators.components import connected_components
 from weft.session import materialise
 
+ONE_TASK = 1_000_000  # components of up to so many edges are found in one task
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Pairs with an edge of any label."""
@@ -22,7 +24,7 @@ def edge_count(edges: DataFrame, *by: str) -> DataFrame:
 
 def split(edges: DataFrame) -> DataFrame:
     """Adds `comp`, the smallest vertex of an edge's weak component; components of one vertex go, with their self-loops."""
-    parts = connected_components(edges.where("src <> dst"))
+    parts = connected_components(edges.where("src <> dst"), one_task=ONE_TASK)
     return edges.join(parts, edges["src"] == parts["vertex"]).select(*edges.columns, F.col("component").alias("comp"))
 
 
@@ -129,7 +131,7 @@ def representatives(pairs: DataFrame) -> DataFrame:
     """(vertex, rep): the least member of each cluster of vertices that `pairs` join both ways."""
     both = non_trivial(pairs).select("src", "dst").distinct()
     both = both.join(transposed(both), ["src", "dst"], "left_semi")
-    return connected_components(both).select("vertex", F.col("component").alias("rep"))
+    return connected_components(both, one_task=ONE_TASK).select("vertex", F.col("component").alias("rep"))
 
 
 def condense(edges: DataFrame, rep: DataFrame) -> DataFrame:

@@ -57,8 +57,7 @@ def useful_edges(edges: DataFrame, language: Language, strategy: str = "grouped"
     """Edges on paths of the language between different vertices."""
     if strategy == "relational":
         return fixpoint.Facts(graph.split(edges), language).useful().select(_EDGE)
-    schema = "src long, dst long, family string, side string, label long"
-    return by_component(edges, lambda own: pd.DataFrame(sorted(kernel.Solver(own, language).useful()), columns=_EDGE).astype({"src": "int64", "dst": "int64", "label": "int64"}), schema)
+    return by_component(edges, lambda own: _edge_frame(kernel.Solver(own, language).useful()), _EDGES_SQL)
 
 
 def under_approximation(edges: DataFrame, valueflow: bool = False, strategy: str = "grouped", largest: int = LARGEST) -> DataFrame:
@@ -81,18 +80,48 @@ def over_approximation(
     return graph.expand(over_approximation(small, method, None, valueflow, strategy, largest), rep)
 
 
+def with_pairs(edges: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
+    """What `run` makes of the edges and the pairs of each component; pairs across components are in none."""
+    parts = materialise(graph.split(edges.select(_EDGE)))
+    place = parts.select(F.col("src").alias("v"), "comp").union(parts.select(F.col("dst").alias("v"), "comp")).distinct()
+    own = pairs.select("src", "dst").join(place, F.col("src") == F.col("v")).select("src", "dst", F.col("comp").alias("own"))
+    return parts.groupBy("comp").cogroup(own.groupBy("own")).applyInPandas(lambda e, p: run(_edges(e), _pairs(p)), schema)
+
+
+def _edge_frame(edges) -> pd.DataFrame:
+    return pd.DataFrame(sorted(edges), columns=_EDGE).astype({"src": "int64", "dst": "int64", "label": "int64"})
+
+
+_EDGES_SQL = "src long, dst long, family string, side string, label long"
+
+
+def relevant_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`graph.relevant` by component: no round per step of a way."""
+    return with_pairs(edges, pairs, lambda e, p: _edge_frame(kernel.relevant(e, p)), _EDGES_SQL)
+
+
+def value_flow_edges(edges: DataFrame) -> DataFrame:
+    """`graph.value_flow_edges` by component."""
+    return by_component(edges, lambda own: _edge_frame(kernel.value_flow_edges(own)), _EDGES_SQL)
+
+
+def bracket_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`graph.bracket_pairs` by component."""
+    return with_pairs(edges, pairs, lambda e, p: _frame(kernel.bracket_pairs(e, p)), "src long, dst long")
+
+
 def on_demand(edges: DataFrame, known: DataFrame, upper: DataFrame, parity_d: bool = False, valueflow: bool = False, splits: int = 8) -> DataFrame:
     """Pairs between `known` and `upper` that stay when each is refined by itself.
 
     Pairs are independent: those of a component are dealt to `splits` tasks,
     each with the component's edges.
     """
-    edges = graph.relevant(edges.select(_EDGE), upper)
+    edges = materialise(relevant_edges(edges, upper))
     found = _refine_pairs(edges, known, upper, "default", valueflow, splits)
     if parity_d:
         return found
     found = materialise(found)
-    return _refine_pairs(graph.relevant(edges, found), known, found, "all", valueflow, splits)
+    return _refine_pairs(relevant_edges(edges, found), known, found, "all", valueflow, splits)
 
 
 def _refine_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method: str, valueflow: bool, splits: int) -> DataFrame:

@@ -41,7 +41,7 @@ def _on_demand(parity_d: bool) -> Query:
 
 
 def _value_flow(edges: DataFrame) -> DataFrame:
-    edges = materialise(graph.value_flow_edges(edges))
+    edges = materialise(analyses.value_flow_edges(edges))
     return analyses.over_approximation(edges, "parity2", None, True)
 
 
@@ -77,8 +77,8 @@ def queries() -> dict[str, Query]:
         "useful_edges_alpha": _events(lambda e: analyses.useful_edges(e, LANGUAGES["alpha_parity"])),
         "unknown_pairs": _events(lambda e: graph.difference(analyses.language_pairs(e, LANGUAGES["alpha_default"]), analyses.under_approximation(e))),
         "intersected_pairs": _events(lambda e: graph.intersection(*[analyses.language_pairs(e, LANGUAGES[n]) for n in ("alpha_default", "beta_default", "project_pairs")])),
-        "valueflow_edges": _events(graph.value_flow_edges),
-        "bracket_paths": _events(lambda e: graph.bracket_pairs(e, analyses.language_pairs(e, LANGUAGES["alpha_default"]))),
+        "valueflow_edges": _events(analyses.value_flow_edges),
+        "bracket_paths": _events(lambda e: analyses.bracket_pairs(e, analyses.language_pairs(e, LANGUAGES["alpha_default"]))),
         "valueflow_under": _events(lambda e: analyses.under_approximation(e, True)),
         "closure": _nations(graph.closure),
         "scc": _nations(lambda e: graph.strong_components(e)[0]),
@@ -130,7 +130,7 @@ def _language_sql(language: Language) -> str:
     ends = "AND (first = 'n' OR (first = 'o' AND last = 'c'))" if language.endpoints else ""
     return f"""
 s AS (SELECT src, dst, side, family = 'n' AS plain, {counted} AS counted, {token} AS token, {bit} AS bit FROM e),
-walk(start, at, stack, mask, first, last) AS (
+walk(start, here, stack, mask, first, last) AS (
   SELECT src, src, '', 0, 'n', 'n' FROM s
   UNION ALL
   SELECT w.start, s.dst,
@@ -138,9 +138,9 @@ walk(start, at, stack, mask, first, last) AS (
          CASE WHEN counted THEN xor(mask, bit) ELSE mask END,
          CASE WHEN counted AND first = 'n' THEN side ELSE first END,
          CASE WHEN counted THEN side ELSE last END
-  FROM walk w JOIN s ON s.src = w.at
+  FROM walk w JOIN s ON s.src = w.here
   WHERE plain OR counted OR side = 'o' OR ends_with(stack, token)),
-pairs AS (SELECT DISTINCT start AS src, at AS dst FROM walk WHERE start <> at AND stack = '' AND mask = 0 {ends})"""
+pairs AS (SELECT DISTINCT start AS src, here AS dst FROM walk WHERE start <> here AND stack = '' AND mask = 0 {ends})"""
 
 
 _NATIONS = """
