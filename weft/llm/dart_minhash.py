@@ -95,13 +95,13 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(out + (np.arange(bands, dtype=np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a Jaccard similarity of shingles of `threshold` or more."""
+def _verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) with `j`, the exact Jaccard similarity of the shingles of their texts."""
 
     def exact(batches):
         for batch in batches:
             left, right = [t.encode() for t in batch["ta"]], [t.encode() for t in batch["tb"]]
-            good = np.zeros(len(batch), bool)
+            found = np.zeros(len(batch))
             both = [x for pair in zip(left, right, strict=True) for x in pair]
             for low, high in slices(both):
                 low, high = low + low % 2, high + high % 2  # whole pairs
@@ -114,11 +114,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
                 p, v = pair[order], values[order]
                 common = np.bincount(p[1:][(p[1:] == p[:-1]) & (v[1:] == v[:-1])], minlength=(high - low) // 2)
                 union = size[0::2] + size[1::2] - common
-                good[low // 2 : high // 2] = (union > 0) & (common >= threshold * union - 1e-9)
-            yield batch.loc[good, ["a", "b"]]
+                found[low // 2 : high // 2] = common / np.maximum(union, 1)
+            yield batch[["a", "b"]].assign(j=found)
 
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long, j double")
 
 
 def _ordered(left: str, right: str) -> list:
@@ -133,7 +133,7 @@ def _stars(buckets: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5,
-    bands: int = 34, rows: int = 5, small: int = 16, seed: int = 41,
+    bands: int = 40, rows: int = 5, small: int = 16, seed: int = 41,
 ) -> DataFrame:
     """Rows (id, component_id, kept), one per input row.
 
@@ -141,15 +141,17 @@ def near_duplicates(
     words are runs of characters other than ASCII blanks) have a Jaccard
     similarity of `threshold` or more. component_id is the smallest id reachable
     by links, kept tells whether it is the row's own. Texts of equal words are
-    one class, looked at once. 34 bands of 5 coordinates of a DartMinHash
-    signature miss a pair at 0.8 once in 700,000 times; every candidate is
+    one class, looked at once. 40 bands of 5 coordinates of a DartMinHash
+    signature miss a pair at 0.8 once in eight million times; every candidate is
     verified on the whole texts.
 
     In a bucket of up to `small` classes all pairs are candidates. In a larger
-    one each class pairs with the least first; where that leaves several
-    components, the classes outside the largest pair with all others if they
-    are few, and are dealt by their other bands too if they are many, so a hot
-    passage doesn't make pairs of all who hold it.
+    one each class pairs with the least first. Where that leaves several
+    components, classes pair if their distances from the least allow a link and
+    they share three bands, which a pair at 0.8 fails once in 40,000 times:
+    those outside the largest component with all others if they are few, and
+    within buckets of two bands if they are many, so a hot passage doesn't make
+    pairs of all who hold it.
 
     Null texts and texts without words link with nothing. Rows with a null id
     come back with a null component and kept false. Rows that share an id are
@@ -180,37 +182,45 @@ def near_duplicates(
     buckets = materialise(dealt.join(sizes, "key"))
     few, many = buckets.where(F.col("n") <= small).select("key", "id"), buckets.where(F.col("n") > small).select("key", "id")
 
-    def all_pairs(part: DataFrame) -> DataFrame:
-        other = part.withColumnRenamed("id", "other")
-        return part.join(other, "key").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    alike = F.col("j") >= threshold - 1e-12
 
-    tried = materialise(all_pairs(few).union(_stars(many)).distinct())
-    links = materialise(_verify(tried, sound, words, threshold))
-    component = connected_components(links, "a", "b")
+    def all_pairs(part: DataFrame, near=None) -> DataFrame:
+        other = part.withColumnsRenamed({c: f"{c}2" for c in part.columns if c != "key"})
+        on = (F.col("id") < F.col("id2")) if near is None else (F.col("id") < F.col("id2")) & near
+        return part.withColumnRenamed("key", "key1").join(other, (F.col("key1") == F.col("key")) & on).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+    tried = materialise(_verify(all_pairs(few).union(_stars(many)).distinct(), sound, words))
+    component = connected_components(tried.where(alike), "a", "b")
+    shared = buckets.groupBy("id").agg(F.collect_set("key").alias("bands"))  # at most one a band
+    agree = F.size(F.array_intersect("bands", "bands2")) >= 3
 
     for deep in (False, True):
-        # large buckets that still hold several components
+        # large buckets that still hold several components, and how far each class is from the least of its bucket
+        least = many.groupBy("key").agg(F.min("id").alias("m"))
+        far = tried.select(F.col("a").alias("m"), F.col("b").alias("id"), (1 - F.col("j")).alias("d"))
         open_ = many.join(component.withColumnRenamed("vertex", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         in_bucket = open_.groupBy("key", "c").agg(F.count("*").alias("n"))
-        main = in_bucket.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = materialise(open_.join(main, "key").withColumn("strays", F.col("all") - F.col("most")))
+        main = in_bucket.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), (F.sum("n") - F.max("n")).alias("strays"), F.count("*").alias("parts")).where("parts > 1")
+        open_ = open_.join(main, "key").join(least, "key").join(far, ["m", "id"], "left").join(shared, "id")
+        open_ = materialise(open_.select("key", "id", "c", "main", "strays", "bands", F.coalesce("d", F.lit(0.0)).alias("d")))
         if open_.isEmpty():
             break
+        # a metric: classes whose distances from one other differ by more than 1 - threshold don't link
         near = open_ if deep else open_.where(F.col("strays") <= small)
-        pairs = near.where("c <> main").select("key", "id", F.col("c").alias("own")).join(near.select("key", F.col("id").alias("other"), F.col("c").alias("theirs")), "key")
-        pairs = pairs.where("own <> theirs").select(*_ordered("id", "other"))
+        left = near.where("c <> main").select(F.col("key").alias("key1"), "id", "c", "d", "bands")
+        right = near.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("bands").alias("bands2"))
+        close = (F.col("c") != F.col("c2")) & (F.abs(F.col("d") - F.col("d2")) <= 1 - threshold + 1e-9) & agree
+        pairs = left.join(right, (F.col("key1") == F.col("key")) & close).select(*_ordered("id", "id2"))
         if not deep:
-            wide = open_.where(F.col("strays") > small).select("key", "id").join(classes.select("id", "bands"), "id")
-            wide = wide.select("id", F.col("key").alias("first"), F.explode("bands").alias("second")).where("first <> second")
-            wide = wide.select("id", F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("key")).distinct()
+            wide = open_.where(F.col("strays") > small).select("id", F.col("key").alias("first"), "bands", F.explode("bands").alias("second")).where("first <> second")
+            wide = wide.select("id", F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("key"), "bands").dropDuplicates(["id", "key"])
             again = wide.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
             wide = materialise(wide.join(again, "key"))
             many = wide.where(F.col("n") > small).select("key", "id")
-            pairs = pairs.union(all_pairs(wide.where(F.col("n") <= small).select("key", "id"))).union(_stars(many))
-        tried_now = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        more = materialise(_verify(tried_now, sound, words, threshold))
-        links, tried = links.union(more), tried.union(tried_now)
-        component = connected_components(links, "a", "b")
+            pairs = pairs.union(all_pairs(wide.where(F.col("n") <= small).select("key", "id", "bands"), agree)).union(_stars(many))
+        now = _verify(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sound, words)
+        tried = tried.union(materialise(now))
+        component = connected_components(tried.where(alike), "a", "b")
 
     of_key = classes.select("key", "id").join(component.withColumnRenamed("vertex", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("c"))
     members = signed.select("id", "key").join(of_key, "key").groupBy("id").agg(F.min("c").alias("c"))
