@@ -70,7 +70,7 @@ def shingles(texts: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray
     count = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(count) - count
     rolled = np.zeros(len(hashes), np.uint64)
-    for j in range(words):
+    for j in range(min(words, len(hashes))):
         part = hashes * _U(2 * j + 3) ^ _U(0xD1B54A32D192ED03 * (j + 1) & (1 << 64) - 1)
         rolled[: len(hashes) - j] += mix(part[j:]) if j else mix(part)
     place = np.arange(len(hashes)) - first[owner]

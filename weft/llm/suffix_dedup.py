@@ -188,7 +188,7 @@ def _spans(item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(item)) - 1
+    return first, np.append(first, len(item))[1:] - 1
 
 
 def resolve(block: list[tuple[bytes, bytes, int, int]], length: int, open_: bool = False) -> list[tuple]:
