@@ -16,14 +16,15 @@ OPEN, CLOSE, END = "<s><|", "|>\n", "</s>\n"
 
 
 def escape(text: Column) -> Column:
-    r"""Control strings made harmless: \ becomes \\, and the first sign of a control string \l for < or \b for [."""
+    r"""Control strings made harmless: \ becomes \\, and the first sign of a control string \l for <, \b for [ or \p for |."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     out = F.regexp_replace(out, r"<(?=/?s>|\|)", r"\\l")
-    return F.regexp_replace(out, r"\[(?=/?INST\])", r"\\b")
+    out = F.regexp_replace(out, r"\[(?=/?INST\])", r"\\b")
+    return F.regexp_replace(out, r"\|(?=>)", r"\\p")
 
 
 def escape_role(role: Column) -> Column:
-    r"""As `escape`, and \p for | and \n for a line end, which would end the role."""
+    r"""As `escape`, and \p for any | and \n for a line end, which would end the role."""
     return F.replace(F.replace(escape(role), F.lit("|"), F.lit("\\p")), F.lit("\n"), F.lit("\\n"))
 
 

@@ -121,20 +121,23 @@ def label_tokens(texts: list[list[str]], toxic: np.ndarray, least_odds: float =
     the number of features), with odds exp(least_odds) times those among clean
     documents.
     """
-    counts = (Counter(), Counter())
     own = [k for y in (0, 1) for k in (lambda at: [at[i] for i in unlike([texts[i] for i in at])])(np.flatnonzero(toxic == y).tolist())]
-    for k in own:
-        counts[int(toxic[k])].update({f for w in set(texts[k]) for f in features(w)})
-    n1 = max(1, int(toxic[own].sum()))
-    n0 = max(1, len(own) - n1)
-    share, need = n1 / (n1 + n0), np.log(20.0 * (len(counts[0]) + len(counts[1]) + 1))
-    marks = set()
-    for f, c in counts[1].items():
-        n = c + counts[0][f]
-        p = c / n
-        if p > share and np.log((c + 0.1) / (n1 + 1)) - np.log((counts[0][f] + 0.1) / (n0 + 1)) >= least_odds:
-            if n * (p * np.log(p / share) + (np.log((1 - p) / (1 - share)) * (1 - p) if p < 1 else 0.0)) >= need:
-                marks.add(f)
+    seen = {k: {f for w in set(texts[k]) for f in features(w)} for k in own}
+    clean, left = Counter(f for k in own if not toxic[k] for f in seen[k]), [k for k in own if toxic[k]]
+    n0, marks = max(1, len(own) - len(left)), set()
+    while left:
+        hit = Counter(f for k in left for f in seen[k])
+        share, need, new = len(left) / (len(left) + n0), np.log(20.0 * (len(hit) + len(clean))), set()
+        for f, c in hit.items():
+            n = c + clean[f]
+            p = c / n
+            if p > share and np.log((c + 0.1) / (len(left) + 1)) - np.log((clean[f] + 0.1) / (n0 + 1)) >= least_odds:
+                if n * (p * np.log(p / share) + (np.log((1 - p) / (1 - share)) * (1 - p) if p < 1 else 0.0)) >= need:
+                    new.add(f)
+        if not new:
+            break
+        marks |= new
+        left = [k for k in left if not seen[k] & marks]
     return marks
 
 
@@ -205,11 +208,14 @@ def train(texts: list[str], toxic: np.ndarray, window: int = 64, max_windows: in
     # calibration of the document score on the same labelled documents
     tops = np.array([m.max() if len(m) else 0.0 for m in field.marginals(tokens)])
     z = np.log(np.clip(tops, 1e-6, 1 - 1e-6) / (1 - np.clip(tops, 1e-6, 1 - 1e-6)))
-    a, b = 0.5, 0.0
-    share = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
-    for _ in range(400):
-        gap = (toxic - 1 / (1 + np.exp(-(a * z + b)))) * share
-        a, b = a + 0.2 * ((gap * z).sum() - 0.001 * a), b + 0.2 * gap.sum()
+    x, at = np.stack([z, np.ones_like(z)], 1), np.array([0.5, 0.0])
+    share = np.where(toxic == 1, 0.25 / max(1, toxic.sum()), 0.75 / max(1, (1 - toxic).sum()))  # clean documents weigh more: most are
+    for _ in range(50):  # Newton steps of a logistic fit, kept finite by a small penalty
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -60, 60)))
+        slope = x.T @ ((toxic - p) * share) - 1e-4 * at
+        bend = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        at = at + np.clip(np.linalg.solve(bend, slope), -2.0, 2.0)
+    a, b = at
     field.platt = (float(a), float(b))
     return field
 

@@ -91,6 +91,7 @@ class Attention:
     def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int, rate: float, seed: int, batch: int = 128) -> None:
         rng, p = np.random.default_rng(seed), self.p
         m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+        rounds = max(rounds, 400 * batch // max(1, len(bags)))  # few documents are gone through more often
         weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
         for _ in range(rounds):
             order = rng.permutation(len(bags))
