@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from zlib import crc32
 
@@ -122,31 +123,40 @@ def label_tokens(texts: list[list[str]], toxic: np.ndarray, least_odds: float =
     documents.
     """
     own = [k for y in (0, 1) for k in (lambda at: [at[i] for i in unlike([texts[i] for i in at])])(np.flatnonzero(toxic == y).tolist())]
-    seen = {k: {f for w in set(texts[k]) for f in features(w)} for k in own}
-    clean, left = Counter(f for k in own if not toxic[k] for f in seen[k]), [k for k in own if toxic[k]]
-    n0, marks = max(1, len(own) - len(left)), set()
+    index: dict[str, int] = {}
+    known: dict[str, list[int]] = {}
+
+    def numbers(word: str) -> list[int]:
+        if word not in known:
+            known[word] = [index.setdefault(f, len(index)) for f in features(word)]
+        return known[word]
+
+    seen = {k: np.unique(np.array([i for w in set(texts[k]) for i in numbers(w)], np.int32)) for k in own}
+    count = lambda docs: sum((np.bincount(seen[k], minlength=len(index)) for k in docs), np.zeros(len(index), np.int64))
+    left = [k for k in own if toxic[k]]
+    clean, n0, marked = count([k for k in own if not toxic[k]]), max(1, len(own) - len(left)), np.zeros(len(index), bool)
     while left:
-        hit = Counter(f for k in left for f in seen[k])
-        share, need, new = len(left) / (len(left) + n0), np.log(20.0 * (len(hit) + len(clean))), set()
-        for f, c in hit.items():
-            n = c + clean[f]
-            p = c / n
-            if p > share and np.log((c + 0.1) / (len(left) + 1)) - np.log((clean[f] + 0.1) / (n0 + 1)) >= least_odds:
-                if n * (p * np.log(p / share) + (np.log((1 - p) / (1 - share)) * (1 - p) if p < 1 else 0.0)) >= need:
-                    new.add(f)
-        if not new:
+        hit = count(left)
+        n, share = np.maximum(hit + clean, 1), len(left) / (len(left) + n0)
+        p = hit / n
+        odds = np.log((hit + 0.1) / (len(left) + 1)) - np.log((clean + 0.1) / (n0 + 1))
+        gain = n * (p * np.log(np.maximum(p, 1e-12) / share) + (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - share)))
+        new = (p > share) & (odds >= least_odds) & (gain >= np.log(20.0 * ((hit > 0).sum() + (clean > 0).sum())))
+        if not new.any():
             break
-        marks |= new
-        left = [k for k in left if not seen[k] & marks]
-    return marks
+        marked |= new
+        left = [k for k in left if not marked[seen[k]].any()]
+    names = list(index)
+    return {names[k] for k in np.flatnonzero(marked)}
 
 
-def train(texts: list[str], toxic: np.ndarray, window: int = 64, max_windows: int = 8_000, rounds: int = 40, seed: int = 3) -> Field | None:
+def train(texts: list[str], toxic: np.ndarray, window: int = 64, max_windows: int = 5_000, rounds: int = 40, seed: int = 3) -> Field | None:
     """A field fitted by gradient ascent on the likelihood of labelled token windows; None without both labels."""
     toxic = np.asarray(toxic, dtype=np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    tokens = [words(t) for t in texts]
+    pool: dict[str, str] = {}  # one string a word
+    tokens = [[pool.setdefault(w, w) for w in words(t)] for t in texts]
     marks = label_tokens(tokens, toxic)
     marked: dict[str, bool] = {}
     for w in {w for t, y in zip(tokens, toxic, strict=True) if y for w in t}:
@@ -174,14 +184,14 @@ def train(texts: list[str], toxic: np.ndarray, window: int = 64, max_windows: in
     n, width = len(windows), window
     lens = np.array([len(p) for p in windows])
     y = np.zeros((width, n))
-    row, feat = [], []
+    row, feat = array("i"), array("i")
     for col, (part, tag) in enumerate(zip(windows, tags, strict=True)):
         y[: len(tag), col] = tag
         for k, w in enumerate(part):
             for f in own[w]:
                 row.append(k * n + col)
                 feat.append(f)
-    row, feat = np.array(row, np.int64), np.array(feat, np.int64)
+    row, feat = np.frombuffer(row, np.int32), np.frombuffer(feat, np.int32)
     inside = np.arange(width)[:, None] < lens[None, :]
     both = inside[1:]
     weights, bias, start, trans = np.zeros(len(index)), -2.0, 0.0, np.zeros((2, 2))
@@ -222,7 +232,7 @@ def train(texts: list[str], toxic: np.ndarray, window: int = 64, max_windows: in
 
 def tag(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, span_threshold: float = 0.5, per_label: int = 2_000, max_doc_bytes: int = 65_536, seed: int = 7,
+    threshold: float = 0.3, span_threshold: float = 0.5, per_label: int = 1_500, max_doc_bytes: int = 65_536, seed: int = 7,
 ) -> DataFrame:
     """Rows (id, held_out, score, predicted, spans), one per input row.
 
@@ -267,7 +277,7 @@ def own_scores(field: Field | None, texts: list[str]) -> tuple[np.ndarray, list[
 
 def drop_toxic(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, per_label: int = 2_000, max_doc_bytes: int = 65_536, seed: int = 7,
+    threshold: float = 0.3, per_label: int = 1_500, max_doc_bytes: int = 65_536, seed: int = 7,
 ) -> DataFrame:
     """The rows of `docs` that score below `threshold` under the field that `tag` would learn; all columns as they are."""
     field = learn(docs, labels, id_col, text_col, label_col, per_label, max_doc_bytes, seed)
