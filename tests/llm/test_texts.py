@@ -121,6 +121,24 @@ def test_toxicity(spark):
     assert all(texts[some["doc_id"]][s["start"] : s["end"]].strip() for s in some["spans"])
 
 
+def test_toxicity_fits_every_tagged_window():
+    """Words that only the last toxic texts hold are learnt however many toxic texts come before."""
+    rng = np.random.default_rng(5)
+    text = lambda extra: " ".join([f"word{k}" for k in rng.integers(0, 300, 12)] + extra)
+    clean, early, late = [text([]) for _ in range(1_500)], [text(["vile"]) for _ in range(2_600)], [text(["scoundrel"]) for _ in range(300)]
+    field = crf_toxicity.train(clean + early + late, np.repeat([0, 1], [1_500, 2_900]))
+    assert field.weights.get("wvile", 0.0) > 0 and field.weights.get("wscoundrel", 0.0) > 0
+    p = field.marginals([crf_toxicity.words("word1 word2 scoundrel word3")])[0]
+    assert p[2] > 0.5 and p[[0, 1, 3]].max() < 0.5
+
+
+def test_toxicity_fit_does_not_depend_on_blocks():
+    rng = np.random.default_rng(6)
+    texts = [" ".join([f"word{k}" for k in rng.integers(0, 90, rng.integers(0, 200))] + ["vile"] * y) for y in (0, 1) for _ in range(60)]
+    one, two = (crf_toxicity.train(texts, np.repeat([0, 1], 60), block=b) for b in (7, 4096))
+    assert one.weights.keys() == two.weights.keys() and all(one.weights[f] == pytest.approx(w, rel=1e-6, abs=1e-9) for f, w in two.weights.items())
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(k, "you are a vile wretch today" if k % 2 else f"a fine day number {k}") for k in range(60)] + [(100, None), (101, ""), (102, "vile wretch " * 50_000), (None, "vile wretch"), (1, "you are a vile wretch today")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (5, None)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))

@@ -150,69 +150,90 @@ def label_tokens(texts: list[list[str]], toxic: np.ndarray, least_odds: float =
     return {names[k] for k in np.flatnonzero(marked)}
 
 
-def train(texts: list[str], toxic: np.ndarray, window: int = 64, max_windows: int = 5_000, rounds: int = 40, seed: int = 3) -> Field | None:
-    """A field fitted by gradient ascent on the likelihood of labelled token windows; None without both labels."""
+def train(texts: list[str], toxic: np.ndarray, window: int = 64, rounds: int = 40, block: int = 2048) -> Field | None:
+    """A field fitted by gradient ascent on the likelihood of labelled token windows; None without both labels.
+
+    Every window of every clean text and every window with a marked token of
+    every toxic text is fitted. A token is kept as the number of its word, and
+    features are summed once a word, so a window takes four bytes a token; a
+    round goes over them `block` windows at a time.
+    """
     toxic = np.asarray(toxic, dtype=np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     pool: dict[str, str] = {}  # one string a word
     tokens = [[pool.setdefault(w, w) for w in words(t)] for t in texts]
     marks = label_tokens(tokens, toxic)
-    marked: dict[str, bool] = {}
-    for w in {w for t, y in zip(tokens, toxic, strict=True) if y for w in t}:
-        marked[w] = any(f in marks for f in features(w))
-    windows, tags = [], []
-    rng = np.random.default_rng(seed)
-    clean: list[list[str]] = []
+    number = {w: k for k, w in enumerate(pool)}
+    none = len(number)  # fills windows up
+    marked = np.array([any(f in marks for f in features(w)) for w in number] + [False])
+    parts, bad = [np.zeros((0, window), np.int32)], [np.zeros(0, bool)]
     for t, y in zip(tokens, toxic, strict=True):
-        for k in range(0, len(t), window):
-            part = t[k : k + window]
-            tag = [int(y and marked[w]) for w in part]
-            if any(tag):
-                windows.append(part)
-                tags.append(tag)
-            elif not y:
-                clean.append(part)
-    windows, tags = windows[: max_windows // 2], tags[: max_windows // 2]
-    for k in rng.permutation(len(clean))[: max_windows - len(windows)]:
-        windows.append(clean[k])
-        tags.append([0] * len(clean[k]))
+        part = np.full((-(-len(t) // window), window), none, np.int32)
+        part.ravel()[: len(t)] = np.fromiter(map(number.__getitem__, t), np.int32, len(t))
+        if y:
+            part = part[marked[part].any(axis=1)]
+        parts.append(part)
+        bad.append(np.full(len(part), bool(y)))
+    grid, of_toxic = np.concatenate(parts), np.concatenate(bad)
+    del parts, bad
+    cuts = [slice(k, k + block) for k in range(0, len(grid), block)]
     # features that occur with toxic tokens or often elsewhere
-    seen = Counter(f for part in windows for w in set(part) for f in features(w))
+    held = np.zeros(none + 1, np.int64)  # windows that hold a word
+    for cut in cuts:
+        own = np.sort(grid[cut], axis=1)
+        held += np.bincount(own[np.diff(own, axis=1, prepend=-1) != 0], minlength=none + 1)
+    seen: Counter[str] = Counter()
+    for w, c in zip(number, held.tolist(), strict=False):
+        if c:
+            for f in features(w):
+                seen[f] += c
     index = {f: k for k, f in enumerate(f for f, c in seen.items() if c >= 3)}
-    own: dict[str, list[int]] = {w: [index[f] for f in features(w) if f in index] for part in windows for w in part}
-    n, width = len(windows), window
-    lens = np.array([len(p) for p in windows])
-    y = np.zeros((width, n))
+    del seen
     row, feat = array("i"), array("i")
-    for col, (part, tag) in enumerate(zip(windows, tags, strict=True)):
-        y[: len(tag), col] = tag
-        for k, w in enumerate(part):
-            for f in own[w]:
-                row.append(k * n + col)
-                feat.append(f)
+    for k, w in enumerate(number):
+        if held[k]:
+            for f in features(w):
+                if f in index:
+                    row.append(k)
+                    feat.append(index[f])
     row, feat = np.frombuffer(row, np.int32), np.frombuffer(feat, np.int32)
-    inside = np.arange(width)[:, None] < lens[None, :]
-    both = inside[1:]
+
+    def tagged(cut: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers, places within the text, both of two neighbours within it, and tags of a block, by place and window."""
+        part = np.ascontiguousarray(grid[cut].T)
+        inside = part != none
+        return part, inside, inside[1:], (marked[part] & of_toxic[cut]).astype(np.float64)
+
     weights, bias, start, trans = np.zeros(len(index)), -2.0, 0.0, np.zeros((2, 2))
     g2 = {"w": np.full(len(index), 1e-3), "o": np.full(6, 1e-3)}
-    seen_pairs = np.array([[((1 - y[:-1]) * (1 - y[1:]) * both).sum(), ((1 - y[:-1]) * y[1:] * both).sum()], [(y[:-1] * (1 - y[1:]) * both).sum(), (y[:-1] * y[1:] * both).sum()]])
+    seen_pairs = np.zeros((2, 2))
+    for cut in cuts:
+        _, _, both, y = tagged(cut)
+        one, two = y[:-1], y[1:]
+        seen_pairs += [[((1 - one) * (1 - two) * both).sum(), ((1 - one) * two * both).sum()], [(one * (1 - two) * both).sum(), (one * two * both).sum()]]
     for _ in range(rounds):
-        e = np.where(inside, (bias + np.bincount(row, weights[feat], width * n)).reshape(width, n), -30.0)
-        alpha, beta, p = forward_backward(e, lens, trans, start)
-        gap = np.where(inside, y - p, 0.0)
-        x, t = np.exp(np.clip(e, -30, 30)), np.exp(trans)
-        one = alpha[:-1]
-        joint = [[t[0, 0], t[0, 1] * x[1:] * beta[1:]], [one * t[1, 0], one * t[1, 1] * x[1:] * beta[1:]]]
-        whole = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
-        want = np.array([[(joint[a][b] / whole * both).sum() for b in (0, 1)] for a in (0, 1)])
-        gw = np.bincount(feat, gap.ravel()[row], len(index)) - 0.02 * weights
-        other = np.concatenate([[gap.sum(), gap[0].sum()], (seen_pairs - want - 0.02 * trans).ravel()])
+        emission = np.append(bias + np.bincount(row, weights[feat], none), -30.0)
+        by_word, gaps, want, t = np.zeros(none + 1), np.zeros(2), np.zeros((2, 2)), np.exp(trans)
+        for cut in cuts:
+            part, inside, both, y = tagged(cut)
+            e = emission[part]
+            alpha, beta, p = forward_backward(e, inside.sum(axis=0), trans, start)
+            gap = np.where(inside, y - p, 0.0)
+            one, ahead = alpha[:-1], np.exp(np.clip(e[1:], -30, 30)) * beta[1:]
+            joint = [[t[0, 0], t[0, 1] * ahead], [one * t[1, 0], one * t[1, 1] * ahead]]
+            whole = joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1]
+            want += [[(joint[a][b] / whole * both).sum() for b in (0, 1)] for a in (0, 1)]
+            by_word += np.bincount(part.ravel(), gap.ravel(), none + 1)
+            gaps += [gap.sum(), gap[0].sum()]
+        gw = np.bincount(feat, by_word[row], len(index)) - 0.02 * weights
+        other = np.concatenate([gaps, (seen_pairs - want - 0.02 * trans).ravel()])
         g2["w"] += gw**2
         g2["o"] += other**2
         weights += 0.6 * gw / np.sqrt(g2["w"])
         step = 0.3 * other / np.sqrt(g2["o"])
         bias, start, trans = bias + step[0], start + step[1], trans + step[2:].reshape(2, 2)
+    del grid
     kept = {f: float(weights[k]) for f, k in index.items() if abs(weights[k]) > 1e-3}
     field = Field(float(bias), kept, trans, float(start), (1.0, 0.0))
     # calibration of the document score on the same labelled documents
@@ -238,7 +259,8 @@ def tag(
 
     The field is learnt from a seeded sample of labelled rows outside fold 2:
     about `per_label` whole texts of each label, of `max_doc_bytes` at the
-    most. Tokens are labelled from the documents' labels, then every whole text
+    most; all of the sample's windows with toxic tokens and all clean ones are
+    fitted. Tokens are labelled from the documents' labels, then every whole text
     is tagged: score rises with the largest forward-backward marginal, spans
     lists (start, end, p) in code points of the runs of tokens with a marginal
     of `span_threshold` or more. Null and empty texts and texts without words
