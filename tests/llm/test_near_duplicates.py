@@ -42,6 +42,22 @@ def test_forest_matches_brute_force(spark):
     assert all(r["kept"] == (i == truth[i]) for i, r in got.items())
 
 
+def test_forest_recall_in_many_leaves(spark):
+    """2,500 pairs just above the threshold and a dense group around it, in leaves far smaller than the table: no link is lost."""
+    rng, dim = np.random.default_rng(8), 32
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    aside = lambda base: unit((lambda x: x - (x * base).sum(1, keepdims=True) * base)(rng.standard_normal(base.shape)))
+    base, centre = unit(rng.standard_normal((2_500, dim))), np.repeat(unit(rng.standard_normal((1, dim))), 500, axis=0)
+    c = rng.uniform(0.9005, 0.91, (2_500, 1))
+    rows = np.concatenate([base, c * base + (1 - c * c) ** 0.5 * aside(base), unit(centre + (1 / 0.9 - 1) ** 0.5 * aside(centre))]).astype(np.float32)
+    data = [(i, v.tolist(), "x") for i, v in enumerate(rows)]
+    got = {r["id"]: r["n_links"] for r in rp_forest.near_duplicates(spark.createDataFrame(data, VECTORS), leaf_size=256).collect()}
+    own = unit(rows.astype(np.float64))
+    near = own @ own.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert got == dict(enumerate(near.sum(1)))
+
+
 def test_forest_edge_cases(spark):
     inf, nan = float("inf"), float("nan")
     data = [(1, None, None), (2, [], None), (3, [0.0, 0.0], None), (4, [1.0, None], None), (5, [nan, 1.0], None), (6, [inf, 1.0], None), (7, [1.0, 0.0], None), (8, [1.0, 0.0], None), (9, [1.0, 0.0, 0.0], None), (None, [1.0, 0.0], None), (10, [1e30, 1e25], None)]
