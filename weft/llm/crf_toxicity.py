@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import append, held_out, sample_of_labels, small_batches, strings
+from weft.llm.texts import append, held_out, portions, sample_of_labels, strings
 
 _WORD = re.compile(r"\w+")
 _HASHES = [(np.uint64(m), np.uint64(c)) for m, c in ((2654435, 97), (40503, 7919), (1597334, 104729), (69069, 1299709))]
@@ -253,14 +253,16 @@ def train(texts: list[str], toxic: np.ndarray, window: int = 64, rounds: int = 4
 
 def tag(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, span_threshold: float = 0.5, per_label: int = 1_500, max_doc_bytes: int = 65_536, seed: int = 7,
+    threshold: float = 0.3, span_threshold: float = 0.5, per_label: int = 1_500, max_doc_chars: int = 65_536, seed: int = 7,
 ) -> DataFrame:
     """Rows (id, held_out, score, predicted, spans), one per input row.
 
     The field is learnt from a seeded sample of labelled rows outside fold 2:
-    about `per_label` whole texts of each label, of `max_doc_bytes` at the
-    most; all of the sample's windows with toxic tokens and all clean ones are
-    fitted. Tokens are labelled from the documents' labels, then every whole text
+    about `per_label` documents of each label, and of a text over
+    `max_doc_chars` code points a stretch of so many. Tokens are labelled from
+    the documents' labels; all windows of clean documents and all windows of
+    toxic ones that hold a token so marked are fitted (what else stands in a
+    toxic document is neither toxic nor known to be clean). Then every whole text
     is tagged: score rises with the largest forward-backward marginal, spans
     lists (start, end, p) in code points of the runs of tokens with a marginal
     of `span_threshold` or more. Null and empty texts and texts without words
@@ -268,7 +270,7 @@ def tag(
     every score is 0. Null labels are ignored, a document labelled twice is
     learnt twice. Other columns are ignored.
     """
-    field = learn(docs, labels, id_col, text_col, label_col, per_label, max_doc_bytes, seed)
+    field = learn(docs, labels, id_col, text_col, label_col, per_label, max_doc_chars, seed)
 
     def score(batch):
         texts = strings(batch, "text")
@@ -276,16 +278,15 @@ def tag(
         spans = [runs(t, m, span_threshold) if len(m) and m.max() >= span_threshold else [] for t, m in zip(texts, marginals, strict=True)]
         return {"score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans}
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     new = {"score": ("double", pa.float64()), "predicted": ("int", pa.int32()), "spans": ("array<struct<start:int,end:int,p:double>>", span)}
     return append(rows, ["id", "held_out"], lambda: score, new)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, max_doc_bytes: int, seed: int):
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, max_doc_chars: int, seed: int):
     """The field, sent to all executors; None inside where the labels allow none."""
-    sample = sample_of_labels(docs, labels, label_col, id_col, text_col, per_label, max_doc_bytes, seed)
+    sample = sample_of_labels(docs, labels, label_col, id_col, text_col, per_label, max_doc_chars, seed)
     return docs.sparkSession.sparkContext.broadcast(train(list(sample["text"]), sample["label"].to_numpy(dtype=np.int64)))
 
 
@@ -299,16 +300,15 @@ def own_scores(field: Field | None, texts: list[str]) -> tuple[np.ndarray, list[
 
 def drop_toxic(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, per_label: int = 1_500, max_doc_bytes: int = 65_536, seed: int = 7,
+    threshold: float = 0.3, per_label: int = 1_500, max_doc_chars: int = 65_536, seed: int = 7,
 ) -> DataFrame:
     """The rows of `docs` that score below `threshold` under the field that `tag` would learn; all columns as they are."""
-    field = learn(docs, labels, id_col, text_col, label_col, per_label, max_doc_bytes, seed)
+    field = learn(docs, labels, id_col, text_col, label_col, per_label, max_doc_chars, seed)
 
     def keep(batches):
-        for batch in batches:
+        for batch in portions(batches):
             yield batch.filter(pa.array(own_scores(field.value, strings(batch, text_col))[0] < threshold))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 

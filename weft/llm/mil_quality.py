@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import append, held_out, sample_of_labels, small_batches, strings
+from weft.llm.texts import append, held_out, sample_of_labels, strings
 
 # Classes of code points, chosen here: letters by case and script block, digits, blanks, line ends and marks of their own.
 _MARKS = ".,!?|#$%&*:;-_@/()\"'<>="
@@ -88,31 +88,33 @@ class Attention:
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
         return {"h": h, "v": v, "u": u, "a": a, "z": z, "logit": z @ p["o"] + p["b"][0]}
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int, rate: float, seed: int, batch: int = 128) -> None:
+    def slope(self, x: np.ndarray, starts: np.ndarray, lens: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        """The gradient of the weighted log loss of some documents by every parameter."""
+        p, f = self.p, self.forward(x, starts, lens)
+        gap = (1 / (1 + np.exp(-f["logit"])) - y) * weight
+        spread = np.repeat(gap[:, None] * p["o"], lens, axis=0)
+        da = (spread * f["h"]).sum(1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), lens))
+        dvu = de[:, None] * p["w"]
+        dv, du = dvu * f["u"] * (1 - f["v"] ** 2), dvu * f["v"] * f["u"] * (1 - f["u"])
+        dh = f["a"][:, None] * spread + dv @ p["V"].T + du @ p["U"].T
+        return {"W": x.T @ (dh * (1 - f["h"] ** 2)), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ de, "o": f["z"].T @ gap, "b": np.array([gap.sum()])}
+
+    def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int, rate: float, seed: int, batch: int = 128, steps: int = 400) -> None:
+        """Adam over batches of documents: `rounds` times all of them, and at least `steps` batches."""
         rng, p = np.random.default_rng(seed), self.p
         m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-        rounds = max(rounds, 400 * batch // max(1, len(bags)))  # few documents are gone through more often
+        rounds = max(rounds, -(-steps // -(-len(bags) // batch)))
         weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
         for _ in range(rounds):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
                 lens = np.array([len(bags[k]) for k in own])
-                starts = np.cumsum(lens) - lens
                 x = np.concatenate([bags[k] for k in own]).astype(np.float64)
-                f = self.forward(x, starts, lens)
-                gap = (1 / (1 + np.exp(-f["logit"])) - y[own]) * weight[own] / len(own)
-                dz = gap[:, None] * p["o"]
-                spread = np.repeat(dz, lens, axis=0)
-                da = (spread * f["h"]).sum(1)
-                de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), lens))
-                dvu = de[:, None] * p["w"]
-                dv, du = dvu * f["u"] * (1 - f["v"] ** 2), dvu * f["v"] * f["u"] * (1 - f["u"])
-                dh = f["a"][:, None] * spread + dv @ p["V"].T + du @ p["U"].T
-                g = {
-                    "W": x.T @ (dh * (1 - f["h"] ** 2)) + 1e-5 * p["W"], "V": f["h"].T @ dv, "U": f["h"].T @ du,
-                    "w": (f["v"] * f["u"]).T @ de, "o": f["z"].T @ gap + 1e-4 * p["o"], "b": np.array([gap.sum()]),
-                }
+                g = self.slope(x, np.cumsum(lens) - lens, lens, y[own], weight[own] / len(own))
+                g["W"] += 1e-5 * p["W"]
+                g["o"] += 1e-4 * p["o"]
                 step += 1
                 for k in p:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -145,33 +147,33 @@ class Attention:
         return out
 
 
-def train(texts: list[str], y: np.ndarray, size: int = 500, hidden: int = 24, gate: int = 12, rounds: int = 12, rate: float = 0.01, seed: int = 11) -> Attention | None:
+def train(texts: list[str], y: np.ndarray, size: int = 500, hidden: int = 24, gate: int = 12, rounds: int = 12, steps: int = 400, rate: float = 0.01, seed: int = 11) -> Attention | None:
     """A model fitted on whole labelled texts; None without both labels."""
     y = np.asarray(y, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return None
     model = Attention(hidden, gate, seed)
-    model.fit([encode(passages(t, size)) for t in texts], y, rounds, rate, seed)
+    model.fit([encode(passages(t, size)) for t in texts], y, rounds, rate, seed, steps=steps)
     return model
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    threshold: float = 0.7, per_label: int = 1_500, max_doc_bytes: int = 65_536, passage: int = 500, seed: int = 23,
+    threshold: float = 0.7, per_label: int = 1_500, max_doc_chars: int = 65_536, passage: int = 500, rounds: int = 12, steps: int = 400, seed: int = 23,
 ) -> DataFrame:
     """Rows (id, held_out, score, predicted), one per input row.
 
     The model is learnt from a seeded sample of labelled rows outside fold 2:
-    about `per_label` whole texts of each label, of `max_doc_bytes` at the
-    most. Every whole text is then cut into passages of `passage` code points,
+    about `per_label` documents of each label, and of a text over
+    `max_doc_chars` code points a stretch of so many. It is fitted in `rounds`
+    rounds over the sample, or as many as make `steps` batches of 128. Every whole text is then cut into passages of `passage` code points,
     each passage encoded, and the attention-weighted sum scored. A null text
     counts as empty: one empty passage. Where the labels allow no model every
     score is 0.5. Null labels are ignored; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    sample = sample_of_labels(docs, labels, label_col, id_col, text_col, per_label, max_doc_bytes, seed)
-    model = spark.sparkContext.broadcast(train(list(sample["text"]), sample["label"].to_numpy(dtype=np.int64), passage))
+    sample = sample_of_labels(docs, labels, label_col, id_col, text_col, per_label, max_doc_chars, seed)
+    model = spark.sparkContext.broadcast(train(list(sample["text"]), sample["label"].to_numpy(dtype=np.int64), passage, rounds=rounds, steps=steps))
 
     def score(batch):
         texts = strings(batch, "text")

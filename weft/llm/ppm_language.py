@@ -7,80 +7,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import append, held_out, labelled_sample, small_batches, strings
+from weft.llm.texts import append, held_out, labelled_sample, strings
 
 _UNIT = 1 << 16  # code lengths are whole numbers of 1 / _UNIT bits: sums don't depend on their order
 _OTHER = 0  # the symbol of bytes that were never learnt, and of the places before a text
 
 
-class ContextTrees:
-    """Byte context trees of order 3, one per language, behind one table of code lengths.
+class Tree:
+    """The byte context tree of order 3 of one language, as a table of code lengths.
 
-    Every language predicts a byte from the longest context that the pruned
-    union of trees holds, down to order 0, with method C escapes and exclusion;
-    what no order has seen is uniform over the bytes left. `table[state, symbol]`
-    holds the code length in each language, `step[a, b, c]` the state after the
-    last three symbols. `max_symbols`, `max_states` and `max_bytes` bound both.
+    A byte is predicted from the longest context that the tree holds, down to
+    order 0, with method C escapes and exclusion; what no order has seen is
+    uniform over the bytes left. The tree holds every context of the texts; of
+    order 3 the `max_states` most used ones. `table[state, symbol]` is the code
+    length of a symbol, `step[a, b, c]` the state after the last three symbols;
+    bytes that the language never showed are one symbol, `_OTHER`.
     """
 
-    def __init__(self, texts: dict[str, list[bytes]], max_symbols: int = 160, max_states: int = 12_000, max_bytes: int = 64 << 20):
-        self.langs = sorted(texts)
-        seen = sum((np.bincount(np.frombuffer(b"".join(t), np.uint8), minlength=256) for t in texts.values()), np.zeros(256, np.int64))
-        bytes_ = np.argsort(-seen, kind="stable")[: min(max_symbols, int((seen > 0).sum()))]
+    def __init__(self, texts: list[bytes], max_states: int):
+        seen = np.flatnonzero(np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256))
         self.symbol = np.zeros(256, np.uint8)
-        self.symbol[np.sort(bytes_)] = np.arange(1, len(bytes_) + 1)
-        a = self.a = len(bytes_) + 1
-        rest = 256 - len(bytes_)
-
-        streams = [self._symbols(t) for t in (texts[lang] for lang in self.langs)]
-        total = np.zeros((1 + a + a * a), np.int64)  # uses of the contexts of order 0, 1 and 2
-        threes: dict[int, int] = {}
-        counts = []
-        for s in streams:
-            here = np.flatnonzero(s[3:] != 255) + 3  # 255 stands between texts
-            prev = [np.where(s[here - k] == 255, _OTHER, s[here - k]).astype(np.int64) for k in (1, 2, 3)]
-            code = ((prev[2] * a + prev[1]) * a + prev[0]) * a + s[here]
-            grams, n = np.unique(code, return_counts=True)
-            counts.append((grams, n))
-            ctx, first = np.unique(grams // a, return_index=True)
-            for c, k in zip(ctx.tolist(), np.add.reduceat(n, first).tolist(), strict=True):
-                threes[c] = threes.get(c, 0) + k
-            pairs = grams // a % (a * a)
-            np.add.at(total, 1 + a + pairs, n)
-            np.add.at(total, 1 + pairs % a, n)
-        room = max(64, min(max_states, max_bytes // (4 * a * max(1, len(self.langs)))))
-        ones = np.flatnonzero(total[1 : 1 + a])
-        twos = np.flatnonzero(total[1 + a :])
-        twos = np.sort(twos[np.argsort(-total[1 + a :][twos], kind="stable")][: max(0, room // 3)])
-        best = sorted((c for c, n in threes.items() if n > 2), key=lambda c: (-threes[c], c))[: max(0, room - 1 - len(ones) - len(twos))]
-        best = np.sort(np.array(best, dtype=np.int64))
-
-        step1 = np.zeros(a, np.int32)
-        step1[ones] = 1 + np.arange(len(ones))
-        step2 = np.tile(step1, a)
-        step2[twos] = 1 + len(ones) + np.arange(len(twos))
-        self.step = np.tile(step2, a)
-        self.step[best] = 1 + len(ones) + len(twos) + np.arange(len(best))
-        states = 1 + len(ones) + len(twos) + len(best)
+        self.symbol[seen] = np.arange(1, len(seen) + 1)  # 256 bytes at most are seen, of which UTF-8 never uses some
+        a = self.a = len(seen) + 1
+        gap = np.full(3, 255, np.uint8)  # stands between texts
+        s = np.concatenate([x for t in texts for x in (gap, self.symbol[np.frombuffer(t, np.uint8)])] + [gap])
+        here = np.flatnonzero(s[3:] != 255) + 3
+        prev = [np.where(s[here - k] == 255, _OTHER, s[here - k]).astype(np.int64) for k in (1, 2, 3)]
+        grams, n = np.unique(((prev[2] * a + prev[1]) * a + prev[0]) * a + s[here], return_counts=True)
+        threes, first = np.unique(grams // a, return_index=True)
+        self.contexts = [np.unique(threes % a), np.unique(threes % (a * a)), threes]
+        if len(threes) > max_states:
+            used = np.add.reduceat(n, first)
+            self.contexts[2] = np.sort(threes[np.argsort(-used, kind="stable")][:max_states])
+        states = 1 + sum(map(len, self.contexts))
         # the contexts of order 0 to 3 of each state; -1 where the state is shorter
         chain = np.full((4, states), -1, np.int64)
         chain[0] = 0
         at = 1
-        for order, own in ((1, ones), (2, twos), (3, best)):
+        for order, own in enumerate(self.contexts, 1):
             for k in range(1, order + 1):
                 chain[k, at : at + len(own)] = own % a**k
             at += len(own)
-        self.table = np.zeros((states, a, max(1, len(self.langs))), np.int32)
         weight = np.ones(a)
-        weight[_OTHER] = rest
-        for which, (grams, n) in enumerate(counts):
-            self.table[:, :, which] = self._lengths(grams, n, chain, weight)
-        self.table = self.table.reshape(states * a, -1)
-
-    def _symbols(self, texts: list[bytes]) -> np.ndarray:
-        """All texts as symbols, three separators before each."""
-        gap = np.full(3, 255, np.uint8)
-        return np.concatenate([x for t in texts for x in (gap, self.symbol[np.frombuffer(t, np.uint8)])] + [gap])
+        weight[_OTHER] = 256 - len(seen)
+        self.table = self._lengths(grams, n, chain, weight).ravel()
+        self._step = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_step": None}
+
+    @property
+    def step(self) -> np.ndarray:
+        """Made where it is used: it is sent nowhere."""
+        if self._step is None:
+            a, at, step = self.a, 1, np.zeros(1, np.int32)
+            for own in self.contexts:
+                step = np.tile(step, a)
+                step[own] = at + np.arange(len(own))
+                at += len(own)
+            self._step = step
+        return self._step
 
     def _lengths(self, grams: np.ndarray, n: np.ndarray, chain: np.ndarray, weight: np.ndarray) -> np.ndarray:
         a, states = self.a, chain.shape[1]
@@ -102,24 +88,33 @@ class ContextTrees:
         left = np.where(out, 0, weight)
         p += escape * left / np.maximum(left.sum(1, keepdims=True), 1)
         # a symbol that stands for several bytes costs the choice among them too
-        return np.round(-np.log2(np.maximum(p / weight, 1e-12)) * _UNIT).astype(np.int32)
+        return np.round(-np.log2(np.maximum(p / np.maximum(weight, 1), 1e-12)) * _UNIT).astype(np.int32)
+
+    def costs(self, data: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Code length of every byte from the fourth on; at the places `gaps` nothing is known."""
+        s = self.symbol[data].astype(np.int64)
+        s[gaps] = _OTHER
+        state = self.step[(s[:-3] * self.a + s[1:-2]) * self.a + s[2:-1]]
+        return self.table[state.astype(np.int64) * self.a + s[3:]]
+
+
+class ContextTrees:
+    """A tree for each language; they share nothing, so no language's model depends on how many others there are."""
+
+    def __init__(self, texts: dict[str, list[bytes]], max_states: int = 65_536):
+        self.langs = sorted(texts)
+        self.trees = [Tree(texts[lang], max_states) for lang in self.langs]
 
     def code_lengths(self, texts: list[bytes], block: int = 1 << 20) -> np.ndarray:
         """Bits (in 1 / _UNIT) of each whole text in each language."""
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         lens = np.array([len(t) for t in texts])
-        buf = b"".join(b"\0\0\0" + t for t in texts)
-        symbols = self.symbol[np.frombuffer(buf, np.uint8)]
+        data = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts), np.uint8)
         starts = np.cumsum(lens + 3) - lens
-        for k in (1, 2, 3):
-            symbols[starts - k] = _OTHER
-        block = max(1 << 14, min(block, (64 << 20) // (8 * max(1, len(self.langs)))))
-        a = self.a
-        for low in range(3, len(symbols), block):
-            high = min(len(symbols), low + block)
-            s = symbols[low - 3 : high].astype(np.int64)
-            state = self.step[(s[:-3] * a + s[1:-2]) * a + s[2:-1]]
-            cost = self.table[state.astype(np.int64) * a + s[3:]]
+        gaps = (starts[:, None] - np.array([3, 2, 1])).ravel()
+        for low in range(3, len(data), block):
+            high = min(len(data), low + block)
+            own_gaps = gaps[np.searchsorted(gaps, low - 3) : np.searchsorted(gaps, high)] - (low - 3)
             # the parts of texts in this block; the gaps between them count nowhere
             first = max(0, int(np.searchsorted(starts, low, "right")) - 1)
             last = int(np.searchsorted(starts, high, "left"))
@@ -127,20 +122,23 @@ class ContextTrees:
             some = end > begin
             cuts = np.stack([begin[some], end[some]], 1).ravel() - low
             if len(cuts):
-                padded = np.concatenate([cost, np.zeros((1, cost.shape[1]), cost.dtype)])
-                out[first:last][some] += np.add.reduceat(padded, cuts, axis=0, dtype=np.int64)[::2]
+                for k, tree in enumerate(self.trees):
+                    cost = np.append(tree.costs(data[low - 3 : high], own_gaps), 0)
+                    out[first:last, k][some] += np.add.reduceat(cost, cuts, dtype=np.int64)[::2]
         return out
 
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_lang_bytes: int = 300_000, max_doc_bytes: int = 65_536, seed: int = 5,
+    per_lang_bytes: int = 300_000, max_doc_chars: int = 65_536, max_states: int = 65_536, seed: int = 5,
 ) -> DataFrame:
     """Rows (id, held_out, lang_pred, score, bits), one per input row.
 
     Trees are learnt from rows outside fold 2 with a non-null language: a seeded
-    sample of about `per_lang_bytes` of whole texts per language, each of
-    `max_doc_bytes` at most. Every whole text is then scored by its exact code
+    sample of about `per_lang_bytes` of text per language; of a text over
+    `max_doc_chars` code points a stretch of so many is learnt. A tree holds all
+    contexts of its sample up to order 3, of those of order 3 the `max_states`
+    most used ones; driver and executors hold one tree a language. Every whole text is then scored by its exact code
     length in each language; lang_pred is the shortest (the first by name on a
     tie), score its share 2^-length against the other languages, bits its
     length. Texts that are null or have no letter: `und`, score 0, bits null; so
@@ -148,10 +146,9 @@ def identify(
     learning only; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    sample = labelled_sample(docs, lang_col, id_col, text_col, per_lang_bytes, max_doc_bytes, seed)
+    sample = labelled_sample(docs, lang_col, id_col, text_col, per_lang_bytes, max_doc_chars, seed)
     texts = {str(lang): [t.encode() for t in part["text"]] for lang, part in sample.groupby("label") if part["text"].str.len().sum()}
-    trees = spark.sparkContext.broadcast(ContextTrees(texts) if texts else None)
+    trees = spark.sparkContext.broadcast(ContextTrees(texts, max_states) if texts else None)
 
     def make():
         own = trees.value
