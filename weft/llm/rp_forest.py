@@ -129,15 +129,26 @@ def near_duplicates(
     Null, empty or zero vectors and those with null or non-finite components
     link with nothing: n_links 0, a component of their own. Vectors of unlike
     lengths never link. Rows with a null id come back with 0 links, a null
-    component and kept false. Rows that share an id are one vertex. Other
-    columns are ignored. An empty table gives no rows.
+    component and kept false. Rows that share an id are one vertex with one
+    vector: the sound one of the least hash, if they differ; a repeated row
+    changes nothing but comes back itself. Other columns are ignored. An empty
+    table gives no rows.
+
+    A near pair is parted in a tree if some node's cut falls between its two
+    margins, which grows less likely with `spill`, and missed if all trees part
+    it; a row's copies grow with trees * (1 + spill)^depth, so at many levels
+    more trees with less spill cost less for the same recall.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     sound = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.select("id", F.when(F.coalesce(sound, F.lit(False)) & F.col("id").isNotNull(), F.col("v")).alias("v"))
-    keyed = rows.select("id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("h"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v", F.lit(1))).alias("g"))
-    classes = materialise(keyed.where("v is not null").groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    hashes = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(seed), "v", F.lit(1)).alias("g")]
+    given = rows.where("v is not null").select("id", "v", *hashes)
+    # one vector an id, by hashes alone; then one row for all ids of a vector
+    keyed = given.groupBy("id").agg(F.min(F.struct("h", "g")).alias("k")).select("id", "k.h", "k.g")
+    owners = keyed.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    classes = materialise(given.groupBy("h", "g").agg(F.first("v").alias("v")).join(owners, ["h", "g"]))
 
     total = classes.count()
     share = min(1.0, sample_rows / max(1, total))
@@ -188,7 +199,8 @@ def near_duplicates(
         .join(component.withColumnRenamed("vertex", "class_id"), "class_id", "left")
         .select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "class_id").alias("c"))
     )
-    return keyed.select("id", "h", "g").join(per_class, ["h", "g"], "left").select(
+    of_id = keyed.join(per_class, ["h", "g"]).select(F.col("id").alias("__id"), "n", "c")
+    return rows.select("id").join(of_id, F.col("id") == F.col("__id"), "left").select(
         "id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("c", "id"), F.lit(False)).alias("kept"),
     )
