@@ -96,7 +96,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 29,
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, dp_limit: int = 1 << 20, seed: int = 29,
 ) -> DataFrame:
     """The rows of `docs` with __size, __source_size, __target and __copies: how often the mix takes each.
 
@@ -108,7 +108,9 @@ def mix(
     hot source or a length shared by a third of all rows stays spread. Rows that
     share an id rank in any order but are alike; null ids and null sources are
     values like others. A source of empty texts has target 0. An empty table
-    gives no rows. Columns of `docs` come back as they are.
+    gives no rows. Columns of `docs` come back as they are; names that begin
+    with two underscores are reserved. `dp_limit` is what the dynamic programme
+    may leave open, in words (see `fit_counts`): its bit sets take that many bits.
     """
     key = F.xxhash64(F.lit(seed), F.col(id_col))
     rows = docs.select(
@@ -117,28 +119,28 @@ def mix(
         key.alias("__key"), F.pmod(key, F.lit(_SALTS)).cast("int").alias("__salt"),
     )
     group = ["__absent", "__source", "__size"]
-    salted = materialise(rows.groupBy(*group, "__salt").agg(F.count("*").alias("n")))
-    by_size = salted.groupBy(*group).agg(F.sum("n").alias("n"))
-    sources = by_size.groupBy("__absent", "__source").agg(F.sum(F.col("__size") * F.col("n")).alias("total"))
+    salted = materialise(rows.groupBy(*group, "__salt").agg(F.count("*").alias("__n")))
+    by_size = salted.groupBy(*group).agg(F.sum("__n").alias("__n"))
+    sources = by_size.groupBy("__absent", "__source").agg(F.sum(F.col("__size") * F.col("__n")).alias("total"))
     aims = materialise(targets(sources.withColumnsRenamed({"__absent": "absent", "__source": "source"}), weights, share, most))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        total, target = int(part["total"].iloc[0]), float(part["target"].iloc[0])
+        total, target = int(part["__total"].iloc[0]), float(part["__target"].iloc[0])
         rounds = min(most, int(target // total)) if total else 0
-        rest = fit_counts(part["__size"].to_numpy(), part["n"].to_numpy(), int(round(target - rounds * total)) if rounds < most else 0)
-        return part[[*group, "total", "target"]].assign(rounds=rounds, quota=rest)
+        rest = fit_counts(part["__size"].to_numpy(), part["__n"].to_numpy(), int(round(target - rounds * total)) if rounds < most else 0, dp_limit)
+        return part[[*group, "__total", "__target"]].assign(__rounds=rounds, __quota=rest)
 
-    aimed = by_size.join(aims.withColumnsRenamed({"absent": "__absent", "source": "__source"}), ["__absent", "__source"])
-    kinds = "__absent boolean, __source string, __size long, total long, target double, rounds int, quota long"
+    aimed = by_size.join(aims.withColumnsRenamed({"absent": "__absent", "source": "__source", "total": "__total", "target": "__target"}), ["__absent", "__source"])
+    kinds = "__absent boolean, __source string, __size long, __total long, __target double, __rounds int, __quota long"
     fitted = materialise(aimed.groupBy("__absent", "__source").applyInPandas(fit, kinds))
     # the quota of a size goes to its groups in order
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quotas = salted.withColumn("before", before).join(fitted, group).select(*group, "__salt", "total", "target", "rounds", (F.col("quota") - F.col("before")).alias("own"))
-    rank = F.row_number().over(Window.partitionBy(*group, "__salt").orderBy("__key", id_col))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quotas = salted.withColumn("__before", before).join(fitted, group).select(*group, "__salt", "__total", "__target", "__rounds", (F.col("__quota") - F.col("__before")).alias("__own"))
+    rank = F.row_number().over(Window.partitionBy(*group, "__salt").orderBy("__key", F.col(f"`{id_col}`")))
     chosen = rows.join(quotas, [*group, "__salt"]).withColumn("__rank", rank)
     return chosen.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "__size", F.col("total").alias("__source_size"), F.col("target").alias("__target"),
-        (F.col("rounds") + F.when(F.col("__rank") <= F.col("own"), 1).otherwise(0)).alias("__copies"),
+        *[F.col(f"`{c}`") for c in docs.columns], "__size", F.col("__total").alias("__source_size"), "__target",
+        (F.col("__rounds") + F.when(F.col("__rank") <= F.col("__own"), 1).otherwise(0)).alias("__copies"),
     )
 
 
