@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.grams import mix, shingles, slices
-from weft.llm.texts import small_batches
 from weft.operators.components import connected_components
 from weft.session import materialise
 
@@ -121,19 +120,95 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long, j double")
 
 
-def _ordered(left: str, right: str) -> list:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs of each member with the centre of its bucket: the member whose buckets hold the most, then the smallest id.
+
+    A class amid many near copies shares more bands than those at the rim, so
+    most buckets of a hot group have one centre and its star links most of it.
+    """
+    weight = buckets.groupBy("id").agg(F.sum("n").alias("w"))
+    centre = buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("m"))
+    return buckets.join(centre, "key").where("id <> m").select(F.least("m", "id").alias("a"), F.greatest("m", "id").alias("b"))
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """Pairs of each member with the least member of its bucket."""
-    least = buckets.groupBy("key").agg(F.min("id").alias("m"))
-    return buckets.join(least, "key").where("id <> m").select(*_ordered("m", "id"))
+def _blocks(members: DataFrame, queries: int, others: int) -> DataFrame:
+    """Rows (key, band, i, j, query, id, c, own) that deal each bucket into blocks of bounded size.
+
+    Strays of a bucket (members outside its largest component) fall into
+    chunks i of about `queries`, all members into chunks j of about `others`;
+    block (i, j) holds both. A member goes to as many blocks as there are chunks
+    of the other kind, so a block, and so a task, has a bounded size.
+    """
+    parts = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("strays"))
+    main = main.where("strays > 0").select("key", "main", F.ceil(F.col("strays") / queries).cast("int").alias("is"), F.ceil(F.col("all") / others).cast("int").alias("js"))
+    placed = members.join(main, "key").withColumn("stray", F.col("c") != F.col("main"))
+    chunk = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    asked = placed.where("stray").select("key", "band", chunk("is", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), F.lit(True).alias("query"), "id", "c")
+    given = placed.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), chunk("js", 2).alias("j"), F.lit(False).alias("query"), "id", "c")
+    return asked.union(given)
+
+
+def _block_links(group: pd.DataFrame, threshold: float, bands: int, rows: int) -> pd.DataFrame:
+    """Links that unite components within a block: every query against every other, by signature, then exactly.
+
+    Pairs of one component are passed over, and pairs whose signatures agree
+    in so few coordinates that a link would be 5.5 standard deviations off; a
+    pair is looked at in the first open bucket that it shares. The rest is
+    compared by whole sets of shingles. Links that close a circle aren't listed.
+    """
+    k, band = bands * rows, int(group["band"].iloc[0])
+    least = int(np.ceil(k * (threshold - 5.5 * (threshold * (1 - threshold) / k) ** 0.5)))
+    asked = group["query"].to_numpy()
+    ids, c = group["id"].to_numpy(), group["c"].to_numpy()
+    x, y = np.flatnonzero(asked), np.flatnonzero(~asked)
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "j": np.zeros(0)})
+    digest = np.frombuffer(b"".join(group["digest"]), np.uint16).reshape(len(group), k)
+    open_ = np.unpackbits(np.frombuffer(b"".join(group["open"]), np.uint8).reshape(len(group), -1), axis=1)[:, :bands].astype(bool)
+    sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
+    sizes = np.array([len(s) for s in sets])
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    columns = np.ascontiguousarray(digest[y].T)
+    for start in range(0, len(x), 128):
+        own = x[start : start + 128]
+        agree = np.zeros((len(own), len(y)), np.uint16)
+        for coordinate in range(k):
+            agree += digest[own, coordinate][:, None] == columns[coordinate][None, :]
+        # sizes alone bound the similarity; a pair of two queries counts once
+        ratio = np.minimum(sizes[own][:, None], sizes[y][None, :]) >= threshold * np.maximum(sizes[own][:, None], sizes[y][None, :]) - 1e-9
+        near = (agree >= least) & ratio & (c[own][:, None] != c[y][None, :])
+        for q in np.flatnonzero(near.any(axis=1)).tolist():
+            at, m = own[q], np.flatnonzero(near[q])
+            same = (digest[at] == digest[y[m]]).reshape(len(m), bands, rows).all(axis=2) & open_[at]
+            m = y[m[same.any(axis=1) & (same.argmax(axis=1) == band)]]
+            if not len(m):
+                continue
+            every = np.concatenate([sets[t] for t in m])
+            place = np.minimum(np.searchsorted(sets[at], every), sizes[at] - 1)
+            begin = np.cumsum(sizes[m]) - sizes[m]
+            common = np.add.reduceat((sets[at][place] == every).astype(np.int64), begin)
+            j = common / (sizes[m] + sizes[at] - common)
+            for t, found in zip(m.tolist(), j.tolist(), strict=True):
+                if found >= threshold - 1e-12:
+                    a, b = find(int(c[at])), find(int(c[t]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((ids[at], ids[t], found))
+    return pd.DataFrame(out, columns=["a", "b", "j"]).astype({"a": "int64", "b": "int64", "j": "float64"})
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5,
-    bands: int = 40, rows: int = 5, small: int = 16, seed: int = 41,
+    bands: int = 40, rows: int = 5, small: int = 16, block: tuple[int, int] = (512, 2048), seed: int = 41,
 ) -> DataFrame:
     """Rows (id, component_id, kept), one per input row.
 
@@ -142,23 +217,21 @@ def near_duplicates(
     similarity of `threshold` or more. component_id is the smallest id reachable
     by links, kept tells whether it is the row's own. Texts of equal words are
     one class, looked at once. 40 bands of 5 coordinates of a DartMinHash
-    signature miss a pair at 0.8 once in eight million times; every candidate is
+    signature miss a pair at 0.8 once in eight million times; every link is
     verified on the whole texts.
 
-    In a bucket of up to `small` classes all pairs are candidates. In a larger
-    one each class pairs with the least first. Where that leaves several
-    components, classes pair if their distances from the least allow a link and
-    they share three bands, which a pair at 0.8 fails once in 40,000 times:
-    those outside the largest component with all others if they are few, and
-    within buckets of two bands if they are many, so a hot passage doesn't make
-    pairs of all who hold it.
+    Classes that share a bucket are candidates. In buckets of up to `small`
+    classes all pairs are verified; a larger one is linked to its centre first,
+    and where several components remain, the members outside the largest one are
+    compared with all others in blocks of `block` (queries, others) on
+    executors, which list verified links only. So a hot group of near copies
+    makes a star and bounded blocks, no list of its pairs, and nothing is left
+    out at any size.
 
     Null texts and texts without words link with nothing. Rows with a null id
     come back with a null component and kept false. Rows that share an id are
     one vertex. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     k = bands * rows
 
@@ -174,53 +247,39 @@ def near_duplicates(
             hashes = np.concatenate(found) if found else np.zeros((0, bands), np.int64)
             yield pd.DataFrame({"id": batch["id"], "key": keys, "bands": list(hashes)})
 
+    def describe(batches):
+        darts = Darts(k, seed)
+        for batch in batches:
+            raw, digests, sets = [t.encode() for t in batch["text"]], [], []
+            for low, high in slices(raw):
+                owner, values = shingles(raw[low:high], words)
+                digests += [d.tobytes() for d in (mix(darts.signatures(owner, values, high - low)) >> _U(48)).astype(np.uint16)]
+                sets += [s.tobytes() for s in np.split(values, np.searchsorted(owner, np.arange(1, high - low)))]
+            yield batch[["id"]].assign(digest=digests, shingles=sets)
+
     sound = texts.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     signed = materialise(sound.mapInPandas(sign, "id long, key binary, bands array<long>"))
     classes = materialise(signed.groupBy("key").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")))
-    dealt = classes.select("id", F.explode("bands").alias("key"))
+    dealt = classes.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = materialise(dealt.join(sizes, "key"))
-    few, many = buckets.where(F.col("n") <= small).select("key", "id"), buckets.where(F.col("n") > small).select("key", "id")
-
+    few, many = buckets.where(F.col("n") <= small).select("key", "id"), buckets.where(F.col("n") > small)
     alike = F.col("j") >= threshold - 1e-12
 
-    def all_pairs(part: DataFrame, near=None) -> DataFrame:
-        other = part.withColumnsRenamed({c: f"{c}2" for c in part.columns if c != "key"})
-        on = (F.col("id") < F.col("id2")) if near is None else (F.col("id") < F.col("id2")) & near
-        return part.withColumnRenamed("key", "key1").join(other, (F.col("key1") == F.col("key")) & on).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-
-    tried = materialise(_verify(all_pairs(few).union(_stars(many)).distinct(), sound, words))
-    component = connected_components(tried.where(alike), "a", "b")
-    shared = buckets.groupBy("id").agg(F.collect_set("key").alias("bands"))  # at most one a band
-    agree = F.size(F.array_intersect("bands", "bands2")) >= 3
-
-    for deep in (False, True):
-        # large buckets that still hold several components, and how far each class is from the least of its bucket
-        least = many.groupBy("key").agg(F.min("id").alias("m"))
-        far = tried.select(F.col("a").alias("m"), F.col("b").alias("id"), (1 - F.col("j")).alias("d"))
-        open_ = many.join(component.withColumnRenamed("vertex", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        in_bucket = open_.groupBy("key", "c").agg(F.count("*").alias("n"))
-        main = in_bucket.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), (F.sum("n") - F.max("n")).alias("strays"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = open_.join(main, "key").join(least, "key").join(far, ["m", "id"], "left").join(shared, "id")
-        open_ = materialise(open_.select("key", "id", "c", "main", "strays", "bands", F.coalesce("d", F.lit(0.0)).alias("d")))
-        if open_.isEmpty():
-            break
-        # a metric: classes whose distances from one other differ by more than 1 - threshold don't link
-        near = open_ if deep else open_.where(F.col("strays") <= small)
-        left = near.where("c <> main").select(F.col("key").alias("key1"), "id", "c", "d", "bands")
-        right = near.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("bands").alias("bands2"))
-        close = (F.col("c") != F.col("c2")) & (F.abs(F.col("d") - F.col("d2")) <= 1 - threshold + 1e-9) & agree
-        pairs = left.join(right, (F.col("key1") == F.col("key")) & close).select(*_ordered("id", "id2"))
-        if not deep:
-            wide = open_.where(F.col("strays") > small).select("id", F.col("key").alias("first"), "bands", F.explode("bands").alias("second")).where("first <> second")
-            wide = wide.select("id", F.xxhash64(F.least("first", "second"), F.greatest("first", "second")).alias("key"), "bands").dropDuplicates(["id", "key"])
-            again = wide.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-            wide = materialise(wide.join(again, "key"))
-            many = wide.where(F.col("n") > small).select("key", "id")
-            pairs = pairs.union(all_pairs(wide.where(F.col("n") <= small).select("key", "id", "bands"), agree)).union(_stars(many))
-        now = _verify(pairs.distinct().join(tried, ["a", "b"], "left_anti"), sound, words)
-        tried = tried.union(materialise(now))
-        component = connected_components(tried.where(alike), "a", "b")
+    pairs = few.withColumnRenamed("key", "key1").join(few.withColumnRenamed("id", "id2"), (F.col("key1") == F.col("key")) & (F.col("id") < F.col("id2"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    tried = materialise(_verify(pairs.union(_stars(many)).distinct(), sound, words).where(alike))
+    component = materialise(connected_components(tried, "a", "b"))
+
+    # large buckets that still hold several components
+    members = many.join(component.withColumnRenamed("vertex", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
+    blocks = materialise(_blocks(members, *block))
+    mask = F.transform(F.sequence(F.lit(0), F.lit((bands + 7) // 8 * 8 - 1)), lambda b: F.array_contains("own", b).cast("int"))
+    open_ = blocks.where("not query").groupBy("id").agg(F.collect_set("band").alias("own")).select("id", mask.alias("open"))  # at most one row a band
+    about = materialise(sound.join(open_, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(describe, "id long, digest binary, shingles binary"))
+    dealt = blocks.join(about.join(open_, "id"), "id")
+    found = dealt.groupBy("key", "i", "j").applyInPandas(lambda g: _block_links(g, threshold, bands, rows), "a long, b long, j double")
+    tried = tried.select("a", "b").union(materialise(found).select("a", "b"))
+    component = connected_components(tried, "a", "b")
 
     of_key = classes.select("key", "id").join(component.withColumnRenamed("vertex", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("c"))
     members = signed.select("id", "key").join(of_key, "key").groupBy("id").agg(F.min("c").alias("c"))
