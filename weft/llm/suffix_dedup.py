@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.grams import mix, prefix_sums, span_hashes
-from weft.llm.texts import append, small_batches, strings
+from weft.llm.texts import append, strings
 from weft.session import materialise
 
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
+_BLOCK = 1024  # suffixes that are packed, compressed and read at a time
 
 
 class Suffixes:
@@ -63,7 +64,7 @@ class Suffixes:
 
 
 def pack_runs(s: Suffixes, parts: int, gram: int):
-    """(part, front-coded run): suffixes of each part in order, equal ones together, each without what it shares with the one before."""
+    """(part, run, block): suffixes of each part in order, equal ones together, each without what it shares with the one before, by blocks of a run."""
     if not len(s):
         return
     raw = s.data.tobytes()
@@ -85,13 +86,21 @@ def pack_runs(s: Suffixes, parts: int, gram: int):
         shared = lcp if not low else np.concatenate([shared, lcp])
     shared = np.concatenate([[0], shared])
     ordered = order.tolist()
-    at = 0
+    at, run, last = 0, 0, None
+
+    def _alike(k: int, other: int) -> bool:
+        return rights[k] == rights[other] and lefts[k] == lefts[other]
+
     while at < len(ordered):
-        own_part, rows = part_l[ordered[at]], []
-        tails, left_parts, last = [], [], None
-        while at < len(ordered) and part_l[ordered[at]] == own_part:
+        own_part, rows, begin = part_l[ordered[at]], [], at
+        tails, left_parts = [], []
+        if not begin or part_l[ordered[begin - 1]] != own_part:
+            last = None
+            run += 1
+        # a block of a run: the reader goes on from the suffix before
+        while at < len(ordered) and part_l[ordered[at]] == own_part and (len(rows) < _BLOCK or _alike(ordered[at], last)):
             k = ordered[at]
-            if last is not None and rights[k] == rights[last] and lefts[k] == lefts[last]:
+            if rows and _alike(k, last):
                 rows[-1][3] += 1
             else:
                 cut = int(shared[at]) if last is not None else 0
@@ -100,32 +109,32 @@ def pack_runs(s: Suffixes, parts: int, gram: int):
                 left_parts.append(lefts[k])
             last = k
             at += 1
-        heads = np.array(rows, np.uint32)
-        who = np.array(ordered[at - int(heads[:, 3].sum()) : at])
-        yield own_part, b"".join([
-            len(rows).to_bytes(4, "little"), heads[:, :3].astype(np.uint8).tobytes(), heads[:, 3].astype("<u4").tobytes(),
+        heads, who = np.array(rows, "<u4"), np.array(ordered[begin:at])
+        yield own_part, run, b"".join([
+            len(rows).to_bytes(4, "little"), heads.tobytes(),
             s.doc[who].astype("<i8").tobytes(), s.start[who].astype("<i8").tobytes(), *tails, *left_parts,
         ])
 
 
-def read_run(blob: bytes):
-    """(prefix shared with the one before, suffix, left context, documents, starts) of each suffix of a run."""
-    n = int.from_bytes(blob[:4], "little")
-    heads = np.frombuffer(blob, np.uint8, 3 * n, 4).reshape(n, 3)
-    copies = np.frombuffer(blob, "<u4", n, 4 + 3 * n)
-    total = int(copies.sum())
-    at = 4 + 7 * n
-    docs, starts = np.frombuffer(blob, "<i8", total, at).tolist(), np.frombuffer(blob, "<i8", total, at + 8 * total).tolist()
-    at += 16 * total
-    left_at = at + int(heads[:, 1].sum(dtype=np.int64) - heads[:, 0].sum(dtype=np.int64))
-    who, last = 0, b""
-    for (lcp, right, left), m in zip(heads.tolist(), copies.tolist(), strict=True):
-        tail = right - lcp
-        last = last[:lcp] + blob[at : at + tail]
-        yield lcp, last, blob[left_at : left_at + left], docs[who : who + m], starts[who : who + m]
-        at += tail
-        left_at += left
-        who += m
+def read_run(blocks):
+    """(prefix shared with the one before, suffix, left context, documents, starts) of each suffix of a run, given by its blocks."""
+    last = b""
+    for blob in blocks:
+        n = int.from_bytes(blob[:4], "little")
+        heads = np.frombuffer(blob, "<u4", 4 * n, 4).reshape(n, 4)
+        total = int(heads[:, 3].sum())
+        at = 4 + 16 * n
+        docs, starts = np.frombuffer(blob, "<i8", total, at).tolist(), np.frombuffer(blob, "<i8", total, at + 8 * total).tolist()
+        at += 16 * total
+        left_at = at + int(heads[:, 1].sum(dtype=np.int64) - heads[:, 0].sum(dtype=np.int64))
+        who = 0
+        for lcp, right, left, m in heads.tolist():
+            tail = right - lcp
+            last = last[:lcp] + blob[at : at + tail]
+            yield lcp, last, blob[left_at : left_at + left], docs[who : who + m], starts[who : who + m]
+            at += tail
+            left_at += left
+            who += m
 
 
 def merge(runs: list):
@@ -249,10 +258,16 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
     exchanged by part and combined by loser trees; neighbours that share an
     anchor form a block, in which windows are told apart. 3. A block of more
     than `hot` rows is passed on by windows: they are grouped by a 128-bit hash,
-    pre-aggregated, so no task holds such a block.
+    pre-aggregated, so no task holds such a block. The hash is the same map of
+    a window's bytes for all of them (no seed differs by task), and takes the
+    place of the comparison of bytes there: of 10^12 windows two unlike ones
+    share it with odds of 1 to 10^14.
     """
     import zstandard  # noqa: F401  the runs are compressed by it
 
+    if not 16 <= gram <= length <= slice_bytes or slice_bytes + length > 1 << 24:
+        raise ValueError("16 <= gram <= length <= slice_bytes is needed, and places in a slice of at most 2**24 bytes")
+
     spark = docs.sparkSession
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -262,8 +277,11 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def flush(pending):
-            found = list(pack_runs(Suffixes(pending, length, gram), parts, gram))
-            return pd.DataFrame({"part": [p for p, _ in found], "run": [squeeze.compress(b) for _, b in found]})
+            found: dict[tuple[int, int], list[bytes]] = {}
+            for part, run, block in pack_runs(Suffixes(pending, length, gram), parts, gram):
+                packed = squeeze.compress(block)
+                found.setdefault((part, run), []).append(len(packed).to_bytes(4, "little") + packed)
+            return pd.DataFrame({"part": [p for p, _ in found], "run": [b"".join(b) for b in found.values()]})
 
         pending, size = [], 0
         for batch in batches:
@@ -290,6 +308,14 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
                 "h": pd.array([r[3] for r in rows], dtype="Int64"), "g": pd.array([r[4] for r in rows], dtype="Int64"),
             })
 
+        def blocks(blob):
+            """The blocks of a run, expanded one at a time."""
+            at = 0
+            while at < len(blob):
+                size = int.from_bytes(blob[at : at + 4], "little")
+                yield expand.decompress(blob[at + 4 : at + 4 + size])
+                at += 4 + size
+
         def one_part(blobs):
             out, waiting, size = [], [], 0  # waiting: rows of whole blocks
             block: list[tuple] = []
@@ -307,7 +333,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
                     out.extend(resolve(waiting, length))
                     waiting, size = [], 0
 
-            for lcp, right, left, docs, starts in merge([read_run(expand.decompress(b)) for b in blobs]):
+            for lcp, right, left, docs, starts in merge([read_run(blocks(b)) for b in blobs]):
                 if lcp < gram:
                     close()
                 if len(block) >= hot:
@@ -376,7 +402,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others, and each loses what the id loses. Rows with a null id lose nothing
     and remove nothing. Columns of `docs` come back as they are.
     """
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spans = repeated_windows(texts, length, **options).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("__found")).withColumnRenamed("id", "__id")
     rows = docs.join(spans, docs[id_col].cast("long") == spans["__id"], "left").select(*[docs[c] for c in docs.columns], "__found")
