@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.texts import small_batches
+from weft.llm.texts import portions
 
 # The template. A turn is OPEN role CLOSE text END; no text or role can hold one of these after escaping.
 OPEN, CLOSE, END = "<s><|", "|>\n", "</s>\n"
@@ -90,20 +90,28 @@ def digest(rendered: DataFrame) -> DataFrame:
     holds one batch and two running digests, however long a conversation is.
     """
 
+    conv_type = rendered.schema["conv_id"].dataType
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
     def read(batches):
-        now, state, done = None, None, []
+        now, state, done, kind = None, None, [], None
 
         def close():
             n, turns, chars, loss, formatted = state
             done.append((now[0], n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
 
-        for batch in batches:
-            for conv, turn, start, end in zip(batch["conv_id"], batch["turn"], batch["loss_start"], batch["loss_end"], strict=True):
-                key = (None,) if pd.isna(conv) else (conv,)
-                if key != now:
+        def table():
+            columns = list(zip(*done, strict=True)) or [()] * 6
+            kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for batch in portions(batches):
+            kind = batch.schema.field("conv_id").type
+            for conv, turn, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "loss_start", "loss_end")), strict=True):
+                if now is None or conv != now[0]:
                     if state:
                         close()
-                    now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 role, text, _ = parse(turn)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
@@ -112,19 +120,14 @@ def digest(rendered: DataFrame) -> DataFrame:
                 state[3].update(under.encode())
                 state[4] += len(turn)
             if done:
-                yield table(done)
-                done = []
+                yield table()
+                done.clear()
         if state:
             close()
-        yield table(done)
-
-    def table(rows):
-        return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield table()
 
-    small_batches(rendered.sparkSession)
     dealt = rendered.select("conv_id", "position", "turn", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    kind = rendered.schema["conv_id"].dataType.simpleString()
-    return dealt.select("conv_id", "turn", "loss_start", "loss_end").mapInPandas(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.select("conv_id", "turn", "loss_start", "loss_end").mapInArrow(read, f"conv_id {conv_type.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def as_events(turns: DataFrame, chunk: int = 256) -> DataFrame:
