@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from array import array
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,49 +14,91 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.texts import append, small_batches, strings
+from weft.llm.texts import append, portions, strings
 from weft.session import materialise
 
 _SALTS = 64  # a hot length is ranked in so many groups
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Text with these goes through the tokenizer whole: its special strings, and characters on whose class or lower case libraries differ.
-_ODD = regex.compile(r"<\|(?:start|end)oftext\|>|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD = regex.compile(_PATTERN)
+#: Text with these goes through the tokenizer whole: characters on whose class, lower case or being white space libraries differ.
+_ODD = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
 class WordTokenizer:
-    """Ids of whole texts through a cache of words: the vocabulary never merges across words."""
+    """Ids of whole texts through a cache of what stands between blanks.
+
+    A vocabulary that drops white space, takes lower case and cuts words by the
+    pattern above gives each run of other characters the same ids wherever it
+    stands, so a text is split at blanks and every distinct run is looked up
+    once (`by_runs`). Whether a vocabulary is of that kind is read from its
+    file; texts of any other one, texts with odd characters and texts with the
+    vocabulary's special strings go through the tokenizer as they are.
+    """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 64 << 20):
+        """room: bytes of runs and ids that the cache holds before it is emptied."""
         from tokenizers import Tokenizer
 
-        self.whole, self.room, self.known = Tokenizer.from_file(path), room, {}
+        self.whole, self.room, self.held, self.known = Tokenizer.from_file(path), room, 0, {}
         self.merge = self.whole.model.tokenize
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.by_runs = _drops_blanks(said)
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in said.get("added_tokens") or []) or r"(?!)")
         # byte-level names: printable bytes stand for themselves, the others for what follows 255
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.names = {b: 256 + k for k, b in enumerate(rest)}
 
+    def _run(self, run: str) -> bytes:
+        words = _WORD.findall((run if run.isascii() else unicodedata.normalize("NFC", run)).lower())
+        if len(words) == 1 and words[0] != run and words[0] in self.known:
+            return self.known[words[0]]
+        return array("I", [t.id for word in words for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.names))]).tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, split, odd = self.known, {}, []
-        if len(known) > self.room:
-            known.clear()
+        known, out, odd = self.known, [b""] * len(texts), []
         for k, text in enumerate(texts):
-            if _ODD.search(text):
+            if not self.by_runs or _ODD.search(text) or self.special.search(text):
                 odd.append(k)
-            else:
-                split[k] = _WORD.findall(unicodedata.normalize("NFC", text).lower())
-        for word in set().union(*split.values()):
-            if word not in known:
-                known[word] = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.names))]).tobytes()
-        out = [b""] * len(texts)
-        for k, own in split.items():
-            out[k] = b"".join(map(known.__getitem__, own))
-        for k in odd:
-            out[k] = np.array(self.whole.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            runs = text.split()
+            try:
+                out[k] = b"".join(map(known.__getitem__, runs))
+            except KeyError:
+                for run in [r for r in set(runs) if r not in known]:
+                    known[run] = found = self._run(run)
+                    self.held += 100 + len(run) + len(found)
+                out[k] = b"".join(map(known.__getitem__, runs))
+            if self.held > self.room:
+                known.clear()
+                self.held = 0
+        for k, found in zip(odd, self.whole.encode_batch([texts[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = np.array(found.ids, "<u4").tobytes()
         return out
 
 
+@lru_cache(1)
+def coder(path: str) -> WordTokenizer:
+    """One tokenizer a worker process: its tasks share what is read and cached."""
+    return WordTokenizer(path)
+
+
+def _drops_blanks(said: dict) -> bool:
+    """Whether a vocabulary file takes NFC and lower case, drops white space and cuts words by `_WORD`, byte by byte, without further rules."""
+    own = lambda steps, kind: [s for s in steps if s.get("type") == kind]
+    norm, pre = (said.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    norms, pres = norm.get("normalizers", [norm]), pre.get("pretokenizers", [pre])
+    splits, levels = own(pres, "Split"), own(pres, "ByteLevel")
+    blanks = own(norms, "Replace")
+    return (
+        [s.get("type") for s in norms if s.get("type") != "Replace"] == ["NFC", "Lowercase"] and all(b["pattern"] == {"Regex": r"\s+"} and b["content"] == " " for b in blanks)
+        and [s.get("type") for s in pres] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": _PATTERN} and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        and not levels[0]["add_prefix_space"] and not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in said.get("added_tokens") or [])
+    )
+
+
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """Rows (id, piece, start, length, ids): every document's ids and `end_id`, cut after each `capacity` ids.
 
@@ -66,12 +110,11 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    small_batches(docs.sparkSession)
 
     def tokenize(batches):
-        coder, end = WordTokenizer(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            found = [x + end for x in coder.ids(strings(batch, "text"))]
+        own, end = coder(tokenizer), np.array([end_id], "<u4").tobytes()
+        for batch in portions(batches):
+            found = [x + end for x in own.ids(strings(batch, "text"))]
             cuts = [(k, n, at) for k, ids in enumerate(found) for n, at in enumerate(range(0, len(ids) // 4, capacity))]
             parts = [found[k][at * 4 : (at + capacity) * 4] for k, _, at in cuts]
             owner, nth, start = (np.array(x, np.int64) for x in (zip(*cuts, strict=True) if cuts else ((), (), ())))
