@@ -106,9 +106,3 @@ def append(df: DataFrame, keep: list[str], make: Callable, new: dict[str, tuple[
 def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     """A text column with null texts as empty ones."""
     return [t or "" for t in batch.column(column).to_pylist()]
-
-
-def small_batches(spark, rows: int = 1000, mb: int = 16) -> None:
-    """Bound what one Arrow batch of texts can hold, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
