@@ -1,17 +1,10 @@
-"""Media columns: lossless WebP (VP8L), written and read as pixel arrays."""
+"""Lossless WebP (VP8L): one picture at a time, all parts of the format. `webp_batch` does many at once."""
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import zlib
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from weft.llm.texts import append, strings
 
 # Fixed values of the format: the order of code length codes, and the places near a pixel that the first 120 distance codes stand for.
 _LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -364,8 +357,6 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     green = 280 + (1 << cache_bits if cache_bits else 0)
     codes = [[read_code(r, s) for s in (green, 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and codes[0][0].symbols.max() < 256:
-        return _read_literals(r, n, codes[0])
     out, cache = [], [0] * (1 << cache_bits)
     mask, tables, at = (1 << 15) - 1, [[(*t.lists(), (1 << t.bits) - 1) for t in own] for own in codes], 0
     data, bit = r.data, r.at
@@ -421,61 +412,6 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _read_literals(r: Reader, n: int, codes: list[Table], step: int = 1 << 16) -> np.ndarray:
-    """Pixels of an image whose green code has literals only.
-
-    What a pixel that began at any bit would take is looked up for all bits of a
-    stretch at once; following these lengths from the first pixel then finds the
-    pixels.
-    """
-    tables = codes[:4]
-    live = [k for k in range(4) if tables[k].bits]
-    place = (8, 16, 0, 24)
-    fixed = sum(int(tables[k].symbols[0]) << place[k] for k in range(4) if k not in live)
-    if not live:
-        return np.full(n, fixed, np.uint32)
-    raw, out, done = np.frombuffer(r.data, np.uint8), np.full(n, fixed, np.uint32), 0
-    while done < n:
-        base = r.at >> 3
-        part = raw[base : base + step + 12]
-        if len(part) < 13:
-            raise ValueError("the image ends early")
-        words = part[:-3].astype(np.uint32)
-        for k in (1, 2, 3):
-            words |= part[k : len(part) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
-        peeks = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
-        most = 8 * (len(words) - 8)
-        at = np.arange(most + 1, dtype=np.int32)
-        for k in live:
-            at = at + tables[k].lens[peeks[at] & np.uint32((1 << tables[k].bits) - 1)]
-        at[most] = most
-        # the ways of 1, 2, 4, ... pixels from each bit; the longest are walked, the shorter fill in between
-        ways = [np.minimum(at, most)]
-        for _ in range(7):
-            ways.append(ways[-1][ways[-1]])
-        far, here, found = ways.pop(), r.at & 7, []
-        while here < most:
-            found.append(here)
-            here = int(far[here])
-        at = np.array(found, np.int32)
-        for way in reversed(ways):
-            at = np.stack([at, way[at]], 1).ravel()
-        at = at[at < most][: n - done]
-        found = len(at)
-        end = int(ways[0][at[-1]]) if found else most
-        if end == most:  # the last pixel may end beyond the stretch: its own length tells where
-            end = int(at[-1])
-            for k in live:
-                end += int(tables[k].lens[peeks[end] & np.uint32((1 << tables[k].bits) - 1)])
-        for k in live:
-            peek = peeks[at] & np.uint32((1 << tables[k].bits) - 1)
-            out[done : done + found] |= tables[k].symbols[peek].astype(np.uint32) << np.uint32(place[k])
-            at = at + tables[k].lens[peek]
-        done += found
-        r.at = base * 8 + end
-    return out
-
-
 # --- transforms -----------------------------------------------------------------------------------------------------------
 
 
@@ -690,76 +626,3 @@ def decode(media: bytes) -> np.ndarray:
             table[: len(colours)] = colours
             argb = table[index]
     return np.stack([argb >> 16 & 255, argb >> 8 & 255, argb & 255, argb >> 24], -1).astype(np.uint8).reshape(height, width, 4)
-
-
-# --- payloads in images -----------------------------------------------------------------------------------------------------
-
-_UNIT = 576
-
-
-def store(payload: bytes, row: int = _UNIT) -> bytes:
-    """The bytes as green samples of one or more lossless WebP files, one after another.
-
-    The length is a positive multiple of `row`. A row holds `row` samples, or a
-    multiple of them where a picture would be too high; what exceeds the largest
-    picture goes to further files.
-    """
-    samples = np.frombuffer(payload, np.uint8)
-    files, widest = [], _MOST // row * row
-    while len(samples):
-        rows = len(samples) // row
-        each = max(1, min(widest // row, -(-rows // _MOST)))
-        while rows % each and rows > each * _MOST - each:
-            each += 1
-        height = min(_MOST, rows // each)
-        files.append(encode(samples[: height * each * row].reshape(height, each * row)))
-        samples = samples[height * each * row :]
-    return b"".join(files)
-
-
-def load(media: bytes) -> bytes:
-    """The bytes behind `store`."""
-    out, at = [], 0
-    while at < len(media):
-        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        out.append(decode(media[at : at + size])[:, :, 1].tobytes())
-        at += size
-    return b"".join(out)
-
-
-def feature(samples: np.ndarray, row: int = _UNIT) -> str:
-    """Mean of the samples in thousandths, and 64 bits: which of 64 columns of the picture are lighter than it."""
-    columns = samples.reshape(-1, 64, row // 64).sum(axis=(0, 2), dtype=np.int64)
-    total = int(columns.sum())
-    bits = columns * 64 > total
-    return f"{total * 1000 // len(samples)}:{int.from_bytes(np.packbits(bits).tobytes(), 'big'):016x}"
-
-
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
-    """Rows (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[, media]).
-
-    Every whole text, a null one as empty, is padded with bytes 255 to a
-    positive multiple of 576, stored as lossless WebP and read back; digests and
-    feature come from what was read. Long texts take several files. Other
-    columns are ignored; repeated rows give repeated results.
-    """
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-
-    def convert(batch):
-        rows = []
-        for text in strings(batch, "text"):
-            raw = text.encode()
-            media = store(raw + b"\xff" * (-len(raw) % _UNIT or (0 if raw else _UNIT)))
-            back = load(media)
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(back, np.uint8)), media if keep_media else None))
-        return dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in names}
-
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-    sql = ["long", "long", "string", "long", "long", "string", "string", "binary"]
-    new = {c: (k, kinds[k]) for c, k in list(zip(names, sql, strict=True))[: 8 if keep_media else 7]}
-    return append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], lambda: convert, new)
-
-
-def op8_media(spark, sf_dir: str) -> DataFrame:
-    """All whole texts of `documents` through lossless WebP and back."""
-    return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).withColumnRenamed("id", "doc_id")

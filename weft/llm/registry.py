@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import best_fit_packing, budget_mix, chat_events, crf_toxicity, dart_minhash, lossless_webp, mil_quality, ppm_language, rp_forest, suffix_dedup
+from weft.llm import best_fit_packing, budget_mix, chat_events, crf_toxicity, dart_minhash, media, mil_quality, ppm_language, rp_forest, suffix_dedup
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -39,7 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": ppm_language.op5_language_id,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_toxicity": crf_toxicity.op7_toxicity,
-        "op8_media": lossless_webp.op8_media,
+        "op8_media": media.op8_media,
         "op9_chat_format": chat_events.op9_chat_format,
         "op10_packing": best_fit_packing.op10_packing,
     }
