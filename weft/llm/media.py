@@ -83,7 +83,7 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     sql = ["long", "long", "string", "long", "long", "string", "string", "binary"]
     new = {c: (k, kinds[k]) for c, k in list(zip(names, sql, strict=True))[: 8 if keep_media else 7]}
-    return append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], lambda: convert, new, rows=2000, mb=8)
+    return append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], lambda: convert, new, rows=1000, mb=4)
 
 
 def pixels(table: DataFrame, media_col: str = "media") -> DataFrame:

@@ -15,7 +15,6 @@ from weft.llm.lossless_webp import _CACHE_HASH, _LENGTH_ORDER, _NEAR, Reader, de
 
 _U = np.uint64
 _LONGEST = 12  # bits of a code that this writer makes
-_OPAQUE = np.uint32(0xFF000000)
 _REVERSED = np.array([int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)], np.int64)
 #: Ways to take a picture: as it is, less its green, less its left or its upper neighbours.
 PLAIN, GREEN, LEFT, TOP = range(4)
@@ -223,22 +222,28 @@ def _split(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (pixels >> 8 & 255).astype(np.int64), (pixels >> 16 & 255).astype(np.int64), (pixels & 255).astype(np.int64)
 
 
-def _join(red: np.ndarray, green: np.ndarray, blue: np.ndarray, alpha: np.ndarray | int) -> np.ndarray:
-    return (alpha << 24 | (red & 255) << 16 | (green & 255) << 8 | blue & 255).astype(np.uint32)
+def _join(red: np.ndarray, green: np.ndarray, blue: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    return alpha << np.uint32(24) | red << np.uint32(16) | green << np.uint32(8) | blue
 
 
-def _less(pixels: np.ndarray, way: int, width: int, place: np.ndarray) -> np.ndarray:
-    """What a way leaves of pixels; `place` is the place of each in its picture."""
+def _less(channels: list[np.ndarray], way: int, width: int, place: np.ndarray) -> list[np.ndarray]:
+    """What a way leaves of 8-bit channels (green, red, blue); `place` is the place of each pixel in its picture."""
+    g, r, b = channels
     if way == PLAIN:
-        return pixels
-    g, r, b = _split(pixels)
+        return channels
     if way == GREEN:
-        return _join(r - g, g, b - g, 255)
-    x, y = place % width, place // width
-    back = np.where(place == 0, 0, np.where(((way == LEFT) & (x > 0)) | (y == 0), 1, width))
-    from_ = np.arange(len(pixels)) - back
-    none = place == 0
-    return _join(*(np.where(none, c, c - c[from_]) for c in (r, g, b)), 0)
+        return [g, r - g, b - g]
+    if way == LEFT:
+        back = np.where(place % width > 0, 1, np.where(place > 0, width, 0))
+    else:
+        back = np.where(place >= width, width, np.where(place > 0, 1, 0))
+    at = np.flatnonzero(back)
+    from_, out = at - back[at], []
+    for c in channels:
+        left = c.copy()
+        left[at] -= c[from_]
+        out.append(left)
+    return out
 
 
 def encode_many(pictures: list[np.ndarray], cache_bits: int = 8) -> list[bytes]:
@@ -253,27 +258,30 @@ def encode_many(pictures: list[np.ndarray], cache_bits: int = 8) -> list[bytes]:
         return []
     n, width = len(pictures), pictures[0].shape[1]
     size = np.array([p.shape[0] * width for p in pictures])
-    owner = np.repeat(np.arange(n), size)
-    offset = np.cumsum(size) - size
-    place = np.arange(len(owner)) - offset[owner]
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)  # 32 bits: the arrays of a batch are what its time goes into
+    offset = (np.cumsum(size) - size).astype(np.int32)
+    place = np.arange(len(owner), dtype=np.int32) - offset[owner]
     flat = np.concatenate([p.reshape(-1, 3) for p in pictures])
-    pixels = _join(flat[:, 0].astype(np.int64), flat[:, 1].astype(np.int64), flat[:, 2].astype(np.int64), 255)
+    channels = [np.ascontiguousarray(flat[:, k]) for k in (1, 0, 2)]
     del flat
 
     # the way of each picture
-    cost = np.empty((4, n))
+    cost, ways, rows = np.empty((4, n)), [], owner * 256
     for way in (PLAIN, GREEN, LEFT, TOP):
-        left = _less(pixels, way, width, place)
-        cost[way] = sum(_bits_of(_histogram(owner, c, n, 256)) for c in _split(left)) + (way != PLAIN) * 40
+        ways.append(_less(channels, way, width, place))
+        cost[way] = sum(_bits_of(np.bincount(rows + c, minlength=n * 256).reshape(n, 256)) for c in ways[way]) + (way != PLAIN) * 40
     chosen = cost.argmin(0)
     for way in (GREEN, LEFT, TOP):
         if (chosen == way).any():
-            pixels = np.where(chosen[owner] == way, _less(pixels, way, width, place), pixels)
+            mine = chosen[owner] == way
+            channels = [np.where(mine, c, own) for c, own in zip(ways[way], channels, strict=True)]
+    del ways, rows
+    pixels = _join(*(channels[k].astype(np.uint32) for k in (1, 0, 2)), np.where(np.isin(chosen, (LEFT, TOP)), 0, 255).astype(np.uint32)[owner])
 
     # where the run of three pixels at each place stood before, and how far the run goes on
     triple = pixels[:-2].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + pixels[1:-1] * _U(0xC2B2AE3D27D4EB4F) + pixels[2:] * _U(0x165667B19E3779F9)
     before = _earlier(triple ^ triple >> _U(29), owner[:-2], place[:-2])
-    before = np.append(before, [0, 0]) if len(pixels) > 2 else np.zeros(len(pixels), np.int64)
+    before = np.append(before, np.zeros(2, np.int32)) if len(pixels) > 2 else np.zeros(len(pixels), np.int32)
     before[size[owner] - place < 3] = 0
     at = np.flatnonzero(before)
     same = np.ones(len(at), bool)
@@ -282,10 +290,11 @@ def encode_many(pictures: list[np.ndarray], cache_bits: int = 8) -> list[bytes]:
     before[at[~same]] = 0
     turn = np.ones(len(before), bool)  # the distance changes after this place
     turn[:-1] = (before[1:] != before[:-1]) | (owner[1:] != owner[:-1])
-    ends = np.flatnonzero(turn)
-    run = np.where(before > 0, ends[np.searchsorted(ends, np.arange(len(before)))] - np.arange(len(before)) + 3, 0)
+    ends = np.flatnonzero(turn).astype(np.int32)
+    run = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(before), dtype=np.int32) + 3
+    run[before == 0] = 0
     # greedy, all pictures in step: 0 inside a copy, 1 a pixel, 2 a copy
-    kind, left, order = np.zeros(len(pixels), np.int8), np.zeros(n, np.int64), np.argsort(-size, kind="stable")
+    kind, left, order = np.zeros(len(pixels), np.int8), np.zeros(n, np.int32), np.argsort(-size, kind="stable")
     sizes, offsets = size[order], offset[order]
     for t in range(int(size.max())):
         m = int(np.searchsorted(-sizes, -t, "left"))
@@ -300,7 +309,9 @@ def encode_many(pictures: list[np.ndarray], cache_bits: int = 8) -> list[bytes]:
     # a pixel that its place in the cache holds
     key = (pixels.astype(np.uint64) * _U(_CACHE_HASH) & _U(0xFFFFFFFF)) >> _U(32 - cache_bits)
     last = _earlier(key, owner, place)
-    held = (last > 0) & (pixels[np.arange(len(pixels)) - last] == pixels)
+    held = np.flatnonzero(last)
+    held = held[pixels[held - last[held]] == pixels[held]]
+    held = np.bincount(held, minlength=len(pixels)).astype(bool)
     codes = _split(pixels[single])
     alone = [_histogram(owner[single], c, n, 256) for c in codes]
     miss = single[~held[single]]
@@ -348,9 +359,7 @@ def encode_many(pictures: list[np.ndarray], cache_bits: int = 8) -> list[bytes]:
     whose, is_copy = owner[tokens], kind[tokens] == 2
     from_cache = held[tokens] & cached[whose] & ~is_copy
     g, r, b = _split(pixels[tokens])
-    copy = np.zeros(len(pixels), np.int64)
-    copy[copied] = np.arange(len(copied))
-    copy = copy[tokens]
+    copy = np.maximum(np.cumsum(is_copy) - 1, 0)
     symbol = np.where(is_copy, 256 + (length[copy] if len(copied) else 0), np.where(from_cache, 280 + key[tokens].astype(np.int64), g))
     pick = lambda which, s: (written[which][0][whose, s], written[which][1][whose, s])
     (v0, n0), (v1, n1), (v2, n2) = pick(0, symbol), pick(1, r), pick(2, b)
@@ -382,7 +391,7 @@ def _put_green(out: Emission, counts: np.ndarray, cached: np.ndarray) -> tuple[n
 
 def _earlier(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
     """How far back in its picture each place's key last stood; 0 where it didn't."""
-    found = np.zeros(len(key), np.int64)
+    found = np.zeros(len(key), np.int32)
     if not len(key):
         return found
     wide = int(place.max()).bit_length()
