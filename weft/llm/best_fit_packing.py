@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.texts import append, portions, strings
+from weft.llm.texts import append, give_back, portions, strings
 from weft.session import materialise
 
 _SALTS = 64  # a hot length is ranked in so many groups
@@ -35,7 +35,7 @@ class WordTokenizer:
     vocabulary's special strings go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, room: int = 64 << 20):
+    def __init__(self, path: str, room: int = 48 << 20):
         """room: bytes of runs and ids that the cache holds before it is emptied."""
         from tokenizers import Tokenizer
 
@@ -120,6 +120,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
             owner, nth, start = (np.array(x, np.int64) for x in (zip(*cuts, strict=True) if cuts else ((), (), ())))
             columns = [batch.column("id").take(pa.array(owner)), pa.array(nth.astype(np.int32)), pa.array(start), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids"])
+            del batch, found, parts, columns
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tokenize, f"id {kind}, piece int, start long, length long, ids binary")

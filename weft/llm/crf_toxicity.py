@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.texts import append, held_out, portions, sample_of_labels, strings
+from weft.llm.texts import append, give_back, held_out, portions, sample_of_labels, strings
 
 _WORD = re.compile(r"\w+")
 _HASHES = [(np.uint64(m), np.uint64(c)) for m, c in ((2654435, 97), (40503, 7919), (1597334, 104729), (69069, 1299709))]
@@ -308,6 +308,8 @@ def drop_toxic(
     def keep(batches):
         for batch in portions(batches):
             yield batch.filter(pa.array(own_scores(field.value, strings(batch, text_col))[0] < threshold))
+            del batch
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
 

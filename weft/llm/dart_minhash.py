@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.grams import mix, shingles, slices
+from weft.llm.texts import give_back
 from weft.operators.components import connected_components
 from weft.session import materialise
 
@@ -115,6 +116,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 union = size[0::2] + size[1::2] - common
                 found[low // 2 : high // 2] = common / np.maximum(union, 1)
             yield batch[["a", "b"]].assign(j=found)
+            del batch, left, right, both
+        give_back()
 
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long, j double")
@@ -246,6 +249,8 @@ def near_duplicates(
                 found.append(band_hashes(darts.signatures(owner, values, high - low), bands, rows).view(np.int64))
             hashes = np.concatenate(found) if found else np.zeros((0, bands), np.int64)
             yield pd.DataFrame({"id": batch["id"], "key": keys, "bands": list(hashes)})
+            del batch, raw, keys, hashes
+        give_back()
 
     def describe(batches):
         darts = Darts(k, seed)
@@ -256,6 +261,8 @@ def near_duplicates(
                 digests += [d.tobytes() for d in (mix(darts.signatures(owner, values, high - low)) >> _U(48)).astype(np.uint16)]
                 sets += [s.tobytes() for s in np.split(values, np.searchsorted(owner, np.arange(1, high - low)))]
             yield batch[["id"]].assign(digest=digests, shingles=sets)
+            del batch, raw, digests, sets
+        give_back()
 
     sound = texts.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     signed = materialise(sound.mapInPandas(sign, "id long, key binary, bands array<long>"))

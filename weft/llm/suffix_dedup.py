@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.grams import mix, prefix_sums, span_hashes
-from weft.llm.texts import append, strings
+from weft.llm.texts import append, give_back, strings
 from weft.session import materialise
 
 _U = np.uint64
@@ -34,7 +34,10 @@ class Suffixes:
         begin = np.cumsum(lens) - lens
         n = int(lens.sum())
         words = np.lib.stride_tricks.as_strided(self.data[:8].view(np.uint64), (n + length, ), (1,))
-        hashes = mix(words[:n] ^ mix(words[gram - 8 : n + gram - 8]))
+        hashes = np.empty(n, np.uint64)
+        for low in range(0, n, 1 << 18):
+            high = min(n, low + (1 << 18))
+            hashes[low:high] = mix(words[low:high] ^ mix(words[low + gram - 8 : high + gram - 8]))
         least = hashes & ~_LOW | np.arange(n, dtype=np.uint64)
         width, want = 1, length - gram + 1
         while width * 2 <= want:
@@ -42,18 +45,20 @@ class Suffixes:
             width *= 2
         if want > width:
             least = np.minimum(least[: len(least) - (want - width)], least[want - width :])
-        inside = np.zeros(n + 1, np.int64)
+        inside = np.zeros(n + 1, np.int32)
         fits = lens >= length
         inside[begin[fits]] += 1
         inside[begin[fits] + lens[fits] - length + 1] -= 1
-        at = np.flatnonzero(np.cumsum(inside)[: len(least)] > 0)
-        anchor = (least[at] & _LOW).astype(np.int64)
-        owner = np.searchsorted(begin, at, "right") - 1
+        # 32 bits for what a slice holds of every byte
+        at = np.flatnonzero(np.cumsum(inside, out=inside)[: len(least)] > 0).astype(np.int32)
+        anchor = (least[at] & _LOW).astype(np.int32)
+        del least, inside
+        owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens)[at]
         new = np.ones(len(at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
-        self.first, self.anchor = at[first], anchor[first]
-        self.end = at[np.append(first[1:], len(at)) - 1] + length if len(at) else at
+        self.first, self.anchor = at[first].astype(np.int64), anchor[first].astype(np.int64)
+        self.end = at[np.append(first[1:], len(at)) - 1].astype(np.int64) + length if len(at) else self.first
         own = owner[first]
         docs, base = np.array([d for d, _, _ in texts], np.int64), np.array([o for _, o, _ in texts], np.int64)
         self.doc, self.start = docs[own], self.first - begin[own] + base[own]
@@ -250,7 +255,7 @@ def resolve(block: list[tuple[bytes, bytes, int, int]], length: int, open_: bool
     return out
 
 
-def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_bytes: int = 8 << 20, hot: int = 100_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_bytes: int = 4 << 20, hot: int = 100_000) -> DataFrame:
     """Rows (id, first, last): starts of windows of (id, text) whose bytes also start earlier.
 
     1. A task samples the suffixes of a slice of its texts, sorts them, joins
@@ -296,6 +301,8 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
                     size += len(piece)
         if pending:
             yield flush(pending)
+            del pending
+        give_back()
 
     def combine(batches):
         import zstandard
@@ -366,6 +373,8 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
                 blobs.append(run)
         if blobs:
             yield from one_part(blobs)
+            del blobs
+        give_back()
 
     runs = docs.where(F.col("id").isNotNull() & (F.octet_length("text") >= length)).select("id", "text").mapInPandas(exchange, "part int, run binary")
     found = materialise(runs.repartition("part").sortWithinPartitions("part").mapInPandas(combine, "id long, first long, last long, h long, g long"))

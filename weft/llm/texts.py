@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
+from contextlib import suppress
 
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +36,14 @@ def portions(batches, rows: int = 1000, mb: int = 16):
                 yield part
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system. Python workers live on from task to task and would keep their peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def learnt_part(text: str, key: str, most: int, seed: int) -> Column:
     """What is learnt of a text: all of it, or of one over `most` code points a stretch of so many at a place that the key's hash picks."""
     spare = F.char_length(text) - most
@@ -96,6 +107,8 @@ def append(df: DataFrame, keep: list[str], make: Callable, new: dict[str, tuple[
             found = columns(batch)
             arrays = [batch.column(c) for c in keep] + [pa.array(found[c], type=kind, from_pandas=True) for c, (_, kind) in new.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *new])
+            del batch, found, arrays
+        give_back()
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep] + [f"`{c}` {kind}" for c, (kind, _) in new.items()]
     order = {c: k for k, c in enumerate(keep)}
