@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -29,36 +30,71 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir.
+
+    Where that is unset a local session (tests, the bench) takes a temporary
+    folder; on a cluster executors wouldn't see it, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession, mb: int = 16):
+    """Within it what runs sends at most `mb` MB to a Python worker at once; afterwards the session is as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(mb << 20))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialise(df: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back.
 
     It cuts lineage like checkpoint(), computes each row once, survives the loss
-    of any executor, and keeps columns pruned and compressed. The tables go when
-    the driver exits.
+    of any executor, and keeps columns pruned and compressed. With `onto`, itself
+    the result of such a call, the rows of both: only those of `df` are written,
+    beside the others. The tables go when the driver exits, or with `release`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    paths = [f"{shared_dir(spark).rstrip('/')}/weft-{uuid.uuid4().hex}"]
+    with small_batches(spark):
+        df.write.parquet(paths[0])
+    _written[paths[0]] = spark
+    if onto is not None:
+        paths = [*onto.weft_paths, *paths]
+    out = spark.read.schema(df.schema).parquet(*paths)
+    out.weft_paths = paths
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that `materialise` gave and that nothing reads any longer."""
+    for frame in frames:
+        for path in getattr(frame, "weft_paths", ()):
+            if path in _written:
+                _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_materialised() -> None:
     """Remove every table written so far; frames that read them are unusable afterwards."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone at exit
             return
 
