@@ -35,7 +35,7 @@ class WordTokenizer:
     vocabulary's special strings go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, room: int = 48 << 20):
+    def __init__(self, path: str, room: int = 32 << 20):
         """room: bytes of runs and ids that the cache holds before it is emptied."""
         from tokenizers import Tokenizer
 

@@ -37,13 +37,17 @@ class Field:
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
 
+    def forget(self) -> None:
+        """Empty the cache of words: a worker keeps a field as long as the driver's handle lives."""
+        self._known.clear()
+
     def emission(self, word: str) -> float:
         get = self.weights.get
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
         known = self._known
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         for word in set(tokens):
             if word not in known:
@@ -57,7 +61,7 @@ class Field:
         at = 0
         while at < len(order):
             group = [order[at]]
-            while at + len(group) < len(order) and len(group) < 512 and (len(group) + 1) * len(texts[order[at + len(group)]]) <= 1_000_000 and len(texts[order[at + len(group)]]) <= 32 + 2 * len(texts[group[0]]):
+            while at + len(group) < len(order) and len(group) < 512 and (len(group) + 1) * len(texts[order[at + len(group)]]) <= 500_000 and len(texts[order[at + len(group)]]) <= 32 + 2 * len(texts[group[0]]):
                 group.append(order[at + len(group)])
             at += len(group)
             width = max(len(texts[k]) for k in group)
@@ -281,7 +285,13 @@ def tag(
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     new = {"score": ("double", pa.float64()), "predicted": ("int", pa.int32()), "spans": ("array<struct<start:int,end:int,p:double>>", span)}
-    return append(rows, ["id", "held_out"], lambda: score, new)
+
+    def make():
+        if field.value is not None:
+            field.value.forget()
+        return score
+
+    return append(rows, ["id", "held_out"], make, new)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, max_doc_chars: int, seed: int):
@@ -309,6 +319,8 @@ def drop_toxic(
         for batch in portions(batches):
             yield batch.filter(pa.array(own_scores(field.value, strings(batch, text_col))[0] < threshold))
             del batch
+        if field.value is not None:
+            field.value.forget()
         give_back()
 
     return docs.mapInArrow(keep, docs.schema)
