@@ -15,29 +15,39 @@ from weft.llm import best_fit_packing, budget_mix, crf_toxicity, dart_minhash, s
 from weft.session import materialise
 
 
+def _settings(spark: SparkSession) -> None:
+    """What this application asks of its session: Python workers get at most 16 MB at once, however long the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger doesn't reject: a score below 0.3. Rows with a null text stay."""
+    _settings(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return crf_toxicity.drop_toxic(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id."""
+    _settings(spark)
     return dart_minhash.drop_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes of 100-byte strings that start earlier; n_chars is counted again."""
+    _settings(spark)
     return suffix_dedup.apply_removal(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the 3:1:2 mix of 150 % of all words takes it."""
+    _settings(spark)
     return budget_mix.apply_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 4096 ids."""
+    _settings(spark)
     return best_fit_packing.pack_documents(docs, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
