@@ -6,12 +6,15 @@ import ctypes
 import gc
 from collections.abc import Callable
 from contextlib import suppress
+from typing import TYPE_CHECKING
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:  # workers that only handle Arrow batches don't load pandas
+    import pandas as pd
+
 
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id's text, modulo 4; null for a null id."""
@@ -62,8 +65,6 @@ def labelled_sample(
     usable = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     usable = usable.where((fold("id") != 2) & F.col("label").isNotNull() & F.col("text").isNotNull()).withColumn("text", learnt_part("text", "id", max_doc_chars, seed))
     shares = usable.groupBy("label").agg(F.sum(F.octet_length("text")).alias("n")).collect()
-    if not shares:
-        return pd.DataFrame({"label": [], "text": []})
     limit = F.lit(-1)
     for row in shares:
         share = min(1.0, per_label_bytes / max(1, row["n"]))
