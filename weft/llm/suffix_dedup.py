@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.grams import mix, prefix_sums, span_hashes
-from weft.llm.texts import append, give_back, strings
+from weft.llm.texts import append, give_back
 from weft.session import materialise
 
 _U = np.uint64
@@ -401,6 +401,22 @@ def covered(spans: list[tuple[int, int]], n: int, length: int) -> list[tuple[int
     return [(a, b) for a, b in out]
 
 
+def _with_windows(docs: DataFrame, id_col: str, text_col: str, length: int, **options) -> DataFrame:
+    """`docs` with __found, the repeated windows of each row's id."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    spans = repeated_windows(texts, length, **options).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("__found")).withColumnRenamed("id", "__id")
+    return docs.join(spans, docs[id_col].cast("long") == spans["__id"], "left").select(*[docs[c] for c in docs.columns], "__found")
+
+
+def _cut(batch: pa.RecordBatch, text_col: str, length: int):
+    """(text, removed runs, length in bytes, bytes that stay) of each row."""
+    for text, found in zip(batch.column(text_col).to_pylist(), batch.column("__found").to_pylist(), strict=True):
+        raw = (text or "").encode()
+        own = covered([(s["first"], s["last"]) for s in found or []], len(raw), length)
+        edges = [0, *(x for s in own for x in s), len(raw)]
+        yield text, own, len(raw), b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if own else raw
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, **options) -> DataFrame:
     """`docs` with __spans (start and end of the removed byte runs), __n_bytes and __kept, the bytes that stay.
 
@@ -411,35 +427,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others, and each loses what the id loses. Rows with a null id lose nothing
     and remove nothing. Columns of `docs` come back as they are.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = repeated_windows(texts, length, **options).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("__found")).withColumnRenamed("id", "__id")
-    rows = docs.join(spans, docs[id_col].cast("long") == spans["__id"], "left").select(*[docs[c] for c in docs.columns], "__found")
 
     def cut(batch):
-        runs, sizes, rest = [], [], []
-        for text, found in zip(strings(batch, text_col), batch.column("__found").to_pylist(), strict=True):
-            raw = text.encode()
-            own = covered([(s["first"], s["last"]) for s in found or []], len(raw), length)
-            edges = [0, *(x for s in own for x in s), len(raw)]
-            runs.append([{"start": a, "end": b} for a, b in own])
-            sizes.append(len(raw))
-            rest.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        return {"__spans": runs, "__n_bytes": sizes, "__kept": rest}
+        rows = list(_cut(batch, text_col, length))
+        return {"__spans": [[{"start": a, "end": b} for a, b in own] for _, own, _, _ in rows], "__n_bytes": [n for _, _, n, _ in rows], "__kept": [kept for *_, kept in rows]}
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     new = {"__spans": ("array<struct<start:long,end:long>>", span), "__n_bytes": ("long", pa.int64()), "__kept": ("binary", pa.binary())}
-    return append(rows, docs.columns, lambda: cut, new)
+    return append(_with_windows(docs, id_col, text_col, length, **options), docs.columns, lambda: cut, new)
 
 
-def apply_removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the repeated bytes; what is left of a character that lost bytes goes too. Null texts stay null."""
-    cut = remove_repeats(docs, id_col, text_col, **options).withColumnRenamed(text_col, "__text")
+def apply_removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, **options) -> DataFrame:
+    """`docs` without the bytes that `remove_repeats` removes; what is left of a character that lost bytes goes too. Null texts stay null."""
 
-    def text(batch):
-        columns = (batch.column(c).to_pylist() for c in ("__text", "__spans", "__kept"))
-        return {text_col: [t if not s else k.decode("utf-8", "ignore") for t, s, k in zip(*columns, strict=True)]}
+    def cut(batch):
+        return {text_col: [kept.decode("utf-8", "ignore") if own else text for text, own, _, kept in _cut(batch, text_col, length)]}
 
-    return append(cut, [c for c in docs.columns if c != text_col], lambda: text, {text_col: ("string", pa.string())}).select(docs.columns)
+    rest = [c for c in docs.columns if c != text_col]
+    return append(_with_windows(docs, id_col, text_col, length, **options), rest, lambda: cut, {text_col: ("string", pa.string())}).select(docs.columns)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
