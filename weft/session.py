@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, mb: int = 16):
+def small_batches(spark: SparkSession, mb: int = 4):
     """Within it what runs sends at most `mb` MB to a Python worker at once; afterwards the session is as it was."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
