@@ -16,8 +16,8 @@ from weft.session import materialise
 
 
 def _settings(spark: SparkSession) -> None:
-    """What this application asks of its session: Python workers get at most 16 MB at once, however long the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """What this application asks of its session: Python workers get at most 4 MB at once, however long the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
