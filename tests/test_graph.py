@@ -99,13 +99,39 @@ def test_relational_facts_match_the_kernel(spark, language):
     assert rows(analyses.useful_edges(df, language, "relational")) == useful == rows(analyses.useful_edges(df, language))
 
 
-def test_relational_refinement_matches_the_kernel(spark):
-    edges = kernel.paired({*CHAIN, (20, 21, "b", "o", 1), (21, 22, "p", "o", 1), (22, 23, "b", "c", 1), (23, 24, "p", "c", 1)})
+#: Two vertices in a ring with branches, several labels a family: its methods differ (see test_kernel).
+TANGLE = {
+    (0, 1, "p", "o", 1), (1, 2, "b", "o", 1), (2, 3, "p", "c", 1), (3, 4, "b", "c", 1), (1, 3, "b", "o", 2), (3, 0, "b", "c", 2), (0, 2, "n", "n", 0), (2, 1, "p", "o", 2), (4, 1, "p", "c", 2),
+}
+
+
+@pytest.mark.parametrize("method", ["parity2", "all"])
+def test_relational_refinement_matches_the_kernel(spark, method):
+    edges = kernel.paired({*CHAIN, *((a + 30, b + 30, *e) for a, b, *e in TANGLE)})
+    df = frame(spark, edges)
+    assert rows(analyses.under_approximation(df, strategy="relational")) == kernel.under(edges)
+    assert rows(analyses.over_approximation(df, method, strategy="relational")) == kernel.over(edges, method)
+
+
+def test_relational_value_flow_matches_the_kernel(spark):
+    edges = kernel.paired(TANGLE)
     df = frame(spark, edges)
-    assert rows(fixpoint.under_approximation(df)) == kernel.under(edges)
-    for method in ("exclude",):
-        assert rows(fixpoint.over_approximation(df, method)) == kernel.over(edges, method), method
-    assert "default" in METHODS
+    assert rows(analyses.under_approximation(df, True, "relational")) == kernel.under(edges, True)
+    assert rows(analyses.over_approximation(df, "parity", None, True, "relational")) == kernel.over(edges, "parity", None, True)
+
+
+@pytest.mark.parametrize("parity_d", [True, False])
+def test_on_demand_in_all_ways(spark, parity_d):
+    """Whole components, dealt pairs and joins give what the kernel gives."""
+    edges = kernel.paired({*CHAIN, *((a + 30, b + 30, *e) for a, b, *e in TANGLE)})
+    low, high = kernel.under(edges), kernel.over(edges, "parity")
+    want = kernel.on_demand(edges, low, high, parity_d)
+    assert low <= want <= high
+    df, lf, hf = (spark.createDataFrame(sorted(x), s) for x, s in ((edges, EDGES), (low, PAIRS), (high, PAIRS)))
+    assert rows(analyses.on_demand(df, lf, hf, parity_d)) == want
+    assert rows(analyses.on_demand(df, lf, hf, parity_d, together=3)) == want
+    if parity_d:
+        assert rows(analyses.on_demand(df, lf, hf, parity_d, strategy="relational")) == want
 
 
 def test_files_and_report(spark, tmp_path):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import materialise
+from weft.session import materialise, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -63,7 +63,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = materialise(small.distinct())
+        last, now = now, materialise(small.distinct())
+        release(last)
         before, mark = mark, _mark(now)
         if before == mark:
             break

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.labels import paired
 from weft.operators.components import connected_components
-from weft.session import materialise
+from weft.session import grown, materialise, release
 
 ONE_TASK = 1_000_000  # components of up to so many edges are found in one task
 
@@ -87,8 +87,9 @@ def reachable(edges: DataFrame, starts: DataFrame, forward: bool = True) -> Data
         found = new.join(step, new["vertex"] == step["src"]).select("start", F.col("dst").alias("vertex")).distinct()
         new = materialise(found.join(seen, ["start", "vertex"], "left_anti"))
         if new.isEmpty():
+            release(new)
             return seen
-        seen = materialise(seen.union(new))
+        seen = grown(seen, new)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -99,7 +100,8 @@ def closure(edges: DataFrame) -> DataFrame:
     n = now.count()
     while True:
         longer = now.select("src", F.col("dst").alias("mid")).join(now.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        now = materialise(longer.distinct())
+        last, now = now, materialise(longer.distinct())
+        release(last)
         before, n = n, now.count()
         if n == before:
             return now
@@ -168,8 +170,9 @@ def _spread(edges: DataFrame, starts: DataFrame, forward: bool) -> DataFrame:
         found = step.join(new.withColumnRenamed("vertex", "src"), "src", "left_semi").select(F.col("dst").alias("vertex")).distinct()
         new = materialise(found.join(seen, "vertex", "left_anti"))
         if new.isEmpty():
+            release(new)
             return seen
-        seen = materialise(seen.union(new))
+        seen = grown(seen, new)
 
 
 def bracket_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """The analyses over DataFrames: under-, over- and on-demand approximation, by component.
 
 strategy "grouped" runs the kernel once per weak component, "relational" the
-joins of `weft.plans.fixpoint`; "auto" groups while the largest component has
-at most `largest` edges, so a component that no task should hold goes to the
-joins.
+joins of `weft.plans.fixpoint`; "auto", the default, finds the components and
+counts the edges of the largest one first: up to `largest` edges they are
+grouped, beyond that no task should hold one, and the joins run.
 """
 
 from __future__ import annotations
@@ -34,57 +34,59 @@ def _frame(pairs) -> pd.DataFrame:
     return pd.DataFrame({"src": pd.Series([p[0] for p in pairs], dtype="int64"), "dst": pd.Series([p[1] for p in pairs], dtype="int64")})
 
 
-def by_component(edges: DataFrame, run, schema: str = "src long, dst long") -> DataFrame:
-    """What `run` makes of the edges of each component."""
-    return graph.split(edges.select(_EDGE)).groupBy("comp").applyInPandas(lambda part: run(_edges(part)), schema)
+def _strategy(edges: DataFrame, strategy: str, largest: int) -> tuple[DataFrame, bool]:
+    """The edges with their components, found once, and whether the kernel takes them."""
+    parts = materialise(graph.split(edges.select(_EDGE)))
+    if strategy == "auto":
+        most = graph.edge_count(parts, "comp").agg(F.max("n_edges")).first()[0]
+        return parts, (most or 0) <= largest
+    return parts, strategy == "grouped"
 
 
-def _grouped(edges: DataFrame, strategy: str, largest: int) -> bool:
-    if strategy == "auto":
-        most = graph.edge_count(graph.split(edges.select(_EDGE)), "comp").agg(F.max("n_edges")).first()[0]
-        return (most or 0) <= largest
-    return strategy == "grouped"
+def by_component(parts: DataFrame, run, schema: str = "src long, dst long") -> DataFrame:
+    """What `run` makes of the edges of each component; parts: edges with `comp`."""
+    return parts.groupBy("comp").applyInPandas(lambda part: run(_edges(part)), schema)
 
 
-def language_pairs(edges: DataFrame, language: Language, strategy: str = "grouped") -> DataFrame:
+def language_pairs(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
     """Pairs with a path in the language, labels ranked within each component."""
-    if strategy == "relational":
-        return fixpoint.Facts(graph.split(edges), language).reach()
-    return by_component(edges, lambda own: _frame(kernel.Solver(own, language).reach()))
+    parts, grouped = _strategy(edges, strategy, largest)
+    return by_component(parts, lambda own: _frame(kernel.Solver(own, language).reach())) if grouped else fixpoint.Facts(parts, language).reach()
 
 
-def useful_edges(edges: DataFrame, language: Language, strategy: str = "grouped") -> DataFrame:
+def useful_edges(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
     """Edges on paths of the language between different vertices."""
-    if strategy == "relational":
-        return fixpoint.Facts(graph.split(edges), language).useful().select(_EDGE)
-    return by_component(edges, lambda own: _edge_frame(kernel.Solver(own, language).useful()), _EDGES_SQL)
+    parts, grouped = _strategy(edges, strategy, largest)
+    return by_component(parts, lambda own: _edge_frame(kernel.Solver(own, language).useful()), _EDGES_SQL) if grouped else fixpoint.Facts(parts, language).useful().select(_EDGE)
 
 
-def under_approximation(edges: DataFrame, valueflow: bool = False, strategy: str = "grouped", largest: int = LARGEST) -> DataFrame:
+def under_approximation(edges: DataFrame, valueflow: bool = False, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
     """Pairs joined by a path on which both families nest, also across each other."""
-    if not _grouped(edges, strategy, largest):
-        return fixpoint.under_approximation(edges, valueflow)
-    return by_component(edges, lambda own: _frame(kernel.under(own, valueflow)))
+    parts, grouped = _strategy(edges, strategy, largest)
+    return by_component(parts, lambda own: _frame(kernel.under(own, valueflow))) if grouped else fixpoint.under_approximation(parts, valueflow)
 
 
 def over_approximation(
-    edges: DataFrame, method: str, known: DataFrame | None = None, valueflow: bool = False, strategy: str = "grouped", largest: int = LARGEST
+    edges: DataFrame, method: str, known: DataFrame | None = None, valueflow: bool = False, strategy: str = "auto", largest: int = LARGEST
 ) -> DataFrame:
     """Pairs left by mutual refinement under a method; `known` pairs condense the graph first."""
     if known is None:
-        if not _grouped(edges, strategy, largest):
-            return fixpoint.over_approximation(edges, method, valueflow)
-        return by_component(edges, lambda own: _frame(kernel.over(own, method, None, valueflow)))
+        parts, grouped = _strategy(edges, strategy, largest)
+        return by_component(parts, lambda own: _frame(kernel.over(own, method, None, valueflow))) if grouped else fixpoint.over_approximation(parts, method, valueflow)
     rep = materialise(graph.representatives(known))
     small = materialise(graph.condense(edges, rep))
     return graph.expand(over_approximation(small, method, None, valueflow, strategy, largest), rep)
 
 
-def with_pairs(edges: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
-    """What `run` makes of the edges and the pairs of each component; pairs across components are in none."""
-    parts = materialise(graph.split(edges.select(_EDGE)))
+def _of_component(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs with the component of their source; pairs across components are in none."""
     place = parts.select(F.col("src").alias("v"), "comp").union(parts.select(F.col("dst").alias("v"), "comp")).distinct()
-    own = pairs.select("src", "dst").join(place, F.col("src") == F.col("v")).select("src", "dst", F.col("comp").alias("own"))
+    return pairs.select("src", "dst").join(place, F.col("src") == F.col("v")).select("src", "dst", F.col("comp").alias("own"))
+
+
+def with_pairs(parts: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
+    """What `run` makes of the edges and the pairs of each component; parts: edges with `comp`."""
+    own = _of_component(pairs, parts)
     return parts.groupBy("comp").cogroup(own.groupBy("own")).applyInPandas(lambda e, p: run(_edges(e), _pairs(p)), schema)
 
 
@@ -95,44 +97,80 @@ def _edge_frame(edges) -> pd.DataFrame:
 _EDGES_SQL = "src long, dst long, family string, side string, label long"
 
 
-def relevant_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`graph.relevant` by component: no round per step of a way."""
-    return with_pairs(edges, pairs, lambda e, p: _edge_frame(kernel.relevant(e, p)), _EDGES_SQL)
+def relevant_edges(edges: DataFrame, pairs: DataFrame, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
+    """`graph.relevant`, by component where that can be: no round per step of a way."""
+    parts, grouped = _strategy(edges, strategy, largest)
+    return with_pairs(parts, pairs, lambda e, p: _edge_frame(kernel.relevant(e, p)), _EDGES_SQL) if grouped else graph.relevant(parts, pairs).select(_EDGE)
 
 
-def value_flow_edges(edges: DataFrame) -> DataFrame:
-    """`graph.value_flow_edges` by component."""
-    return by_component(edges, lambda own: _edge_frame(kernel.value_flow_edges(own)), _EDGES_SQL)
+def value_flow_edges(edges: DataFrame, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
+    """`graph.value_flow_edges`, by component where that can be."""
+    parts, grouped = _strategy(edges, strategy, largest)
+    return by_component(parts, lambda own: _edge_frame(kernel.value_flow_edges(own)), _EDGES_SQL) if grouped else graph.value_flow_edges(parts).select(_EDGE)
 
 
-def bracket_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`graph.bracket_pairs` by component."""
-    return with_pairs(edges, pairs, lambda e, p: _frame(kernel.bracket_pairs(e, p)), "src long, dst long")
+def bracket_pairs(edges: DataFrame, pairs: DataFrame, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
+    """`graph.bracket_pairs`, by component where that can be."""
+    parts, grouped = _strategy(edges, strategy, largest)
+    return with_pairs(parts, pairs, lambda e, p: _frame(kernel.bracket_pairs(e, p)), "src long, dst long") if grouped else graph.bracket_pairs(parts, pairs)
 
 
-def on_demand(edges: DataFrame, known: DataFrame, upper: DataFrame, parity_d: bool = False, valueflow: bool = False, splits: int = 8) -> DataFrame:
+def on_demand(
+    edges: DataFrame, known: DataFrame, upper: DataFrame, parity_d: bool = False, valueflow: bool = False,
+    strategy: str = "auto", largest: int = LARGEST, together: int = 2_000, splits: int = 8,
+) -> DataFrame:
     """Pairs between `known` and `upper` that stay when each is refined by itself.
 
-    Pairs are independent: those of a component are dealt to `splits` tasks,
-    each with the component's edges.
+    Grouped, a component of up to `together` edges is done in one task, and only
+    if it has a pair to decide. Pairs of a larger one are dealt to `splits`
+    tasks, each with the component's edges. Relational, every pair gets its own
+    copy of the edges that matter to it, and all pairs are refined side by side.
     """
-    edges = materialise(relevant_edges(edges, upper))
-    found = _refine_pairs(edges, known, upper, "default", valueflow, splits)
+    known, upper = (materialise(p.select("src", "dst").distinct()) for p in (known, upper))
+    parts, grouped = _strategy(edges, strategy, largest)
+    if not grouped:
+        return _on_demand(parts, known, upper, parity_d, lambda e, k, u, m: _relational_pairs(e, k, u, m, valueflow), graph.relevant)
+    size = graph.edge_count(parts, "comp")
+    # candidates decide which components are looked at, and by whom
+    asked = _of_component(graph.difference(upper, known), parts).select(F.col("own").alias("comp")).distinct()
+    sizes = materialise(asked.join(size, "comp"))
+    small = parts.join(sizes.where(F.col("n_edges") <= together), "comp", "left_semi")
+    kinds = "comp long, kind string, src long, dst long, family string, side string, label long"
+
+    def rows(pairs: DataFrame, kind: str) -> DataFrame:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("family", "string"), ("side", "string"), ("label", "long"))]
+        return _of_component(pairs, small).select(F.col("own").alias("comp"), F.lit(kind).alias("kind"), "src", "dst", *none)
+
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
+        of = dict(tuple(part.groupby("kind")))
+        own = {k: _pairs(of[k]) if k in of else set() for k in ("known", "upper")}
+        return _frame(kernel.on_demand(_edges(of["edge"]), own["known"], own["upper"], parity_d, valueflow) - own["known"])
+
+    given = small.select("comp", F.lit("edge").alias("kind"), *_EDGE).union(rows(known, "known")).union(rows(upper, "upper"))
+    assert [f.name for f in given.schema] == [c.split()[0] for c in kinds.split(", ")]
+    found = graph.union(known, given.groupBy("comp").applyInPandas(decide, "src long, dst long"))
+    rest = sizes.where(F.col("n_edges") > together)
+    if rest.isEmpty():
+        return found
+    large = materialise(parts.join(rest, "comp", "left_semi"))
+    more = _on_demand(large, known, _of_component(upper, large).select("src", "dst"), parity_d, lambda e, k, u, m: _dealt_pairs(e, k, u, m, valueflow, splits), lambda e, p: relevant_edges(e, p, "grouped"))
+    return graph.union(found, more)
+
+
+def _on_demand(edges: DataFrame, known: DataFrame, upper: DataFrame, parity_d: bool, refine, relevant) -> DataFrame:
+    """Two refinements, each on the written edges that matter to what is open; `parity_d` stops after the first."""
+    found = materialise(refine(materialise(relevant(edges, upper).select(_EDGE)), known, upper, "default"))
     if parity_d:
         return found
-    found = materialise(found)
-    return _refine_pairs(relevant_edges(edges, found), known, found, "all", valueflow, splits)
+    return refine(materialise(relevant(edges, found).select(_EDGE)), known, found, "all")
 
 
-def _refine_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method: str, valueflow: bool, splits: int) -> DataFrame:
+def _dealt_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method: str, valueflow: bool, splits: int) -> DataFrame:
     rep = materialise(graph.representatives(known))
     small = materialise(graph.split(graph.condense(edges, rep)))
-    candidates = graph.push(graph.difference(upper, known), rep)
-    place = small.select(F.col("src").alias("v"), "comp").union(small.select(F.col("dst").alias("v"), "comp")).distinct()
-    dealt = candidates.join(place, candidates["src"] == place["v"]).select("src", "dst", "comp", F.pmod(F.xxhash64("src", "dst"), F.lit(splits)).alias("part"))
-    dealt = materialise(dealt)
-    parts = dealt.select("comp", "part").distinct()
-    spread = small.join(parts, "comp").select(*_EDGE, "comp", "part")
+    own = _of_component(graph.push(graph.difference(upper, known), rep), small)
+    dealt = materialise(own.withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(splits))).select("src", "dst", F.col("own").alias("comp"), "part"))
+    spread = small.join(dealt.select("comp", "part").distinct(), "comp").select(*_EDGE, "comp", "part")
 
     def refine(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         edges_ = _edges(part)
@@ -140,3 +178,10 @@ def _refine_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method:
 
     confirmed = spread.groupBy("comp", "part").cogroup(dealt.toDF("src", "dst", "own", "share").groupBy("own", "share")).applyInPandas(refine, "src long, dst long")
     return graph.union(known, graph.pull(confirmed, rep))
+
+
+def _relational_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method: str, valueflow: bool) -> DataFrame:
+    rep = materialise(graph.representatives(known))
+    small = materialise(graph.split(graph.condense(edges, rep)).select(_EDGE))
+    candidates = graph.push(graph.difference(upper, known), rep)
+    return graph.union(known, graph.pull(fixpoint.confirmed(small, candidates, method, valueflow), rep))

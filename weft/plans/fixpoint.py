@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weft.functions.labels import masked, paired
 from weft.operators import graph
 from weft.plans.languages import ERASED, METHODS, UNION, Language, excluding
-from weft.session import materialise
+from weft.session import grown, materialise, release
 
 _STATE = ["mask", "first", "last"]
 _FACT = ["u", "v", *_STATE]
@@ -67,8 +67,9 @@ class Facts:
             found = ahead.union(behind).union(self._blocks(new)).distinct()
             new = materialise(found.join(seen, _FACT, "left_anti"))
             if new.isEmpty():
+                release(new)
                 return seen
-            seen = materialise(seen.union(new))
+            seen = grown(seen, new)
 
     def reach(self) -> DataFrame:
         """Pairs of different vertices with an accepted path."""
@@ -94,8 +95,9 @@ class Facts:
             found = halves.union(inner.select(_FACT)).distinct()
             new = materialise(found.join(need, _FACT, "left_anti"))
             if new.isEmpty():
+                release(new)
                 break
-            need = materialise(need.union(new))
+            need = grown(need, new)
         columns = ["src", "dst", "family", "side", "label", "comp"]
         step = self.steps.join(need.withColumnsRenamed({"u": "src", "v": "dst"}), ["src", "dst", *_STATE], "left_semi").select(columns)
         outer = need.withColumnsRenamed({"u": "x", "v": "y"}).join(self.opens, "x").join(self.closes, ["y", "name"])
@@ -107,15 +109,16 @@ class Facts:
 
 
 def under_approximation(edges: DataFrame, valueflow: bool = False) -> DataFrame:
-    facts = Facts(graph.split(edges), UNION)
+    """edges: with `comp`."""
+    facts = Facts(edges, UNION)
     pairs = facts.reach()
     return graph.bracket_pairs(facts.useful(), pairs) if valueflow else pairs
 
 
 def over_approximation(edges: DataFrame, method: str, valueflow: bool = False) -> DataFrame:
-    """Mutual refinement of all components side by side; a component is done in the round that keeps its edges."""
+    """Mutual refinement of all components side by side; a component is done in the round that keeps its edges. edges: with `comp`."""
     plan, done = METHODS[method], []
-    now = materialise(graph.split(edges))
+    now = edges
     while not now.isEmpty():
         before = graph.edge_count(now, "comp").withColumnRenamed("n_edges", "n_before")
         current, reached = now, []
@@ -147,3 +150,67 @@ def over_approximation(edges: DataFrame, method: str, valueflow: bool = False) -
     if not done:
         return edges.select("src", "dst").limit(0)
     return graph.union(*done)
+
+
+def confirmed(edges: DataFrame, pairs: DataFrame, method: str, valueflow: bool = False) -> DataFrame:
+    """The pairs (src, dst) that mutual refinement for each pair by itself leaves.
+
+    Every pair gets a copy of the edges that lie on its ways, with vertices of
+    its own, so one set of joins refines all pairs at once: a pair is dropped
+    with the first language that has no path for it, edges are those on paths of
+    the pair, and a pair whose edges a round leaves as they are is confirmed.
+    """
+    plan = METHODS[method]
+    number = lambda df: df.withColumn("comp", F.monotonically_increasing_id())
+    asked = materialise(number(pairs.select("src", "dst").distinct()))
+    ways = _ways(edges, asked)
+    names = ways.select("comp", F.col("src").alias("v")).union(ways.select("comp", F.col("dst").alias("v"))).distinct()
+    names = materialise(names.withColumn("id", F.monotonically_increasing_id()))
+    own = lambda c: names.select("comp", F.col("v").alias(c), F.col("id").alias(f"_{c}"))
+    columns = ["src", "dst", "family", "side", "label", "comp"]
+    renamed = lambda df, *more: df.join(own("src"), ["comp", "src"]).join(own("dst"), ["comp", "dst"]).select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *more, "comp")
+    now = materialise(renamed(ways, "family", "side", "label"))
+    alive = materialise(renamed(asked))
+    done = alive.limit(0)
+    while not alive.isEmpty():
+        before = graph.edge_count(now, "comp").withColumnRenamed("n_edges", "n_before")
+        current, j = now, -1
+        todo = [plan.alpha, plan.beta, *([ERASED] if plan.project else [])]
+        while todo or plan.exclude:
+            if todo:
+                language, active = todo.pop(0), None
+            else:
+                j += 1
+                labels = current.where("family = 'b'").groupBy("comp").agg(F.count_distinct("label").alias("n"))
+                active = materialise(labels.where(F.col("n") > j).select("comp"))
+                if active.isEmpty():
+                    break
+                language = excluding(j)
+            part, asking = (current, alive) if active is None else (d.join(active, "comp", "left_semi").select(d.columns) for d in (current, alive))
+            rest, others = (None, None) if active is None else (d.join(active, "comp", "left_anti").select(d.columns) for d in (current, alive))
+            facts = Facts(part, language)
+            there = facts.all.where(_accepted(language)).select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()
+            found = materialise(asking.join(there, ["src", "dst"], "left_semi").select(asking.columns))
+            useful = paired(facts.useful(found), "comp").select(columns)
+            current = materialise(useful if rest is None else useful.union(rest.select(columns)))
+            alive = materialise(found if others is None else found.union(others))
+        if valueflow:
+            current = materialise(graph.value_flow_edges(current).select(columns))
+        counts = alive.select("comp").join(before, "comp", "left").join(graph.edge_count(current, "comp"), "comp", "left")
+        ended = materialise(counts.where("n_edges is null or n_edges = n_before").select("comp"))
+        done = materialise(done.union(alive.join(ended, "comp", "left_semi").select(alive.columns)))
+        alive = materialise(alive.join(ended, "comp", "left_anti").select(alive.columns))
+        # what is left of a pair must hold two vertices, as components do
+        two = current.where("src <> dst").select("comp").distinct()
+        alive = materialise(alive.join(two, "comp", "left_semi").select(alive.columns))
+        now = materialise(graph.relevant(current.join(alive.select("comp"), "comp", "left_semi").select(columns), alive.select("src", "dst")).select(columns))
+    return asked.join(done.select("comp"), "comp", "left_semi").select("src", "dst")
+
+
+def _ways(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (edge, comp): for each pair (src, dst, comp) the edges with a way from src before and one to dst behind."""
+    ahead = graph.reachable(edges, pairs.select(F.col("src").alias("start")).distinct()).toDF("s", "x")
+    behind = graph.reachable(edges, pairs.select(F.col("dst").alias("start")).distinct(), forward=False).toDF("t", "y")
+    front = pairs.select(F.col("src").alias("s"), F.col("dst").alias("t"), "comp").join(ahead, "s")
+    ways = front.join(edges.select("*", F.col("src").alias("x"), F.col("dst").alias("y")), "x").join(behind, ["t", "y"], "left_semi")
+    return materialise(ways.select("src", "dst", "family", "side", "label", "comp").distinct())

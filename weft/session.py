@@ -56,22 +56,28 @@ def small_batches(spark: SparkSession, mb: int = 4):
         spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, onto: DataFrame | None = None) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back.
 
     It cuts lineage like checkpoint(), computes each row once, survives the loss
-    of any executor, and keeps columns pruned and compressed. With `onto`, itself
-    the result of such a call, the rows of both: only those of `df` are written,
-    beside the others. The tables go when the driver exits, or with `release`.
+    of any executor, and keeps columns pruned and compressed.
+    The tables go when the driver exits, or with `release`.
     """
     spark = df.sparkSession
-    paths = [f"{shared_dir(spark).rstrip('/')}/weft-{uuid.uuid4().hex}"]
+    path = f"{shared_dir(spark).rstrip('/')}/weft-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(paths[0])
-    _written[paths[0]] = spark
-    if onto is not None:
-        paths = [*onto.weft_paths, *paths]
-    out = spark.read.schema(df.schema).parquet(*paths)
+        df.write.parquet(path)
+    _written[path] = spark
+    return _read(spark, df, [path])
+
+
+def grown(table: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of two written tables as one, without writing any again."""
+    return _read(table.sparkSession, table, [*table.weft_paths, *new.weft_paths])
+
+
+def _read(spark: SparkSession, like: DataFrame, paths: list[str]) -> DataFrame:
+    out = spark.read.schema(like.schema).parquet(*paths)
     out.weft_paths = paths
     return out
 
