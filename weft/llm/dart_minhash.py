@@ -15,6 +15,7 @@ from weft.operators.components import connected_components
 from weft.session import materialise
 
 _U = np.uint64
+_ONE_TASK = 1_000_000  # components of up to so many links, 16 MB, are found in one task: the rounds of joins give the same
 _BASE_LEVEL = -5  # ranks below 2**-5 form the first cell, further cells double
 
 
@@ -275,7 +276,7 @@ def near_duplicates(
 
     pairs = few.withColumnRenamed("key", "key1").join(few.withColumnRenamed("id", "id2"), (F.col("key1") == F.col("key")) & (F.col("id") < F.col("id2"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
     tried = materialise(_verify(pairs.union(_stars(many)).distinct(), sound, words).where(alike))
-    component = materialise(connected_components(tried, "a", "b"))
+    component = materialise(connected_components(tried, "a", "b", one_task=_ONE_TASK))
 
     # large buckets that still hold several components
     members = many.join(component.withColumnRenamed("vertex", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
@@ -286,7 +287,7 @@ def near_duplicates(
     dealt = blocks.join(about.join(open_, "id"), "id")
     found = dealt.groupBy("key", "i", "j").applyInPandas(lambda g: _block_links(g, threshold, bands, rows), "a long, b long, j double")
     tried = tried.select("a", "b").union(materialise(found).select("a", "b"))
-    component = connected_components(tried, "a", "b")
+    component = connected_components(tried, "a", "b", one_task=_ONE_TASK)
 
     of_key = classes.select("key", "id").join(component.withColumnRenamed("vertex", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("c"))
     members = signed.select("id", "key").join(of_key, "key").groupBy("id").agg(F.min("c").alias("c"))

@@ -11,6 +11,7 @@ from weft.operators.components import connected_components
 from weft.session import materialise
 
 _CODE = 1 << 24  # leaves of one tree
+_ONE_TASK = 1_000_000  # components of up to so many links, 16 MB, are found in one task: the rounds of joins give the same
 
 
 class Tree:
@@ -191,7 +192,7 @@ def near_duplicates(
     dealt = classes.select("id", "copies", "v").mapInPandas(deal, "dim int, leaf long, id long, copies long, v binary, cells binary")
     found = materialise(dealt.groupBy("dim", "leaf").applyInPandas(compare, "id long, root long, links long"))
 
-    component = connected_components(found.select("id", "root").distinct(), "id", "root")
+    component = connected_components(found.select("id", "root").distinct(), "id", "root", one_task=_ONE_TASK)
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = (
         classes.select("h", "g", "id", "copies").withColumnRenamed("id", "class_id")
