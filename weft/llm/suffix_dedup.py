@@ -255,7 +255,7 @@ def resolve(block: list[tuple[bytes, bytes, int, int]], length: int, open_: bool
     return out
 
 
-def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_bytes: int = 2 << 20, hot: int = 20_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_bytes: int = 4 << 20, hot: int = 20_000) -> DataFrame:
     """Rows (id, first, last): starts of windows of (id, text) whose bytes also start earlier.
 
     1. A task samples the suffixes of a slice of its texts, sorts them, joins
@@ -336,7 +336,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
                     waiting += block
                     size += len(block)
                 block, opened = [], False
-                if size > 8_000:
+                if size > 16_000:
                     out.extend(resolve(waiting, length))
                     waiting, size = [], 0
 
