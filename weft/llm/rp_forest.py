@@ -88,26 +88,24 @@ def _links(leaf: int, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray,
     order = np.argsort(ids, kind="stable")
     ids, copies, vectors = ids[order], copies[order], _unit(vectors[order])
     n = len(ids)
-    kinds: dict[bytes, int] = {}  # vectors of one neighbourhood mostly lie in the same leaves
-    kind = np.array([kinds.setdefault(cells[k][cells[k] < leaf].tobytes(), len(kinds)) for k in order])
-    earlier = [np.frombuffer(k, np.int64) for k in kinds]
-    codes = np.full((len(earlier), max(1, max(map(len, earlier)))), -1, np.int64)
-    for row, found in enumerate(earlier):
-        codes[row, : len(found)] = found
-    seen_i, seen_j = [], []
+    found = []
     for start in range(0, n, 512):
-        near = vectors[start : start + 512] @ vectors[start:].T >= threshold
-        i, j = np.nonzero(np.triu(near, 1))
-        i, j = i + start, j + start
-        both, where = np.unique(kind[i] * len(earlier) + kind[j], return_inverse=True)
-        new = np.ones(len(both), bool)
-        for k in range(0, len(both), 4096):
-            a, b = codes[both[k : k + 4096] // len(earlier)], codes[both[k : k + 4096] % len(earlier)]
-            new[k : k + 4096] = ~((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
-        seen_i.append(i[new[where]])
-        seen_j.append(j[new[where]])
-    i = np.concatenate(seen_i) if seen_i else np.zeros(0, np.int64)
-    j = np.concatenate(seen_j) if seen_j else np.zeros(0, np.int64)
+        own, rest = vectors[start : start + 512], vectors[start:]
+        i, j = np.nonzero(own @ rest.T >= threshold)
+        found.append(np.stack([i, j])[:, j > i] + start)
+    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    # pairs that share an earlier leaf count there: the leaves of each linked vector as bits
+    linked, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    earlier = [cells[order[k]][cells[order[k]] < leaf] for k in linked]
+    names, bit = np.unique(np.concatenate([*earlier, np.zeros(0, np.int64)]), return_inverse=True)
+    held = np.zeros((len(linked), len(names) // 64 + 1), np.uint64)
+    owner = np.repeat(np.arange(len(linked)), [len(c) for c in earlier])
+    np.bitwise_or.at(held, (owner, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    x, y = place[: len(i)], place[len(i) :]
+    new = np.ones(len(i), bool)
+    for k in range(0, len(i), 1 << 15):
+        new[k : k + (1 << 15)] = ~(held[x[k : k + (1 << 15)]] & held[y[k : k + (1 << 15)]]).any(axis=1)
+    i, j = i[new], j[new]
     links = np.bincount(i, copies[j], n).astype(np.int64) + np.bincount(j, copies[i], n).astype(np.int64)
     root, hit = _local_roots(n, i, j), links > 0
     return pd.DataFrame({"id": ids[hit], "root": ids[root[hit]], "links": links[hit]})
@@ -115,7 +113,7 @@ def _links(leaf: int, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray,
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9,
-    trees: int = 8, leaf_size: int = 1024, spill: float = 0.7, sample_rows: int = 40_000, seed: int = 17,
+    trees: int = 10, leaf_size: int = 1024, spill: float = 0.5, sample_rows: int = 40_000, seed: int = 17,
 ) -> DataFrame:
     """Rows (id, n_links, component_id, kept): one per input row.
 
