@@ -113,7 +113,7 @@ def _links(leaf: int, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray,
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9,
-    trees: int = 10, leaf_size: int = 1024, spill: float = 0.5, sample_rows: int = 40_000, seed: int = 17,
+    trees: int = 14, leaf_size: int = 1024, spill: float = 0.5, sample_rows: int = 40_000, seed: int = 17,
 ) -> DataFrame:
     """Rows (id, n_links, component_id, kept): one per input row.
 
