@@ -255,7 +255,7 @@ def resolve(block: list[tuple[bytes, bytes, int, int]], length: int, open_: bool
     return out
 
 
-def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_bytes: int = 8 << 20, hot: int = 100_000, batch: int = 20_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_bytes: int = 8 << 20, hot: int = 100_000, together: int = 20_000) -> DataFrame:
     """Rows (id, first, last): starts of windows of (id, text) whose bytes also start earlier.
 
     1. A task samples the suffixes of a slice of its texts, sorts them, joins
@@ -264,7 +264,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
     anchor form a block, in which windows are told apart. 3. A block of more
     than `hot` rows is passed on by windows: they are grouped by a 128-bit hash,
     pre-aggregated, so no task holds such a block. `slice_bytes`, `hot` and
-    `batch` (suffixes told apart at a time) set what a worker holds; smaller ones
+    `together` (suffixes told apart at a time) set what a worker holds; smaller ones
     cost time and change no result. The hash is the same map of
     a window's bytes for all of them (no seed differs by task), and takes the
     place of the comparison of bytes there: of 10^12 windows two unlike ones
@@ -338,7 +338,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
                     waiting += block
                     size += len(block)
                 block, opened = [], False
-                if size > batch:
+                if size > together:
                     out.extend(resolve(waiting, length))
                     waiting, size = [], 0
 
