@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes of 100-byte strings that start earlier; n_chars is counted again."""
     _settings(spark)
-    return suffix_dedup.apply_removal(docs, slice_bytes=2 << 20, hot=20_000, batch=8_000).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+    return suffix_dedup.apply_removal(docs, slice_bytes=2 << 20, hot=20_000, together=8_000).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
