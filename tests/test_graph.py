@@ -99,7 +99,7 @@ def test_relational_facts_match_the_kernel(spark, language):
     assert rows(analyses.useful_edges(df, language, "relational")) == useful == rows(analyses.useful_edges(df, language))
 
 
-#: Two vertices in a ring with branches, several labels a family: its methods differ (see test_kernel).
+#: A ring with branches and several labels a family; over and under differ on it, the methods among themselves don't.
 TANGLE = {
     (0, 1, "p", "o", 1), (1, 2, "b", "o", 1), (2, 3, "p", "c", 1), (3, 4, "b", "c", 1), (1, 3, "b", "o", 2), (3, 0, "b", "c", 2), (0, 2, "n", "n", 0), (2, 1, "p", "o", 2), (4, 1, "p", "c", 2),
 }
