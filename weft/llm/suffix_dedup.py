@@ -29,7 +29,7 @@ class Suffixes:
 
     def __init__(self, texts: list[tuple[int, int, bytes]], length: int, gram: int):
         """texts: (document, place of the first byte in it, bytes)."""
-        self.data = np.frombuffer(b"".join(t for _, _, t in texts) + b"\0" * (length + 16), np.uint8)
+        self.data = np.frombuffer(b"".join(t for _, _, t in texts) + b"\0" * (2 * length + 16), np.uint8)
         lens = np.array([len(t) for _, _, t in texts], np.int64)
         begin = np.cumsum(lens) - lens
         n = int(lens.sum())
@@ -68,56 +68,79 @@ class Suffixes:
         return len(self.anchor)
 
 
+def _sorted_order(s: Suffixes, part: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Suffixes by part, bytes, left context, document and start: the first 16 bytes as two numbers, the rest only where these are equal."""
+    heads = [words[s.anchor + at].byteswap() for at in (8, 0)]
+    order = np.lexsort((*heads, part))
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = part[order[1:]] == part[order[:-1]]
+    for head in heads:
+        same[1:-1] &= head[order[1:]] == head[order[:-1]]
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    if len(tied):
+        group = np.cumsum(~same[:-1])[tied]
+        who = order[tied]
+        raw = s.data.tobytes()
+        keys = [
+            (g, raw[a:e], raw[f:a], d, t, k)
+            for g, f, a, e, d, t, k in zip(group.tolist(), s.first[who].tolist(), s.anchor[who].tolist(), s.end[who].tolist(), s.doc[who].tolist(), s.start[who].tolist(), who.tolist(), strict=True)
+        ]
+        keys.sort()
+        order[tied] = [k[-1] for k in keys]
+    return order
+
+
+def _shared(s: Suffixes, order: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix in order shares with the one before, compared in words as far as they agree; 0 for the first."""
+    size, at = (s.end - s.anchor)[order], s.anchor[order]
+    lcp = np.minimum(size[1:], size[:-1])
+    live, done = np.arange(len(lcp)), 0
+    while len(live):
+        unlike = words[at[live + 1] + done] ^ words[at[live] + done]
+        odd = unlike != 0
+        x, bytes_ = unlike[odd], done
+        for k in range(1, 8):
+            bytes_ = bytes_ + (x & _U((1 << 8 * k) - 1) == 0)
+        lcp[live[odd]] = np.minimum(lcp[live[odd]], bytes_)
+        done += 8
+        live = live[~odd]
+        live = live[lcp[live] > done]
+    return np.concatenate([[0], lcp])
+
+
 def pack_runs(s: Suffixes, parts: int, gram: int):
     """(part, run, block): suffixes of each part in order, equal ones together, each without what it shares with the one before, by blocks of a run."""
     if not len(s):
         return
-    raw = s.data.tobytes()
+    words = np.lib.stride_tricks.as_strided(s.data[:8].view(np.uint64), (len(s.data) - 7,), (1,))
     part = (s.part % _U(parts)).astype(np.int64)
-    part_l, anchor, end, first = part.tolist(), s.anchor.tolist(), s.end.tolist(), s.first.tolist()
-    rights = [raw[a:e] for a, e in zip(anchor, end, strict=True)]
-    lefts = [raw[f:a] for f, a in zip(first, anchor, strict=True)]
-    doc, start = s.doc.tolist(), s.start.tolist()
-    order = sorted(range(len(rights)), key=lambda k: (part_l[k], rights[k], lefts[k], doc[k], start[k]))
-    order = np.array(order)
-    widest = int((s.end - s.anchor).max())
-    for low in range(0, len(order), 1 << 16):  # shared prefixes of neighbours
-        own = order[max(0, low - 1) : low + (1 << 16)]
-        size = (s.end - s.anchor)[own]
-        rows = s.data[np.minimum(s.anchor[own][:, None] + np.arange(widest), len(s.data) - 1)]
-        differs = rows[1:] != rows[:-1]
-        lcp = np.where(differs.any(1), differs.argmax(1), widest)
-        lcp = np.minimum(lcp, np.minimum(size[1:], size[:-1]))
-        shared = lcp if not low else np.concatenate([shared, lcp])
-    shared = np.concatenate([[0], shared])
-    ordered = order.tolist()
-    at, run, last = 0, 0, None
-
-    def _alike(k: int, other: int) -> bool:
-        return rights[k] == rights[other] and lefts[k] == lefts[other]
-
-    while at < len(ordered):
-        own_part, rows, begin = part_l[ordered[at]], [], at
-        tails, left_parts = [], []
-        if not begin or part_l[ordered[begin - 1]] != own_part:
-            last = None
-            run += 1
-        # a block of a run: the reader goes on from the suffix before
-        while at < len(ordered) and part_l[ordered[at]] == own_part and (len(rows) < _BLOCK or _alike(ordered[at], last)):
-            k = ordered[at]
-            if rows and _alike(k, last):
-                rows[-1][3] += 1
-            else:
-                cut = int(shared[at]) if last is not None else 0
-                rows.append([cut, len(rights[k]), len(lefts[k]), 1])
-                tails.append(rights[k][cut:])
-                left_parts.append(lefts[k])
-            last = k
-            at += 1
-        heads, who = np.array(rows, "<u4"), np.array(ordered[begin:at])
-        yield own_part, run, b"".join([
-            len(rows).to_bytes(4, "little"), heads.tobytes(),
-            s.doc[who].astype("<i8").tobytes(), s.start[who].astype("<i8").tobytes(), *tails, *left_parts,
+    order = _sorted_order(s, part, words)
+    lcp = _shared(s, order, words)
+    raw = s.data.tobytes()
+    part, first, anchor, end = part[order], s.first[order], s.anchor[order], s.end[order]
+    docs, starts = s.doc[order].astype("<i8"), s.start[order].astype("<i8")
+    right, left = end - anchor, anchor - first
+    turn = np.ones(len(order), bool)  # the first of a part
+    turn[1:] = part[1:] != part[:-1]
+    new = turn.copy()  # unlike the one before
+    new[1:] |= (right[1:] != right[:-1]) | (left[1:] != left[:-1]) | (lcp[1:] < right[1:])
+    maybe = np.flatnonzero(~new)
+    new[maybe] = [raw[f:a] != raw[g:b] for f, a, g, b in zip(first[maybe].tolist(), anchor[maybe].tolist(), first[maybe - 1].tolist(), anchor[maybe - 1].tolist(), strict=True)]
+    row = np.flatnonzero(new)
+    cut = np.where(turn, 0, lcp)[row]
+    heads = np.stack([cut, right[row], left[row], np.diff(row, append=len(order))], 1).astype("<u4")
+    run = np.cumsum(turn)[row]
+    begin = np.flatnonzero(turn[row])  # a block of a run: the reader goes on from the suffix before
+    edges = [at for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(row)], strict=True) for at in range(low, high, _BLOCK)] + [len(row)]
+    place = np.append(row, len(order))
+    tail_at, tail_end, left_at = (anchor[row] + cut).tolist(), end[row].tolist(), first[row].tolist()
+    left_end = anchor[row].tolist()
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        a, b = place[low], place[high]
+        yield int(part[a]), int(run[low]), b"".join([
+            (high - low).to_bytes(4, "little"), heads[low:high].tobytes(), docs[a:b].tobytes(), starts[a:b].tobytes(),
+            *[raw[x:y] for x, y in zip(tail_at[low:high], tail_end[low:high], strict=True)],
+            *[raw[x:y] for x, y in zip(left_at[low:high], left_end[low:high], strict=True)],
         ])
 
 
