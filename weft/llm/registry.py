@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import best_fit_packing, budget_mix, chat_events, crf_toxicity, dart_minhash, media, mil_quality, ppm_language, rp_forest, suffix_dedup
+from weft.llm import asof_features, best_fit_packing, budget_mix, chat_events, crf_toxicity, dart_minhash, media, mil_quality, ppm_language, prefix_trie, rp_forest, suffix_dedup, weak_quality
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -26,6 +26,9 @@ comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
 deg AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, v.vec_id = c AS kept
 FROM v JOIN comp ON comp.x = v.vec_id LEFT JOIN deg ON deg.x = v.vec_id""",
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_point_in_time": asof_features.ORACLE,
+    "op13_weak_quality": weak_quality.ORACLE,
 }
 
 
@@ -42,6 +45,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": media.op8_media,
         "op9_chat_format": chat_events.op9_chat_format,
         "op10_packing": best_fit_packing.op10_packing,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_point_in_time": asof_features.op12_point_in_time,
+        "op13_weak_quality": weak_quality.op13_weak_quality,
     }
 
 
