@@ -63,9 +63,9 @@ def _covered(lines: DataFrame, spans: list[int], slice_rows: int) -> DataFrame:
     ends = [f"end{i}" for i in range(len(spans))]
     firsts = lines.where("item is not null").groupBy("client", "item", "ts").agg(F.min("known").alias("known"))
     firsts = firsts.select("client", "item", "known", *[F.when(F.col("known") < F.col("ts") + s, F.col("ts") + s).alias(e) for s, e in zip(spans, ends, strict=True)])
-    rows, heavy = sliced(firsts, ["client", "item"], "known", slice_rows)
+    rows, _ = sliced(firsts, ["client", "item"], "known", slice_rows)
     key = ["client", "item", "slice"]
-    hot = rows.join(heavy.select("client", "item"), ["client", "item"], "left_semi").groupBy(*key).agg(*[F.max(e).alias(e) for e in ends])
+    hot = rows.where("hot").groupBy(*key).agg(*[F.max(e).alias(e) for e in ends])
     carry = carried(hot, ["client", "item"], "slice", maxes=ends)
     before = Window.partitionBy(*key).orderBy("known").rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.select(*key, "known", *ends, *[F.max(e).over(before).alias(f"own_{e}") for e in ends]).join(carry.select(*key, *[F.col(e).alias(f"carry_{e}") for e in ends]), key, "left")
@@ -88,7 +88,7 @@ def _baselines(rows: DataFrame, heavy: DataFrame, bits: list[int]) -> DataFrame:
     grid = heavy.select("client", F.explode(F.sequence(F.lit(0).cast("long"), F.col("key_parts") - 1)).alias("slice"))
     cell = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(k).alias("kind"), F.lit(b).alias("bit")) for s, k, b in kinds])
     grid = grid.withColumn("cell", F.explode(cell)).select("client", "slice", "cell.*")
-    mine = rows.where(F.col("side") < ASKED).join(heavy.select("client"), "client", "left_semi")
+    mine = rows.where(F.col("hot") & (F.col("side") < ASKED))
     mine = mine.withColumn("bit", F.explode(F.filter(F.array(*map(F.lit, bits)), lambda b: F.col("mask").bitwiseAND(b) != 0)))
     last = F.max(F.when((F.col("kind") == CLICK) & (F.col("side") == KNOWN), F.struct("ts", "id"))).alias("last")
     totals = mine.groupBy(*key, "slice").agg(*[F.sum(c).alias(c) for c in ("n", "m", "cents")], last)
@@ -189,7 +189,7 @@ def point_in_time(
     release(bought)
     shards, heavy = sliced(rows, ["client"], "at", slice_rows)
     tasks = max(1, math.ceil(rows.count() / task_rows))
-    given = shards.unionByName(_baselines(shards, heavy, bits)).repartition(tasks, "client", "slice")
+    given = shards.drop("hot").unionByName(_baselines(shards, heavy, bits)).repartition(tasks, "client", "slice")
     sql = _sql(list(days))
 
     def joined(batches):

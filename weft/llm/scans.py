@@ -9,7 +9,7 @@ from weft.session import materialise
 
 
 def sliced(rows: DataFrame, keys: list[str], at: str, slice_rows: int) -> tuple[DataFrame, DataFrame]:
-    """`rows` with a column `slice` that rises with the long column `at` within the keys, and the keys that have several slices.
+    """`rows` with columns `slice`, which rises with the long column `at` within the keys, and `hot`, and the keys that have several slices (hot).
 
     Keys of at most `slice_rows` rows have slice 0 alone. Others are cut into
     equal lengths of `at`, four times as many as rows ask for, so that a key
@@ -22,7 +22,7 @@ def sliced(rows: DataFrame, keys: list[str], at: str, slice_rows: int) -> tuple[
     width = (F.col("key_hi") - F.col("key_lo") + 1) / F.col("key_parts")
     place = F.least(F.floor((F.col(at) - F.col("key_lo")) / width), F.col("key_parts") - 1)
     out = rows.join(heavy, keys, "left").withColumn("slice", F.coalesce(place, F.lit(0)).cast("long"))
-    return out.select(*rows.columns, "slice"), heavy
+    return out.select(*rows.columns, "slice", F.col("key_parts").isNotNull().alias("hot")), heavy
 
 
 def carried(totals: DataFrame, keys: list[str], order: str, sums: list[str] = (), maxes: list[str] = (), block: int = 1024) -> DataFrame:
