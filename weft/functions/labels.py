@@ -60,4 +60,4 @@ def ranked(edges: DataFrame, *within: str) -> DataFrame:
 def masked(edges: DataFrame, language: Language, *within: str) -> DataFrame:
     """Adds `rank` and `mask`: the group bit that an edge of the counted family flips under a language, else 0."""
     bit = F.when(F.col("family") == F.lit(language.counted), mask_column(language, F.col("rank"))).otherwise(0)
-    return ranked(edges, *within).withColumn("mask", bit.cast("int"))
+    return ranked(edges, *within).withColumn("mask", bit.cast("int" if language.k < 32 else "long"))

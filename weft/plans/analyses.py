@@ -1,9 +1,12 @@
 """The analyses over DataFrames: under-, over- and on-demand approximation, by component.
 
-strategy "grouped" runs the kernel once per weak component, "relational" the
+strategy "grouped" runs the kernel once per weak component, "blocks" the bit
+sets of `weft.plans.blocks`, dealt over tasks by source vertex, "relational" the
 joins of `weft.plans.fixpoint`; "auto", the default, finds the components and
 counts the edges of the largest one first: up to `largest` edges they are
-grouped, beyond that no task should hold one, and the joins run.
+grouped, beyond that they go by blocks. The kernel holds up to the square of a
+component's vertices a state and its time grows faster, so where a language is
+solved the bound is `SOLVED`, elsewhere `LARGEST`.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators import graph
-from weft.plans import fixpoint, kernel
+from weft.plans import blocks, fixpoint, kernel
 from weft.plans.languages import Language
 from weft.session import materialise
 
-LARGEST = 200_000
+#: Edges of a component that one task takes where labels don't matter, and where a language is solved: facts grow with the square.
+LARGEST, SOLVED = 200_000, 2_000
+_SOLVERS = {"blocks": blocks.Blocks, "relational": fixpoint.Facts}
 _EDGE = ["src", "dst", "family", "side", "label"]
 
 
@@ -34,13 +39,13 @@ def _frame(pairs) -> pd.DataFrame:
     return pd.DataFrame({"src": pd.Series([p[0] for p in pairs], dtype="int64"), "dst": pd.Series([p[1] for p in pairs], dtype="int64")})
 
 
-def _strategy(edges: DataFrame, strategy: str, largest: int) -> tuple[DataFrame, bool]:
-    """The edges with their components, found once, and whether the kernel takes them."""
+def _strategy(edges: DataFrame, strategy: str, largest: int) -> tuple[DataFrame, type | None]:
+    """The edges with their components, found once, and what solves them; None is the kernel."""
     parts = materialise(graph.split(edges.select(_EDGE)))
     if strategy == "auto":
         most = graph.edge_count(parts, "comp").agg(F.max("n_edges")).first()[0]
-        return parts, (most or 0) <= largest
-    return parts, strategy == "grouped"
+        return parts, None if (most or 0) <= largest else blocks.Blocks
+    return parts, None if strategy == "grouped" else _SOLVERS[strategy]
 
 
 def by_component(parts: DataFrame, run, schema: str = "src long, dst long") -> DataFrame:
@@ -48,31 +53,31 @@ def by_component(parts: DataFrame, run, schema: str = "src long, dst long") -> D
     return parts.groupBy("comp").applyInPandas(lambda part: run(_edges(part)), schema)
 
 
-def language_pairs(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
+def language_pairs(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
     """Pairs with a path in the language, labels ranked within each component."""
-    parts, grouped = _strategy(edges, strategy, largest)
-    return by_component(parts, lambda own: _frame(kernel.Solver(own, language).reach())) if grouped else fixpoint.Facts(parts, language).reach()
+    parts, solve = _strategy(edges, strategy, largest)
+    return by_component(parts, lambda own: _frame(kernel.Solver(own, language).reach())) if solve is None else solve(parts, language).reach()
 
 
-def useful_edges(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
+def useful_edges(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
     """Edges on paths of the language between different vertices."""
-    parts, grouped = _strategy(edges, strategy, largest)
-    return by_component(parts, lambda own: _edge_frame(kernel.Solver(own, language).useful()), _EDGES_SQL) if grouped else fixpoint.Facts(parts, language).useful().select(_EDGE)
+    parts, solve = _strategy(edges, strategy, largest)
+    return by_component(parts, lambda own: _edge_frame(kernel.Solver(own, language).useful()), _EDGES_SQL) if solve is None else solve(parts, language).useful().select(_EDGE)
 
 
-def under_approximation(edges: DataFrame, valueflow: bool = False, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
+def under_approximation(edges: DataFrame, valueflow: bool = False, strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
     """Pairs joined by a path on which both families nest, also across each other."""
-    parts, grouped = _strategy(edges, strategy, largest)
-    return by_component(parts, lambda own: _frame(kernel.under(own, valueflow))) if grouped else fixpoint.under_approximation(parts, valueflow)
+    parts, solve = _strategy(edges, strategy, largest)
+    return by_component(parts, lambda own: _frame(kernel.under(own, valueflow))) if solve is None else fixpoint.under_approximation(parts, valueflow, solve)
 
 
 def over_approximation(
-    edges: DataFrame, method: str, known: DataFrame | None = None, valueflow: bool = False, strategy: str = "auto", largest: int = LARGEST
+    edges: DataFrame, method: str, known: DataFrame | None = None, valueflow: bool = False, strategy: str = "auto", largest: int = SOLVED
 ) -> DataFrame:
     """Pairs left by mutual refinement under a method; `known` pairs condense the graph first."""
     if known is None:
-        parts, grouped = _strategy(edges, strategy, largest)
-        return by_component(parts, lambda own: _frame(kernel.over(own, method, None, valueflow))) if grouped else fixpoint.over_approximation(parts, method, valueflow)
+        parts, solve = _strategy(edges, strategy, largest)
+        return by_component(parts, lambda own: _frame(kernel.over(own, method, None, valueflow))) if solve is None else fixpoint.over_approximation(parts, method, valueflow, solve)
     rep = materialise(graph.representatives(known))
     small = materialise(graph.condense(edges, rep))
     return graph.expand(over_approximation(small, method, None, valueflow, strategy, largest), rep)
@@ -99,20 +104,20 @@ _EDGES_SQL = "src long, dst long, family string, side string, label long"
 
 def relevant_edges(edges: DataFrame, pairs: DataFrame, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
     """`graph.relevant`, by component where that can be: no round per step of a way."""
-    parts, grouped = _strategy(edges, strategy, largest)
-    return with_pairs(parts, pairs, lambda e, p: _edge_frame(kernel.relevant(e, p)), _EDGES_SQL) if grouped else graph.relevant(parts, pairs).select(_EDGE)
+    parts, solve = _strategy(edges, strategy, largest)
+    return with_pairs(parts, pairs, lambda e, p: _edge_frame(kernel.relevant(e, p)), _EDGES_SQL) if solve is None else graph.relevant(parts, pairs).select(_EDGE)
 
 
 def value_flow_edges(edges: DataFrame, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
     """`graph.value_flow_edges`, by component where that can be."""
-    parts, grouped = _strategy(edges, strategy, largest)
-    return by_component(parts, lambda own: _edge_frame(kernel.value_flow_edges(own)), _EDGES_SQL) if grouped else graph.value_flow_edges(parts).select(_EDGE)
+    parts, solve = _strategy(edges, strategy, largest)
+    return by_component(parts, lambda own: _edge_frame(kernel.value_flow_edges(own)), _EDGES_SQL) if solve is None else graph.value_flow_edges(parts).select(_EDGE)
 
 
 def bracket_pairs(edges: DataFrame, pairs: DataFrame, strategy: str = "auto", largest: int = LARGEST) -> DataFrame:
     """`graph.bracket_pairs`, by component where that can be."""
-    parts, grouped = _strategy(edges, strategy, largest)
-    return with_pairs(parts, pairs, lambda e, p: _frame(kernel.bracket_pairs(e, p)), "src long, dst long") if grouped else graph.bracket_pairs(parts, pairs)
+    parts, solve = _strategy(edges, strategy, largest)
+    return with_pairs(parts, pairs, lambda e, p: _frame(kernel.bracket_pairs(e, p)), "src long, dst long") if solve is None else graph.bracket_pairs(parts, pairs)
 
 
 def on_demand(
@@ -127,9 +132,9 @@ def on_demand(
     copy of the edges that matter to it, and all pairs are refined side by side.
     """
     known, upper = (materialise(p.select("src", "dst").distinct()) for p in (known, upper))
-    parts, grouped = _strategy(edges, strategy, largest)
-    if not grouped:
-        return _on_demand(parts, known, upper, parity_d, lambda e, k, u, m: _relational_pairs(e, k, u, m, valueflow), graph.relevant)
+    parts, solve = _strategy(edges, strategy, largest)
+    if solve is not None:
+        return _on_demand(parts, known, upper, parity_d, lambda e, k, u, m: _relational_pairs(e, k, u, m, valueflow, solve), graph.relevant)
     size = graph.edge_count(parts, "comp")
     # candidates decide which components are looked at, and by whom
     asked = _of_component(graph.difference(upper, known), parts).select(F.col("own").alias("comp")).distinct()
@@ -180,8 +185,8 @@ def _dealt_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method: s
     return graph.union(known, graph.pull(confirmed, rep))
 
 
-def _relational_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method: str, valueflow: bool) -> DataFrame:
+def _relational_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method: str, valueflow: bool, solve) -> DataFrame:
     rep = materialise(graph.representatives(known))
     small = materialise(graph.split(graph.condense(edges, rep)).select(_EDGE))
     candidates = graph.push(graph.difference(upper, known), rep)
-    return graph.union(known, graph.pull(fixpoint.confirmed(small, candidates, method, valueflow), rep))
+    return graph.union(known, graph.pull(fixpoint.confirmed(small, candidates, method, valueflow, solve), rep))

@@ -71,9 +71,13 @@ class Facts:
                 return seen
             seen = grown(seen, new)
 
+    def accepted_pairs(self) -> DataFrame:
+        """Pairs with an accepted path, a vertex and itself among them."""
+        return self.all.where(_accepted(self.language)).select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()
+
     def reach(self) -> DataFrame:
         """Pairs of different vertices with an accepted path."""
-        return self.all.where(_accepted(self.language)).where("u <> v").select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()
+        return self.accepted_pairs().where("src <> dst")
 
     def useful(self, targets: DataFrame | None = None) -> DataFrame:
         """Edges on accepted paths between different vertices, or of the target pairs (src, dst)."""
@@ -108,14 +112,14 @@ class Facts:
         return step.union(opening.select(columns)).union(closing.select(columns)).distinct()
 
 
-def under_approximation(edges: DataFrame, valueflow: bool = False) -> DataFrame:
-    """edges: with `comp`."""
-    facts = Facts(edges, UNION)
+def under_approximation(edges: DataFrame, valueflow: bool = False, solve=Facts) -> DataFrame:
+    """edges: with `comp`; solve: `Facts` or `blocks.Blocks`."""
+    facts = solve(edges, UNION)
     pairs = facts.reach()
     return graph.bracket_pairs(facts.useful(), pairs) if valueflow else pairs
 
 
-def over_approximation(edges: DataFrame, method: str, valueflow: bool = False) -> DataFrame:
+def over_approximation(edges: DataFrame, method: str, valueflow: bool = False, solve=Facts) -> DataFrame:
     """Mutual refinement of all components side by side; a component is done in the round that keeps its edges. edges: with `comp`."""
     plan, done = METHODS[method], []
     now = edges
@@ -123,7 +127,7 @@ def over_approximation(edges: DataFrame, method: str, valueflow: bool = False) -
         before = graph.edge_count(now, "comp").withColumnRenamed("n_edges", "n_before")
         current, reached = now, []
         for language in (plan.alpha, plan.beta, *([ERASED] if plan.project else [])):
-            facts = Facts(current, language)
+            facts = solve(current, language)
             reached.append(materialise(facts.reach()))
             current = materialise(paired(facts.useful(), "comp"))
         if plan.exclude:
@@ -133,7 +137,7 @@ def over_approximation(edges: DataFrame, method: str, valueflow: bool = False) -
                 active = materialise(labels.where(F.col("n") > j).select("comp"))
                 if active.isEmpty():
                     break
-                facts = Facts(current.join(active, "comp", "left_semi").select(current.columns), excluding(j))
+                facts = solve(current.join(active, "comp", "left_semi").select(current.columns), excluding(j))
                 rest = current.join(active, "comp", "left_anti").select(current.columns)
                 current = materialise(paired(facts.useful(), "comp").select(current.columns).union(rest))
                 j += 1
@@ -152,7 +156,7 @@ def over_approximation(edges: DataFrame, method: str, valueflow: bool = False) -
     return graph.union(*done)
 
 
-def confirmed(edges: DataFrame, pairs: DataFrame, method: str, valueflow: bool = False) -> DataFrame:
+def confirmed(edges: DataFrame, pairs: DataFrame, method: str, valueflow: bool = False, solve=Facts) -> DataFrame:
     """The pairs (src, dst) that mutual refinement for each pair by itself leaves.
 
     Every pair gets a copy of the edges that lie on its ways, with vertices of
@@ -188,9 +192,8 @@ def confirmed(edges: DataFrame, pairs: DataFrame, method: str, valueflow: bool =
                 language = excluding(j)
             part, asking = (current, alive) if active is None else (d.join(active, "comp", "left_semi").select(d.columns) for d in (current, alive))
             rest, others = (None, None) if active is None else (d.join(active, "comp", "left_anti").select(d.columns) for d in (current, alive))
-            facts = Facts(part, language)
-            there = facts.all.where(_accepted(language)).select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct()
-            found = materialise(asking.join(there, ["src", "dst"], "left_semi").select(asking.columns))
+            facts = solve(part, language)
+            found = materialise(asking.join(facts.accepted_pairs(), ["src", "dst"], "left_semi").select(asking.columns))
             useful = paired(facts.useful(found), "comp").select(columns)
             current = materialise(useful if rest is None else useful.union(rest.select(columns)))
             alive = materialise(found if others is None else found.union(others))

@@ -98,5 +98,8 @@ def mask_column(language: Language, rank: Column) -> Column:
     """`Language.bit` as a column."""
     if not language.k:
         return F.lit(0)
-    bit = F.pow(F.lit(2), F.pmod(rank, F.lit(language.k))).cast("int")
-    return bit if language.exclude is None else F.when(rank == language.exclude, 0).otherwise(bit)
+    if not 0 < language.k < 64:
+        raise ValueError("k is between 1 and 63, the bits of a mask")
+    one = F.lit(1) if language.k < 32 else F.lit(1).cast("long")
+    bit = F.call_function("shiftleft", one, F.pmod(rank, F.lit(language.k)).cast("int"))
+    return bit if language.exclude is None else F.when(rank == language.exclude, F.lit(0).cast("int" if language.k < 32 else "long")).otherwise(bit)
