@@ -86,3 +86,23 @@ def test_states_compose():
     some = [(rng.randrange(8), *rng.choice([(0, 0), (1, 1), (1, 2), (2, 1), (2, 2)])) for _ in range(20)]
     assert all(compose(compose(a, b), c) == compose(a, compose(b, c)) for a in some for b in some for c in some)
     assert all(compose((0, 0, 0), a) == a == compose(a, (0, 0, 0)) for a in some)
+
+
+def test_strong_components(spark):
+    """Chains, rings, rings joined one way, loops, random graphs; against reachability by hand."""
+    rng = random.Random(5)
+    graphs = [[(i, i + 1) for i in range(6)], [(i, (i + 1) % 7) for i in range(7)], [(0, 1), (1, 0), (1, 2), (2, 3), (3, 2), (9, 9), (3, 4)], *[[(rng.randrange(14), rng.randrange(14)) for _ in range(m)] for m in (10, 18, 26)]]
+    edges = [(a + 100 * k, b + 100 * k) for k, g in enumerate(graphs) for a, b in g]
+    reach = {(v, v) for e in edges for v in e} | set(edges)
+    while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+        reach |= more
+    want = {(v, min(u for u in {x for e in edges for x in e} if (u, v) in reach and (v, u) in reach)) for v in {x for e in edges for x in e}}
+    df = spark.createDataFrame([*edges, edges[0], (None, 3)], "src long, dst long")
+    found, between = graph.strong_components(df.where("src is not null"))
+    assert _rows(graph.scc(df)) == want == _rows(found)
+    of = dict(want)
+    assert _rows(between) == {(of[a], of[b]) for a, b in reach}
+
+
+def test_no_edges(spark):
+    assert graph.scc(spark.createDataFrame([], "src long, dst long")).count() == 0

@@ -107,13 +107,65 @@ def closure(edges: DataFrame) -> DataFrame:
             return now
 
 
+def scc(edges: DataFrame) -> DataFrame:
+    """(vertex, scc): the smallest vertex that a vertex reaches and is reached by, found without any closure.
+
+    Vertices without an edge in or out are trimmed: each is a component. Then
+    every vertex takes the smallest one that reaches it as its colour; a vertex
+    of its own colour is the smallest of its component, and what reaches it
+    within the colour is that component. These go, and what is left is coloured
+    again. Tables hold edges and one row a vertex, never pairs; a propagation
+    only joins the rows that changed and takes as many rounds as its longest
+    shortest way. Null ends are ignored; repeated edges count once.
+    """
+    all_ = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    vertices = materialise(all_.select(F.col("src").alias("vertex")).union(all_.select("dst")).distinct())
+    left, done = materialise(all_.where("src <> dst")), []
+    while True:
+        while True:  # trim
+            both = left.select(F.col("src").alias("v")).distinct().join(left.select(F.col("dst").alias("v")).distinct(), "v", "left_semi")
+            core = left.join(both.select(F.col("v").alias("src")), "src", "left_semi").join(both.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst")
+            last, left = left, materialise(core)
+            n, before = left.count(), last.count()
+            release(last)
+            if n == before or not n:
+                break
+        if not n:
+            break
+        colour = _least(left, left.select(F.col("src").alias("vertex"), F.col("src").alias("colour")).distinct())
+        own = left.join(colour.select(F.col("vertex").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("vertex").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
+        own = materialise(own.select("src", "dst"))
+        back = _least(transposed(own), colour.where("vertex = colour"))
+        done.append(back)
+        gone = back.select("vertex")
+        last, left = left, materialise(left.join(gone.withColumnRenamed("vertex", "src"), "src", "left_anti").join(gone.withColumnRenamed("vertex", "dst"), "dst", "left_anti").select("src", "dst"))
+        release(last, own, colour)
+    found = vertices.select("vertex", F.lit(None).cast(vertices.schema[0].dataType).alias("colour")).limit(0)
+    for part in done:
+        found = found.union(part.select("vertex", "colour"))
+    return vertices.join(found, "vertex", "left").select("vertex", F.coalesce("colour", "vertex").alias("scc"))
+
+
+def _least(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(vertex, colour): the smallest colour of `start` that reaches each vertex along the edges."""
+    now = materialise(start.select("vertex", "colour"))
+    new = now
+    while True:
+        came = new.join(edges, new["vertex"] == edges["src"]).groupBy(F.col("dst").alias("vertex")).agg(F.min("colour").alias("came"))
+        better = came.join(now, "vertex", "left").where("colour is null or came < colour").select("vertex", F.col("came").alias("colour"))
+        new = materialise(better)
+        if new.isEmpty():
+            release(new)
+            return now
+        last, now = now, materialise(now.join(new, "vertex", "left_anti").union(new))
+        release(last)
+
+
 def strong_components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vertex, scc) with the smallest vertex that reaches it both ways, and the reflexive closure (a, b) between components."""
-    reach = closure(edges)
-    both = reach.join(transposed(reach), ["src", "dst"], "left_semi")
-    scc = materialise(both.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("scc")))
-    between = push(reach, scc.select("vertex", F.col("scc").alias("rep")))
-    return scc, between.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    """`scc`, and the reflexive closure (a, b) between components, taken over the graph of components alone."""
+    of = materialise(scc(edges))
+    between = push(adjacency(edges), of.select("vertex", F.col("scc").alias("rep")))
+    return of, closure(between).select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
 def relevant(edges: DataFrame, pairs: DataFrame) -> DataFrame:

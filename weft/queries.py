@@ -12,7 +12,7 @@ from weft.operators import graph
 from weft.plans import analyses
 from weft.plans.languages import ERASED, METHODS, UNION, Language, excluding
 from weft.session import materialise
-from weft.sources.tables import event_graph, event_rows, nation_graph
+from weft.sources.tables import event_graph, event_rows, nation_graph, trade_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,7 @@ def queries() -> dict[str, Query]:
         "closure": _nations(graph.closure),
         "scc": _nations(lambda e: graph.strong_components(e)[0]),
         "scc_reach": _nations(lambda e: graph.strong_components(e)[1]),
+        "scc_trade": lambda spark, sf_dir: graph.scc(materialise(trade_graph(spark, sf_dir))),
         "condensed_edges": _nations(lambda e: graph.condense(e, _clusters(e))),
         "expanded_pairs": _nations(_expanded),
         "relevant_edges": _relevant,
@@ -203,6 +204,12 @@ def oracle_sql() -> dict[str, str]:
         "closure": f"WITH RECURSIVE {_NATIONS} SELECT src, dst FROM reach",
         "scc": f"WITH RECURSIVE {_NATIONS} SELECT vertex, scc FROM scc",
         "scc_reach": f"WITH RECURSIVE {_NATIONS} SELECT DISTINCT a.scc AS a, b.scc AS b FROM reach JOIN scc a ON reach.src = a.vertex JOIN scc b ON reach.dst = b.vertex",
+        "scc_trade": """WITH RECURSIVE t AS (
+              SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN o_custkey::BIGINT * 2 ELSE l_suppkey::BIGINT * 2 + 1 END AS src,
+                     CASE l_returnflag WHEN 'A' THEN l_suppkey::BIGINT * 2 + 1 ELSE o_custkey::BIGINT * 2 END AS dst
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7 AND l_returnflag IN ('A', 'R')),
+            reach(src, dst) AS (SELECT src, src FROM t UNION SELECT dst, dst FROM t UNION SELECT r.src, t.dst FROM reach r JOIN t ON r.dst = t.src)
+            SELECT a.src AS vertex, min(a.dst) AS scc FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1""",
         "condensed_edges": f"WITH RECURSIVE {_CONDENSED} SELECT src, dst, family, side, label FROM condensed",
         "expanded_pairs": f"""WITH RECURSIVE {_CONDENSED}
             SELECT a.vertex AS src, b.vertex AS dst FROM (SELECT DISTINCT src, dst FROM condensed) c JOIN scc a ON a.scc = c.src JOIN scc b ON b.scc = c.dst

@@ -46,3 +46,15 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         return sums.groupBy(F.col(of).alias("src")).agg(best.alias("dst")).join(regions, "src").select("src", "dst", F.lit("b").alias("family"), F.lit(side).alias("side"), "label")
 
     return main("buyer", "seller", "o").union(main("seller", "buyer", "c"))
+
+
+def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers (even numbers) and suppliers (odd ones): an edge to the supplier of each seventh line that came back by choice (A), and from that of one that had to (R).
+
+    It grows with lineitem, branches and has cycles of any length.
+    """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 7 and l_returnflag in ('A', 'R')").select("l_orderkey", "l_suppkey", "l_returnflag")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    buyer, seller = F.col("o_custkey").cast("long") * 2, F.col("l_suppkey").cast("long") * 2 + 1
+    ends = F.when(F.col("l_returnflag") == "A", F.struct(buyer.alias("src"), seller.alias("dst"))).otherwise(F.struct(seller.alias("src"), buyer.alias("dst")))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(ends.alias("e")).select("e.*").distinct()
