@@ -221,3 +221,12 @@ def test_packing(spark):
         assert at <= 4096
     assert len(by) <= -(-sum(r["length"] for r in got) // 4096) + 1
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_ids_of_every_character():
+    """Whatever Unicode version a library knows: each code point gives the tokenizer's own ids, alone and inside a word."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"{chr(c)} a{chr(c)}b" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    found = packing.WordTokenizer(path).ids(texts)
+    assert [t for t, f, w in zip(texts, found, want, strict=True) if f != np.array(w.ids, "<u4").tobytes()] == []

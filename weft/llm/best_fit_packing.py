@@ -51,6 +51,9 @@ class WordTokenizer:
         self.names = {b: 256 + k for k, b in enumerate(rest)}
 
     def _run(self, run: str) -> bytes:
+        if not run.isascii() and any(unicodedata.category(c) == "Cn" for c in run):
+            # Libraries of other Unicode versions may know these characters: only the tokenizer's own classes count.
+            return array("I", self.whole.encode(run, add_special_tokens=False).ids).tobytes()
         words = _WORD.findall((run if run.isascii() else unicodedata.normalize("NFC", run)).lower())
         if len(words) == 1 and words[0] != run and words[0] in self.known:
             return self.known[words[0]]
