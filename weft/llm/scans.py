@@ -14,15 +14,15 @@ def sliced(rows: DataFrame, keys: list[str], at: str, slice_rows: int) -> tuple[
     Keys of at most `slice_rows` rows have slice 0 alone. Others are cut into
     equal lengths of `at`, four times as many as rows ask for, so that a key
     denser at some times than at others still gives slices of bounded size.
-    The second frame (keys, key_rows, key_lo, key_hi, key_parts) has a row for `slice_rows` rows
-    at most; it is written, and Spark broadcasts it only below its own limit.
+    Both frames are written. The second (keys, key_rows, key_lo, key_hi, key_parts) has a row for `slice_rows` rows
+    at most; Spark broadcasts it only below its own limit.
     """
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"), F.min(at).alias("key_lo"), F.max(at).alias("key_hi"))
     heavy = materialise(counted.where(F.col("key_rows") > slice_rows).withColumn("key_parts", F.ceil(F.col("key_rows") / slice_rows) * 4))
     width = (F.col("key_hi") - F.col("key_lo") + 1) / F.col("key_parts")
     place = F.least(F.floor((F.col(at) - F.col("key_lo")) / width), F.col("key_parts") - 1)
     out = rows.join(heavy, keys, "left").withColumn("slice", F.coalesce(place, F.lit(0)).cast("long"))
-    return out.select(*rows.columns, "slice", F.col("key_parts").isNotNull().alias("hot")), heavy
+    return materialise(out.select(*rows.columns, "slice", F.col("key_parts").isNotNull().alias("hot"))), heavy
 
 
 def carried(totals: DataFrame, keys: list[str], order: str, sums: list[str] = (), maxes: list[str] = (), block: int = 1024) -> DataFrame:
