@@ -59,7 +59,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No SQL: a trained field, hashed candidates and a packing plan aren't expressible; tests hold each stage against brute force.
+#: No SQL: a trained field, hashed candidates and a packing plan aren't expressible. Tests of the operators hold each against brute force or definitions, those of the pipeline its columns, counts and subsets.
 ORACLE_SQL = None
 
 
