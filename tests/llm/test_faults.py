@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import best_fit_packing, budget_mix, chat_events, dart_minhash, rp_forest, suffix_dedup
+from weft.llm import best_fit_packing, budget_mix, chat_events, dart_minhash, grams, rp_forest, suffix_dedup
 
 
 def test_a_repeated_vector_is_no_link(spark):
@@ -75,3 +75,43 @@ def test_hot_near_copies_against_brute_force(spark, block):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: r["component_id"] for r in dart_minhash.near_duplicates(df, small=4, block=block).collect()}
     assert [got[k] for k in range(len(texts))] == root
+
+
+def _twins(n=1024):
+    """A Thue-Morse word and its inverse: polynomial hashes modulo 2**64 take them for one."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_under_a_polynomial(spark):
+    one, two = _twins()
+    df = spark.createDataFrame([(1, one + " one"), (2, two + " one"), (3, one + " one"), (4, " ".join([one] * 3 + ["x"] * 40)), (5, " ".join([two] * 3 + ["x"] * 40))], "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in dart_minhash.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    assert len(set(grams.word_hashes([one.encode(), two.encode()])[0].tolist())) == 2
+
+
+@pytest.mark.parametrize("hot", [1, 2, 100_000])
+def test_windows_that_collide_under_a_polynomial(spark, hot):
+    one, two = _twins()
+    df = spark.createDataFrame([(1, one), (2, two), (3, "c" + two)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["__spans"]] for r in suffix_dedup.remove_repeats(df, length=1024, hot=hot).collect()}
+    assert got == {1: [], 2: [], 3: [(1, 1025)]}
+
+
+def test_exact_shingles_when_every_hash_collides(monkeypatch):
+    """The numbers of shingles rest on words, whatever the hash does."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "a" * 9, "a" * 8 + "b"], n)).encode() for n in (0, 1, 3, 4, 5, 6, 40, 40)]
+    texts += [texts[3], b" \t a\x0bb "]
+
+    def sets():
+        owner, numbers = grams.exact_shingles(texts)
+        return [set(numbers[owner == k].tolist()) for k in range(len(texts))]
+
+    words = [[w for w in t.replace(b"\x0b", b" ").split(b" ") if w.strip()] for t in texts]
+    want = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    for _ in range(2):
+        got = sets()
+        assert [[len(a & b) for a in got] for b in got] == [[len(a & b) for a in want] for b in want]
+        monkeypatch.setattr(grams, "mix", lambda x: x & np.uint64(0))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.grams import mix, shingles, slices
+from weft.llm.grams import exact_shingles, mix, shingles, slices
 from weft.llm.texts import give_back
 from weft.operators.components import connected_components
 from weft.session import materialise
@@ -97,7 +97,7 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) with `j`, the exact Jaccard similarity of the shingles of their texts."""
+    """The pairs (a, b) with `j`, the exact Jaccard similarity of the shingles of their texts, told apart by their words."""
 
     def exact(batches):
         for batch in batches:
@@ -108,7 +108,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 low, high = low + low % 2, high + high % 2  # whole pairs
                 if low >= high:
                     continue
-                owner, values = shingles(both[low:high], words)
+                owner, values = exact_shingles(both[low:high], words)
                 size = np.bincount(owner, minlength=high - low)
                 pair = owner // 2
                 order = np.lexsort((values, pair))
@@ -153,16 +153,17 @@ def _blocks(members: DataFrame, queries: int, others: int) -> DataFrame:
     return asked.union(given)
 
 
-def _block_links(group: pd.DataFrame, threshold: float, bands: int, rows: int) -> pd.DataFrame:
-    """Links that unite components within a block: every query against every other, by signature, then exactly.
+def _block_links(group: pd.DataFrame, threshold: float, bands: int, rows: int, spread: float | None) -> pd.DataFrame:
+    """Links that unite components within a block: every query against every other, by signature, then by sets of shingles.
 
     Pairs of one component are passed over, and pairs whose signatures agree
-    in so few coordinates that a link would be 5.5 standard deviations off; a
-    pair is looked at in the first open bucket that it shares. The rest is
-    compared by whole sets of shingles. Links that close a circle aren't listed.
+    in so few coordinates that a link would be `spread` standard deviations off
+    (None: no pair for that); a pair is looked at in the first open bucket that
+    it shares. The rest is compared by whole sets of 64-bit hashes of shingles.
+    Links that close a circle aren't listed.
     """
     k, band = bands * rows, int(group["band"].iloc[0])
-    least = int(np.ceil(k * (threshold - 5.5 * (threshold * (1 - threshold) / k) ** 0.5)))
+    least = 0 if spread is None else int(np.ceil(k * (threshold - spread * (threshold * (1 - threshold) / k) ** 0.5)))
     asked = group["query"].to_numpy()
     ids, c = group["id"].to_numpy(), group["c"].to_numpy()
     x, y = np.flatnonzero(asked), np.flatnonzero(~asked)
@@ -212,7 +213,7 @@ def _block_links(group: pd.DataFrame, threshold: float, bands: int, rows: int) -
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5,
-    bands: int = 40, rows: int = 5, small: int = 16, block: tuple[int, int] = (512, 2048), seed: int = 41,
+    bands: int = 40, rows: int = 5, small: int = 16, block: tuple[int, int] = (512, 2048), spread: float | None = 5.5, seed: int = 41,
 ) -> DataFrame:
     """Rows (id, component_id, kept), one per input row.
 
@@ -221,16 +222,18 @@ def near_duplicates(
     similarity of `threshold` or more. component_id is the smallest id reachable
     by links, kept tells whether it is the row's own. Texts of equal words are
     one class, looked at once. 40 bands of 5 coordinates of a DartMinHash
-    signature miss a pair at 0.8 once in eight million times; every link is
-    verified on the whole texts.
+    signature miss a pair at 0.8 once in eight million times. Every link is
+    verified on the whole texts: by their words, or, in the blocks below, by
+    hashes of 64 bits of all their shingles.
 
     Classes that share a bucket are candidates. In buckets of up to `small`
     classes all pairs are verified; a larger one is linked to its centre first,
     and where several components remain, the members outside the largest one are
     compared with all others in blocks of `block` (queries, others) on
     executors, which list verified links only. So a hot group of near copies
-    makes a star and bounded blocks, no list of its pairs, and nothing is left
-    out at any size.
+    makes a star and bounded blocks, no list of its pairs. Blocks pass over pairs
+    whose signatures are `spread` standard deviations off a link (at 5.5 one
+    link at 0.8 in fifty million); None compares them too, at more time.
 
     Null texts and texts without words link with nothing. Rows with a null id
     come back with a null component and kept false. Rows that share an id are
@@ -285,7 +288,7 @@ def near_duplicates(
     open_ = blocks.where("not query").groupBy("id").agg(F.collect_set("band").alias("own")).select("id", mask.alias("open"))  # at most one row a band
     about = materialise(sound.join(open_, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(describe, "id long, digest binary, shingles binary"))
     dealt = blocks.join(about.join(open_, "id"), "id")
-    found = dealt.groupBy("key", "i", "j").applyInPandas(lambda g: _block_links(g, threshold, bands, rows), "a long, b long, j double")
+    found = dealt.groupBy("key", "i", "j").applyInPandas(lambda g: _block_links(g, threshold, bands, rows, spread), "a long, b long, j double")
     tried = tried.select("a", "b").union(materialise(found).select("a", "b"))
     component = connected_components(tried, "a", "b", one_task=_ONE_TASK)
 

@@ -232,9 +232,9 @@ def resolve(block: list[tuple[bytes, bytes, int, int]], length: int, open_: bool
     """Windows of suffix rows (suffix, left context, document, start) whose bytes occur in an earlier row.
 
     Returns (document, first start, last start, None, None). With `open_`, the
-    first occurrences are listed too, each as (document, start, start, hash,
-    hash), since other blocks may hold earlier ones. Equal hashes are compared
-    byte by byte.
+    first occurrences are listed too, each as (document, start, start, half,
+    half) with the halves of its BLAKE2b digest of 128 bits, since other blocks
+    may hold earlier ones. Equal hashes are compared byte by byte.
     """
     block = sorted(block, key=lambda x: (x[2], x[3]))
     block = [x for k, x in enumerate(block) if not k or x[2:] != block[k - 1][2:] or x[:2] != block[k - 1][:2]]  # repeated rows
@@ -271,10 +271,10 @@ def resolve(block: list[tuple[bytes, bytes, int, int]], length: int, open_: bool
     low, high = _spans(item[w], place[w])
     out = [(d, a, b, None, None) for d, a, b in zip(docs[item[w[low]]].tolist(), (starts[item[w[low]]] + place[w[low]]).tolist(), (starts[item[w[high]]] + place[w[high]]).tolist(), strict=True)]
     if open_:
-        more = span_hashes(prefix_sums(data ^ np.uint8(0x5A)), at, at + length)
-        w = np.flatnonzero(~hit)
+        w, raw = np.flatnonzero(~hit), data.tobytes()
         where = starts[item[w]] + place[w]
-        out += list(zip(docs[item[w]].tolist(), where.tolist(), where.tolist(), hashes[w].view(np.int64).tolist(), more[w].view(np.int64).tolist(), strict=True))
+        digests = np.frombuffer(b"".join(hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for k in at[w].tolist()), np.int64).reshape(-1, 2)
+        out += list(zip(docs[item[w]].tolist(), where.tolist(), where.tolist(), digests[:, 0].tolist(), digests[:, 1].tolist(), strict=True))
     return out
 
 
@@ -285,13 +285,12 @@ def repeated_windows(docs: DataFrame, length: int = 100, gram: int = 16, slice_b
     equal ones, and front-codes one run per part of the anchors. 2. Runs are
     exchanged by part and combined by loser trees; neighbours that share an
     anchor form a block, in which windows are told apart. 3. A block of more
-    than `hot` rows is passed on by windows: they are grouped by a 128-bit hash,
+    than `hot` rows is passed on by windows: they are grouped by a digest,
     pre-aggregated, so no task holds such a block. `slice_bytes`, `hot` and
     `together` (suffixes told apart at a time) set what a worker holds; smaller ones
-    cost time and change no result. The hash is the same map of
-    a window's bytes for all of them (no seed differs by task), and takes the
-    place of the comparison of bytes there: of 10^12 windows two unlike ones
-    share it with odds of 1 to 10^14.
+    cost time and change no result. The digest, 128 bits of BLAKE2b, takes the
+    place of the comparison of bytes there; no two strings that share it are
+    known, and of 10^12 unlike windows two do with odds of 1 to 10^14.
     """
     import zstandard  # noqa: F401  the runs are compressed by it
 
