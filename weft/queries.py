@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft import oracle
 from weft.functions.labels import classify, masked
 from weft.operators import graph
 from weft.plans import analyses
 from weft.plans.languages import ERASED, METHODS, UNION, Language, excluding
 from weft.session import materialise
-from weft.sources.tables import event_graph, event_rows, nation_graph, trade_graph
+from weft.sources.tables import event_graph, event_rows, nation_graph, trade_graph, woven_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,10 @@ def _events(run: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(materialise(event_graph(spark, sf_dir)))
 
 
+def _woven(run: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: run(materialise(woven_graph(spark, sf_dir)))
+
+
 def _nations(run: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(materialise(nation_graph(spark, sf_dir)))
 
@@ -94,6 +99,8 @@ def queries() -> dict[str, Query]:
     }
     found |= {name: _events(language(name)) for name in LANGUAGES}
     found |= {f"mr_{m}": _events(lambda e, m=m: analyses.over_approximation(e, m)) for m in METHODS}
+    found |= {f"woven_{m}": _woven(lambda e, m=m: analyses.over_approximation(e, m)) for m in METHODS}
+    found["woven_under"] = _woven(analyses.under_approximation)
     return found
 
 
@@ -122,6 +129,26 @@ e AS (
   FROM chained)"""
 )
 
+_CHAINS = ",\nchains AS MATERIALIZED (SELECT row_number() OVER (ORDER BY src, dst) AS eid, comp, src, dst, family, side, label FROM e)"
+
+_WOVEN = """
+placed AS (
+  SELECT event_id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 AS k, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS piece, ts
+  FROM events),
+ahead AS (
+  SELECT *, lead(event_id) OVER o AS id1, lead(event_id, 2) OVER o AS id2, lead(kind) OVER o AS kind1, lead(k) OVER o AS k1
+  FROM placed WINDOW o AS (PARTITION BY user_id, piece ORDER BY ts, event_id)),
+drawn AS (
+  SELECT event_id AS src, id1 AS dst, kind, k FROM ahead UNION SELECT event_id, id1, kind1, k1 FROM ahead UNION SELECT event_id, id2, kind1, k1 FROM ahead),
+named AS (
+  SELECT DISTINCT src, dst, CASE kind WHEN 'signup' THEN 'p' WHEN 'purchase' THEN 'p' WHEN 'click' THEN 'b' WHEN 'view' THEN 'b' WHEN 'error' THEN 'n' END AS family,
+         CASE kind WHEN 'signup' THEN 'o' WHEN 'click' THEN 'o' WHEN 'purchase' THEN 'c' WHEN 'view' THEN 'c' ELSE 'n' END AS side,
+         CASE kind WHEN 'error' THEN 0 ELSE k END AS label
+  FROM drawn WHERE dst IS NOT NULL),
+woven AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY src, dst, family, side, label) AS eid, 0 AS comp, * FROM named
+  WHERE family = 'n' OR (family, label) IN (SELECT (family, label) FROM named GROUP BY family, label HAVING bool_or(side = 'o') AND bool_or(side = 'c')))"""
+
 
 def _language_sql(language: Language) -> str:
     """CTEs that walk every chain from every vertex with a stack and the state; `pairs` are those accepted."""
@@ -179,7 +206,17 @@ def oracle_sql() -> dict[str, str]:
             sql = sql.replace(f"{cte}(", f"{cte}_{tag}(").replace(f"{cte} ", f"{cte}_{tag} ")
         return sql.replace("\ns AS", f"\ns_{tag} AS").replace("FROM s\n", f"FROM s_{tag}\n").replace("JOIN s ON s.src", f"JOIN s_{tag} s ON s.src")
 
+    def refined(given: str, edges: str, method: str) -> str:
+        # on chains and pieces with two labels six rounds settle everything; the statement fails where they don't
+        ctes, result = oracle.over(edges, method, 6, 2)
+        return f"WITH RECURSIVE {given},{ctes} {result}"
+
     found = {name: on_events(walks(name), "SELECT src, dst FROM pairs") for name in LANGUAGES}
+    found |= {f"mr_{m}": refined(_EDGES + _CHAINS, "chains", m) for m in METHODS}
+    found |= {f"woven_{m}": refined(_WOVEN, "woven", m) for m in METHODS}
+    found["woven_under"] = f"WITH RECURSIVE {_WOVEN},{oracle.walks('u', 'woven', UNION)} SELECT src, dst FROM pairs_u"
+    # where known pairs make no cycle there is nothing to condense
+    found["mr_condensed"] = found["mr_parity2"]
     found |= {
         "edge_labels": f"WITH {_RAW} SELECT DISTINCT src, dst, family, side, label FROM raw WHERE dst IS NOT NULL",
         "paired_labels": f"WITH {_EDGES} SELECT family, side, label, count(*) AS n_edges FROM e GROUP BY ALL",

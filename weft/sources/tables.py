@@ -26,6 +26,24 @@ def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired(classify(event_rows(spark, sf_dir)))
 
 
+def woven_graph(spark: SparkSession, sf_dir: str, length: int = 8) -> DataFrame:
+    """Branching pieces of `length` events of a user in order of time: edges to the next event, labelled by either end, and to the next but one, labelled by the event between.
+
+    Labels are made as in `event_rows`. There are many ways between two events,
+    so the methods differ, but no cycles, so that SQL can list every walk.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
+    names = F.create_map(*[F.lit(x) for pair in _LABEL.items() for x in pair])
+    mark = F.struct(F.element_at(names, F.col("event_type")).alias("label"), F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(2)).alias("index"))
+    ordered = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    placed = events.select("event_id", "user_id", mark.alias("mark"), F.row_number().over(ordered).alias("n")).withColumn("piece", F.floor((F.col("n") - 1) / length))
+    along = Window.partitionBy("user_id", "piece").orderBy("n")
+    ahead = placed.select("event_id", "mark", *[F.lead(c, k).over(along).alias(f"{c}_{k}") for k in (1, 2) for c in ("event_id", "mark")])
+    edge = lambda dst, of: F.struct(F.col("event_id").alias("src"), F.col(dst).alias("dst"), F.col(of).alias("mark"))
+    edges = ahead.select(F.explode(F.array(edge("event_id_1", "mark"), edge("event_id_1", "mark_1"), edge("event_id_2", "mark_1"))).alias("e")).where("e.dst is not null")
+    return paired(classify(edges.select("e.src", "e.dst", "e.mark.label", "e.mark.index").distinct()))
+
+
 def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from each customer nation to the supplier nation it buys most from, and from each supplier nation to the customer nation it sells most to.
 
