@@ -42,3 +42,9 @@ def test_too_few_rounds_fail(sql):
     ctes, result = queries.oracle.over("woven", "all", 1, 2)
     with pytest.raises(duckdb.Error, match="more rounds"):
         sql(f"WITH RECURSIVE {queries._WOVEN},{ctes} {result}")
+
+
+@pytest.mark.parametrize("name", ["woven_valueflow_under", "woven_valueflow"])
+def test_value_flow_is_the_sql(spark, sql, name):
+    got = {tuple(r) for r in queries.queries()[name](spark, SF).select("src", "dst").collect()}
+    assert got == sql(queries.oracle_sql()[name]) and got

@@ -7,7 +7,7 @@ rounds as asked are written one after another, and the statement fails if the la
 
 from __future__ import annotations
 
-from weft.plans.languages import ERASED, METHODS, Language, excluding
+from weft.plans.languages import ERASED, METHODS, UNION, Language, excluding
 
 
 def walks(tag: str, edges: str, language: Language) -> str:
@@ -51,9 +51,50 @@ e_{tag} AS MATERIALIZED (
   UNION ALL SELECT * FROM {edges} WHERE {spared})"""
 
 
-def over(edges: str, method: str, rounds: int, labels: int) -> tuple[str, str]:
-    """CTEs and the final SELECT (src, dst) of the over-approximation; labels: the most bracket labels that a component has."""
+def _reach(tag: str, edges: str) -> str:
+    return f"""
+reach_{tag}(a, b) AS (
+  SELECT src, src FROM {edges} UNION SELECT dst, dst FROM {edges}
+  UNION SELECT r.a, e.dst FROM reach_{tag} r JOIN {edges} e ON e.src = r.b)"""
+
+
+def flow_edges(tag: str, edges: str) -> str:
+    """CTE flow_<tag>: the edges whose ends both lie on a way from an opening to a closing bracket; needs reach_<tag>."""
+    return f"""
+kept_{tag} AS MATERIALIZED (
+  SELECT r.b AS v FROM reach_{tag} r JOIN {edges} e ON r.a = e.src WHERE family = 'b' AND side = 'o'
+  INTERSECT SELECT r.a FROM reach_{tag} r JOIN {edges} e ON r.b = e.dst WHERE family = 'b' AND side = 'c'),
+flow_{tag} AS MATERIALIZED (SELECT * FROM {edges} WHERE src IN (SELECT v FROM kept_{tag}) AND dst IN (SELECT v FROM kept_{tag}))"""
+
+
+def bracket_pairs(tag: str, edges: str, pairs: str) -> str:
+    """CTE closed_<tag>: the pairs with a way that opens a bracket first and closes one of its label last; needs reach_<tag>."""
+    return f"""
+closed_{tag} AS MATERIALIZED (
+  SELECT DISTINCT p.comp, p.src, p.dst
+  FROM {pairs} p JOIN {edges} o ON o.src = p.src AND o.family = 'b' AND o.side = 'o'
+  JOIN {edges} c ON c.dst = p.dst AND c.family = 'b' AND c.side = 'c' AND c.label = o.label
+  JOIN reach_{tag} r ON r.a = o.dst AND r.b = c.src)"""
+
+
+def under(edges: str, valueflow: bool = False) -> tuple[str, str]:
+    """CTEs and the final SELECT (src, dst) of the under-approximation; with `valueflow` only of ways from a bracket to its like."""
+    ctes = walks("u", edges, UNION)
+    if not valueflow:
+        return ctes, "SELECT src, dst FROM pairs_u"
+    used = f"\nuseful AS MATERIALIZED (SELECT * FROM {edges} WHERE eid IN (SELECT unnest(used) FROM hit_u))"
+    return ",".join([ctes, used, _reach("u", "useful"), bracket_pairs("u", "useful", "pairs_u")]), "SELECT src, dst FROM closed_u"
+
+
+def over(edges: str, method: str, rounds: int, labels: int, valueflow: bool = False) -> tuple[str, str]:
+    """CTEs and the final SELECT (src, dst) of the over-approximation; labels: the most bracket labels that a component has.
+
+    With `valueflow` the edges are those of flow_edges before the first round and after each, and each round keeps bracket_pairs.
+    """
     plan, ctes, results = METHODS[method], [], []
+    if valueflow:
+        ctes += [_reach("all", edges), flow_edges("all", edges)]
+        edges = "flow_all"
     for r in range(rounds):
         # the components that the round before left
         ctes.append(f"""
@@ -70,6 +111,9 @@ e_{r} AS MATERIALIZED (SELECT eid, p.comp, src, dst, family, side, label FROM {e
         for rank in range(labels if plan.exclude else 0):
             ctes.append(_step(f"{r}_x{rank}", edges, excluding(rank)))
             edges = f"e_{r}_x{rank}"
+        if valueflow:
+            ctes += [_reach(f"{r}", edges), bracket_pairs(f"{r}", edges, f"pairs_{r}_1"), flow_edges(f"{r}", edges)]
+            edges, asked[1] = f"flow_{r}", f"SELECT * FROM closed_{r}"
         ctes.append(f"\nleft_{r} AS MATERIALIZED ({' INTERSECT '.join(asked)})")
         # components that vanish in a round keep what that round found
         results.append(f"SELECT src, dst FROM left_{r}" + (f" WHERE comp NOT IN (SELECT comp FROM {edges})" if r < rounds - 1 else ""))

@@ -100,7 +100,7 @@ def queries() -> dict[str, Query]:
     found |= {name: _events(language(name)) for name in LANGUAGES}
     found |= {f"mr_{m}": _events(lambda e, m=m: analyses.over_approximation(e, m)) for m in METHODS}
     found |= {f"woven_{m}": _woven(lambda e, m=m: analyses.over_approximation(e, m)) for m in METHODS}
-    found["woven_under"] = _woven(analyses.under_approximation)
+    found |= {"woven_under": _woven(analyses.under_approximation), "woven_valueflow_under": _woven(lambda e: analyses.under_approximation(e, True)), "woven_valueflow": _woven(_value_flow)}
     return found
 
 
@@ -206,15 +206,15 @@ def oracle_sql() -> dict[str, str]:
             sql = sql.replace(f"{cte}(", f"{cte}_{tag}(").replace(f"{cte} ", f"{cte}_{tag} ")
         return sql.replace("\ns AS", f"\ns_{tag} AS").replace("FROM s\n", f"FROM s_{tag}\n").replace("JOIN s ON s.src", f"JOIN s_{tag} s ON s.src")
 
-    def refined(given: str, edges: str, method: str) -> str:
-        # on chains and pieces with two labels six rounds settle everything; the statement fails where they don't
-        ctes, result = oracle.over(edges, method, 6, 2)
-        return f"WITH RECURSIVE {given},{ctes} {result}"
+    # on chains and pieces with two labels six rounds settle everything; the statement fails where they don't
+    chained = lambda ctes, result: f"WITH RECURSIVE {_EDGES}{_CHAINS},{ctes} {result}"
+    woven = lambda ctes, result: f"WITH RECURSIVE {_WOVEN},{ctes} {result}"
 
     found = {name: on_events(walks(name), "SELECT src, dst FROM pairs") for name in LANGUAGES}
-    found |= {f"mr_{m}": refined(_EDGES + _CHAINS, "chains", m) for m in METHODS}
-    found |= {f"woven_{m}": refined(_WOVEN, "woven", m) for m in METHODS}
-    found["woven_under"] = f"WITH RECURSIVE {_WOVEN},{oracle.walks('u', 'woven', UNION)} SELECT src, dst FROM pairs_u"
+    found |= {f"mr_{m}": chained(*oracle.over("chains", m, 6, 2)) for m in METHODS}
+    found |= {f"woven_{m}": woven(*oracle.over("woven", m, 6, 2)) for m in METHODS}
+    found |= {"valueflow_under": chained(*oracle.under("chains", True)), "mr_valueflow": chained(*oracle.over("chains", "parity2", 6, 2, True))}
+    found |= {"woven_under": woven(*oracle.under("woven")), "woven_valueflow_under": woven(*oracle.under("woven", True)), "woven_valueflow": woven(*oracle.over("woven", "parity2", 6, 2, True))}
     # where known pairs make no cycle there is nothing to condense
     found["mr_condensed"] = found["mr_parity2"]
     found |= {
