@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators import graph
-from weft.plans import blocks, fixpoint, kernel
+from weft.plans import blocks, fixpoint, kernel, memo
 from weft.plans.languages import Language
 from weft.session import materialise
 
@@ -53,10 +53,14 @@ def by_component(parts: DataFrame, run, schema: str = "src long, dst long") -> D
     return parts.groupBy("comp").applyInPandas(lambda part: run(_edges(part)), schema)
 
 
-def language_pairs(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
+def _runner(equal_once: bool):
+    return memo.once if equal_once else by_component
+
+
+def language_pairs(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = SOLVED, equal_once: bool = False) -> DataFrame:
     """Pairs with a path in the language, labels ranked within each component."""
     parts, solve = _strategy(edges, strategy, largest)
-    return by_component(parts, lambda own: _frame(kernel.Solver(own, language).reach())) if solve is None else solve(parts, language).reach()
+    return _runner(equal_once)(parts, lambda own: _frame(kernel.Solver(own, language).reach())) if solve is None else solve(parts, language).reach()
 
 
 def useful_edges(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
@@ -65,22 +69,22 @@ def useful_edges(edges: DataFrame, language: Language, strategy: str = "auto", l
     return by_component(parts, lambda own: _edge_frame(kernel.Solver(own, language).useful()), _EDGES_SQL) if solve is None else solve(parts, language).useful().select(_EDGE)
 
 
-def under_approximation(edges: DataFrame, valueflow: bool = False, strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
+def under_approximation(edges: DataFrame, valueflow: bool = False, strategy: str = "auto", largest: int = SOLVED, equal_once: bool = False) -> DataFrame:
     """Pairs joined by a path on which both families nest, also across each other."""
     parts, solve = _strategy(edges, strategy, largest)
-    return by_component(parts, lambda own: _frame(kernel.under(own, valueflow))) if solve is None else fixpoint.under_approximation(parts, valueflow, solve)
+    return _runner(equal_once)(parts, lambda own: _frame(kernel.under(own, valueflow))) if solve is None else fixpoint.under_approximation(parts, valueflow, solve)
 
 
 def over_approximation(
-    edges: DataFrame, method: str, known: DataFrame | None = None, valueflow: bool = False, strategy: str = "auto", largest: int = SOLVED
+    edges: DataFrame, method: str, known: DataFrame | None = None, valueflow: bool = False, strategy: str = "auto", largest: int = SOLVED, equal_once: bool = False
 ) -> DataFrame:
     """Pairs left by mutual refinement under a method; `known` pairs condense the graph first."""
     if known is None:
         parts, solve = _strategy(edges, strategy, largest)
-        return by_component(parts, lambda own: _frame(kernel.over(own, method, None, valueflow))) if solve is None else fixpoint.over_approximation(parts, method, valueflow, solve)
+        return _runner(equal_once)(parts, lambda own: _frame(kernel.over(own, method, None, valueflow))) if solve is None else fixpoint.over_approximation(parts, method, valueflow, solve)
     rep = materialise(graph.representatives(known))
     small = materialise(graph.condense(edges, rep))
-    return graph.expand(over_approximation(small, method, None, valueflow, strategy, largest), rep)
+    return graph.expand(over_approximation(small, method, None, valueflow, strategy, largest, equal_once), rep)
 
 
 def _of_component(pairs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weft import oracle
 from weft.functions.labels import classify, masked
 from weft.operators import graph
-from weft.plans import analyses
+from weft.plans import analyses, memo
 from weft.plans.languages import ERASED, METHODS, UNION, Language, excluding
 from weft.session import materialise
 from weft.sources.tables import event_graph, event_rows, nation_graph, trade_graph, woven_graph
@@ -32,6 +32,16 @@ def _woven(run: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(materialise(woven_graph(spark, sf_dir)))
 
 
+def _short(run: Callable[[DataFrame], DataFrame]) -> Query:
+    """On woven pieces of four events, many of which have one shape."""
+    return lambda spark, sf_dir: run(materialise(woven_graph(spark, sf_dir, 4)))
+
+
+def _shapes(edges: DataFrame) -> DataFrame:
+    shaped = memo.shapes(graph.split(edges))
+    return shaped.groupBy("digest", F.size(F.split("shape", ";")).cast("long").alias("n_edges")).agg(F.count("*").alias("n_components"))
+
+
 def _nations(run: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(materialise(nation_graph(spark, sf_dir)))
 
@@ -101,6 +111,8 @@ def queries() -> dict[str, Query]:
     found |= {f"mr_{m}": _events(lambda e, m=m: analyses.over_approximation(e, m)) for m in METHODS}
     found |= {f"woven_{m}": _woven(lambda e, m=m: analyses.over_approximation(e, m)) for m in METHODS}
     found |= {"woven_under": _woven(analyses.under_approximation), "woven_valueflow_under": _woven(lambda e: analyses.under_approximation(e, True)), "woven_valueflow": _woven(_value_flow)}
+    found |= {f"memo_{m}": _short(lambda e, m=m: analyses.over_approximation(e, m, equal_once=True)) for m in ("parity2", "all")}
+    found |= {"memo_under": _short(lambda e: analyses.under_approximation(e, equal_once=True)), "memo_shapes": _short(_shapes)}
     return found
 
 
@@ -171,6 +183,19 @@ walk(start, here, stack, mask, first, last) AS (
 pairs AS (SELECT DISTINCT start AS src, here AS dst FROM walk WHERE start <> here AND stack = '' AND mask = 0 {ends})"""
 
 
+_SHAPES = (
+    """
+near(v, w) AS (
+  SELECT src, src FROM woven UNION SELECT dst, dst FROM woven
+  UNION SELECT n.v, CASE WHEN e.src = n.w THEN e.dst ELSE e.src END FROM near n JOIN woven e ON n.w IN (e.src, e.dst)),
+part AS MATERIALIZED (SELECT v, min(w) AS comp, dense_rank() OVER (PARTITION BY min(w) ORDER BY v) AS number FROM near GROUP BY v),
+numbered AS (
+  SELECT a.comp, a.number AS a, b.number AS b, family, side, dense_rank() OVER (PARTITION BY a.comp ORDER BY family, label) AS name
+  FROM woven JOIN part a ON src = a.v JOIN part b ON dst = b.v),
+shaped AS (SELECT comp, sha256(string_agg(concat_ws(',', a, b, family, side, name), ';' ORDER BY a, b, family, side, name)) AS digest, count(*) AS n_edges FROM numbered GROUP BY comp)""",
+    "SELECT digest, n_edges, count(*) AS n_components FROM shaped GROUP BY ALL",
+)
+
 _NATIONS = """
 sums AS (
   SELECT c_nationkey::BIGINT AS buyer, s_nationkey::BIGINT AS seller, sum(l_quantity) AS amount
@@ -215,6 +240,9 @@ def oracle_sql() -> dict[str, str]:
     found |= {f"woven_{m}": woven(*oracle.over("woven", m, 6, 2)) for m in METHODS}
     found |= {"valueflow_under": chained(*oracle.under("chains", True)), "mr_valueflow": chained(*oracle.over("chains", "parity2", 6, 2, True))}
     found |= {"woven_under": woven(*oracle.under("woven")), "woven_valueflow_under": woven(*oracle.under("woven", True)), "woven_valueflow": woven(*oracle.over("woven", "parity2", 6, 2, True))}
+    short = lambda ctes, result: f"WITH RECURSIVE {_WOVEN.replace('// 8', '// 4')},{ctes} {result}"
+    found |= {"memo_under": short(*oracle.under("woven")), "memo_shapes": short(*_SHAPES)}
+    found |= {f"memo_{m}": short(*oracle.over("woven", m, 6, 2)) for m in ("parity2", "all")}
     # where known pairs make no cycle there is nothing to condense
     found["mr_condensed"] = found["mr_parity2"]
     found |= {
