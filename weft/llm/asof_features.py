@@ -88,10 +88,12 @@ def _baselines(rows: DataFrame, heavy: DataFrame, bits: list[int]) -> DataFrame:
     grid = heavy.select("client", F.explode(F.sequence(F.lit(0).cast("long"), F.col("key_parts") - 1)).alias("slice"))
     cell = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(k).alias("kind"), F.lit(b).alias("bit")) for s, k, b in kinds])
     grid = grid.withColumn("cell", F.explode(cell)).select("client", "slice", "cell.*")
-    mine = rows.where(F.col("hot") & (F.col("side") < ASKED))
-    mine = mine.withColumn("bit", F.explode(F.filter(F.array(*map(F.lit, bits)), lambda b: F.col("mask").bitwiseAND(b) != 0)))
     last = F.max(F.when((F.col("kind") == CLICK) & (F.col("side") == KNOWN), F.struct("ts", "id"))).alias("last")
-    totals = mine.groupBy(*key, "slice").agg(*[F.sum(c).alias(c) for c in ("n", "m", "cents")], last)
+    sums = [F.sum(c).alias(c) for c in ("n", "m", "cents")]
+    # added up by mask first: what is dealt to its bits are totals, not a hot client's rows
+    by_mask = rows.where(F.col("hot") & (F.col("side") < ASKED)).groupBy("client", "side", "kind", "mask", "slice").agg(*sums, last)
+    by_bit = by_mask.withColumn("bit", F.explode(F.filter(F.array(*map(F.lit, bits)), lambda b: F.col("mask").bitwiseAND(b) != 0)))
+    totals = by_bit.groupBy(*key, "slice").agg(*sums, F.max("last").alias("last"))
     before = carried(grid.join(totals, [*key, "slice"], "left"), key, "slice", sums=["n", "m", "cents"], maxes=["last"])
     used = before.where("n <> 0 or m <> 0 or cents <> 0 or last is not null")
     return used.select("client", F.lit(START).alias("at"), "side", "kind", F.col("bit").alias("mask"), "n", "m", "cents", F.col("last.ts").alias("ts"), F.col("last.id").alias("id"), "slice")
