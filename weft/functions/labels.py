@@ -30,18 +30,28 @@ class LabelFormat:
     side: Callable[[Column], Column] = default_side
 
 
-def classify(raw: DataFrame, format: LabelFormat = LabelFormat()) -> DataFrame:
-    """Edges (src, dst, family, side, label) of rows (src, dst, label, index), each once; unknown labels go."""
+def classify(raw: DataFrame, format: LabelFormat = LabelFormat(), *within: str) -> DataFrame:
+    """Edges (src, dst, family, side, label) of rows (src, dst, label, index), each once; unknown labels go.
+
+    `within` further columns are kept, and edges are told apart by them too: no
+    shuffle where rows are dealt by them already.
+    """
     label = F.col("label")
-    out = raw.select("src", "dst", format.family(label).alias("family"), format.side(label).alias("side"), F.col("index").cast("long").alias("index"))
+    out = raw.select(*within, "src", "dst", format.family(label).alias("family"), format.side(label).alias("side"), F.col("index").cast("long").alias("index"))
     out = out.where("family is not null and src is not null and dst is not null")
-    return out.select("src", "dst", "family", "side", F.when(F.col("family") == "n", 0).otherwise(F.col("index")).cast("long").alias("label")).where("label is not null").dropDuplicates()
+    return out.select(*within, "src", "dst", "family", "side", F.when(F.col("family") == "n", 0).otherwise(F.col("index")).cast("long").alias("label")).where("label is not null").dropDuplicates()
 
 
-def paired(edges: DataFrame, *within: str) -> DataFrame:
-    """Edges without the labels that lack an opening or a closing half; `within` further columns, such as a component."""
+def paired(edges: DataFrame, *within: str, few: bool = False) -> DataFrame:
+    """Edges without the labels that lack an opening or a closing half; `within` further columns, such as a component.
+
+    `few` labels, a handful by their making, are sent to where the edges are,
+    which stay in their order.
+    """
     keys = [*within, "family", "label"]
     halves = edges.where("family <> 'n'").groupBy(*keys).agg(F.max(F.col("side") == "o").alias("o"), F.max(F.col("side") == "c").alias("c")).where("o and c")
+    if few:
+        return edges.join(F.broadcast(halves.select(*keys, F.lit(True).alias("__both"))), keys, "left").where("family = 'n' or __both").select(edges.columns)
     kept = edges.where("family <> 'n'").join(halves.select(*keys), keys, "left_semi")
     return kept.select(edges.columns).union(edges.where("family = 'n'"))
 

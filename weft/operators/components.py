@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components: what a task sees is united there, what meets across tasks by alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from weft.session import materialise, release
 
+#: Edges that a task unites at once.
+CHUNK = 1 << 20
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _in_one_task(batches):
-    """Components of all edges of one partition, by least labels and pointer jumping."""
-    parts = [np.stack([b.column(c).to_numpy() for c in ("u", "v")]) for b in batches if b.num_rows]
-    if not parts:
-        return
-    names, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All vertices, the least vertex of the component of each, and of each edge, by least labels and pointer jumping."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
     u, v = ends.reshape(2, -1)
     root = np.arange(len(names))
     while True:
@@ -31,7 +31,58 @@ def _in_one_task(batches):
         if (new == root).all():
             break
         root = new
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["vertex", "component"])
+    return names, names[root], names[root[u]]
+
+
+def _in_one_task(batches):
+    """Components of all edges of one partition."""
+    parts = [np.stack([b.column(c).to_numpy() for c in ("u", "v")]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    names, root, _ = _roots(*np.concatenate(parts, axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(root)], names=["vertex", "component"])
+
+
+def united(edges: DataFrame, src: str = "src", dst: str = "dst", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(edges with `root`, (root, component)): components without a row for each vertex or a join by vertices.
+
+    root is the smallest vertex that up to `chunk` edges which lie together
+    connect with an edge's ends; the second table has the smallest vertex of the
+    whole component for those roots whose component other edges reach too. Ends
+    are long. Edges with a null end are dropped. Where the edges of a component
+    lie together, as those made by a window do, few roots are left to unite:
+    rows by vertex are shuffled once, and the rounds of `connected_components`
+    run over the roots alone.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema) + ", root long"
+
+    def tag(batches):
+        own, n = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(own).combine_chunks()
+            root = _roots(table[src].to_numpy(), table[dst].to_numpy())[2]
+            yield from table.append_column("root", pa.array(root.astype(np.int64))).to_batches(max_chunksize=1 << 16)
+
+        for batch in batches:
+            if batch.num_rows:
+                own.append(batch)
+                n += batch.num_rows
+            if n >= chunk:
+                yield from flush()
+                own, n = [], 0
+        if own:
+            yield from flush()
+
+    tagged = materialise(edges.where(f"`{src}` is not null and `{dst}` is not null").mapInArrow(tag, schema))
+    ends = tagged.select(F.col(src).alias("vertex"), "root").union(tagged.select(F.col(dst).alias("vertex"), "root"))
+    split = ends.groupBy("vertex").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    split = materialise(split.select("vertex", "low"))
+    if split.isEmpty():
+        return tagged, tagged.select("root", F.col("root").alias("component")).limit(0)
+    links = ends.join(split, "vertex").where("root > low").select("root", "low").distinct()
+    found = materialise(connected_components(links, "root", "low", one_task=CHUNK))
+    return tagged, found.select(F.col("vertex").alias("root"), "component")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task: int = 0) -> DataFrame:

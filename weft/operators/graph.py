@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.labels import paired
-from weft.operators.components import connected_components
+from weft.operators.components import connected_components, united
 from weft.session import grown, materialise, release
 
 ONE_TASK = 1_000_000  # components of up to so many edges are found in one task
@@ -24,8 +24,20 @@ def edge_count(edges: DataFrame, *by: str) -> DataFrame:
 
 def split(edges: DataFrame) -> DataFrame:
     """Adds `comp`, the smallest vertex of an edge's weak component; components of one vertex go, with their self-loops."""
-    parts = connected_components(edges.where("src <> dst"), one_task=ONE_TASK)
-    return edges.join(parts, edges["src"] == parts["vertex"]).select(*edges.columns, F.col("component").alias("comp"))
+    tagged, found = united(edges.where("src <> dst"))
+    parts = tagged.join(found, "root", "left").select(*edges.columns, F.coalesce("component", "root").alias("comp"))
+    loops = edges.where("src = dst")
+    if loops.isEmpty():
+        return parts
+    of = parts.select(F.col("src").alias("vertex"), "comp").union(parts.select("dst", "comp")).distinct()
+    return parts.union(loops.join(of, F.col("src") == F.col("vertex")).select(*edges.columns, "comp"))
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """Rows (vertex, component), as `connected_components` gives them, where edges of a component lie together."""
+    tagged, found = united(edges)
+    ends = tagged.select(F.explode(F.array("src", "dst")).alias("vertex"), "root")
+    return ends.join(found, "root", "left").select("vertex", F.coalesce("component", "root").alias("component")).distinct()
 
 
 def non_trivial(pairs: DataFrame) -> DataFrame:

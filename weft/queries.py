@@ -88,7 +88,7 @@ def queries() -> dict[str, Query]:
         "adjacency": _events(graph.adjacency),
         "edge_count": _events(lambda e: graph.edge_count(graph.split(e), "comp")),
         "label_masks": _events(lambda e: masked(graph.split(e), LANGUAGES["alpha_parity2"], "comp").select("comp", "family", "label", "rank", "mask").distinct()),
-        "wcc": _events(lambda e: graph.connected_components(e)),
+        "wcc": _events(graph.weak_components),
         "useful_edges_alpha": _events(lambda e: analyses.useful_edges(e, LANGUAGES["alpha_parity"])),
         "unknown_pairs": _events(lambda e: graph.difference(analyses.language_pairs(e, LANGUAGES["alpha_default"]), analyses.under_approximation(e))),
         "intersected_pairs": _events(lambda e: graph.intersection(*[analyses.language_pairs(e, LANGUAGES[n]) for n in ("alpha_default", "beta_default", "project_pairs")])),

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.functions.labels import classify, paired
+from weft.functions.labels import LabelFormat, classify, paired
 
 _LABEL = {"signup": "op_i", "purchase": "cp_i", "click": "ob_i", "view": "cb_i", "error": "normal"}
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw edges from each event of a user to the next one, labelled by the type of the first and its k modulo 2."""
+    """Raw edges, with their user_id, from each event of a user to the next one, labelled by the type of the first and its k modulo 2."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
     following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     names = F.create_map(*[F.lit(x) for pair in _LABEL.items() for x in pair])
     return events.select(
         F.col("event_id").alias("src"), following.alias("dst"), F.element_at(names, F.col("event_type")).alias("label"),
-        F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(2)).alias("index"),
+        F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(2)).alias("index"), "user_id",
     ).where("dst is not null")
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph of `event_rows`: one chain per user."""
-    return paired(classify(event_rows(spark, sf_dir)))
+    """The graph of `event_rows`: one chain per user. Edges of a user stay together, as the window left them."""
+    return _graph(event_rows(spark, sf_dir))
+
+
+def _graph(raw: DataFrame) -> DataFrame:
+    """Edges of raw rows dealt by user_id, without another shuffle; there are at most four labels, two indices of two families."""
+    return paired(classify(raw, LabelFormat(), "user_id").drop("user_id"), few=True)
 
 
 def woven_graph(spark: SparkSession, sf_dir: str, length: int = 8) -> DataFrame:
@@ -38,10 +43,10 @@ def woven_graph(spark: SparkSession, sf_dir: str, length: int = 8) -> DataFrame:
     ordered = Window.partitionBy("user_id").orderBy("ts", "event_id")
     placed = events.select("event_id", "user_id", mark.alias("mark"), F.row_number().over(ordered).alias("n")).withColumn("piece", F.floor((F.col("n") - 1) / length))
     along = Window.partitionBy("user_id", "piece").orderBy("n")
-    ahead = placed.select("event_id", "mark", *[F.lead(c, k).over(along).alias(f"{c}_{k}") for k in (1, 2) for c in ("event_id", "mark")])
+    ahead = placed.select("event_id", "user_id", "mark", *[F.lead(c, k).over(along).alias(f"{c}_{k}") for k in (1, 2) for c in ("event_id", "mark")])
     edge = lambda dst, of: F.struct(F.col("event_id").alias("src"), F.col(dst).alias("dst"), F.col(of).alias("mark"))
-    edges = ahead.select(F.explode(F.array(edge("event_id_1", "mark"), edge("event_id_1", "mark_1"), edge("event_id_2", "mark_1"))).alias("e")).where("e.dst is not null")
-    return paired(classify(edges.select("e.src", "e.dst", "e.mark.label", "e.mark.index").distinct()))
+    edges = ahead.select("user_id", F.explode(F.array(edge("event_id_1", "mark"), edge("event_id_1", "mark_1"), edge("event_id_2", "mark_1"))).alias("e")).where("e.dst is not null")
+    return _graph(edges.select("user_id", "e.src", "e.dst", "e.mark.label", "e.mark.index"))
 
 
 def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
