@@ -11,7 +11,11 @@ solved the bound is `SOLVED`, elsewhere `LARGEST`.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,11 @@ def _pairs(part: pd.DataFrame) -> set[tuple[int, int]]:
     return set(zip(part["src"].tolist(), part["dst"].tolist(), strict=True))
 
 
-def _frame(pairs) -> pd.DataFrame:
+_frame = sorted
+"""Rows of pairs in order."""
+
+
+def _table(pairs) -> pd.DataFrame:
     pairs = sorted(pairs)
     return pd.DataFrame({"src": pd.Series([p[0] for p in pairs], dtype="int64"), "dst": pd.Series([p[1] for p in pairs], dtype="int64")})
 
@@ -49,8 +57,43 @@ def _strategy(edges: DataFrame, strategy: str, largest: int) -> tuple[DataFrame,
 
 
 def by_component(parts: DataFrame, run, schema: str = "src long, dst long") -> DataFrame:
-    """What `run` makes of the edges of each component; parts: edges with `comp`."""
-    return parts.groupBy("comp").applyInPandas(lambda part: run(_edges(part)), schema)
+    """Rows that `run` makes of the edges of each component; parts: edges with `comp`."""
+    return _by_kind(parts.select("comp", F.lit("").alias("kind"), *_EDGE), lambda of: run(of[""]), schema)
+
+
+def _by_kind(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Rows that `run` makes of the sets of edges of each component, by kind.
+
+    rows: edges with `comp` and `kind`. Components are dealt by hash and come in
+    order as one stream of Arrow batches, so that small ones, of which there may
+    be millions, cost no data frame each.
+    """
+    out = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in (c.split() for c in schema.split(", "))])
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def solve(batches):
+        own, of, found = None, None, []
+
+        def flush():
+            columns = list(zip(*found, strict=True)) or [()] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+        for batch in batches:
+            columns = batch.to_pydict()
+            for comp, kind, *edge in zip(*(columns[c] for c in ("comp", "kind", *_EDGE)), strict=True):
+                if comp != own:
+                    if of:
+                        found.extend(run(of))
+                        if len(found) >= 10_000:
+                            yield from flush()
+                            found.clear()
+                    own, of = comp, defaultdict(set)
+                of[kind].add(tuple(edge))
+        if of:
+            found.extend(run(of))
+        yield from flush()
+
+    return rows.repartition(spread, "comp").sortWithinPartitions("comp").mapInArrow(solve, schema)
 
 
 def _runner(equal_once: bool):
@@ -94,13 +137,27 @@ def _of_component(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def with_pairs(parts: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
-    """What `run` makes of the edges and the pairs of each component; parts: edges with `comp`."""
-    own = _of_component(pairs, parts)
-    return parts.groupBy("comp").cogroup(own.groupBy("own")).applyInPandas(lambda e, p: run(_edges(e), _pairs(p)), schema)
+    """Rows that `run` makes of the edges and the pairs of each component; parts: edges with `comp`."""
+    return _by_kind(_as_edges(parts, edge=None, pair=_of_component(pairs, parts)), lambda of: run(of["edge"], _ends(of["pair"])), schema)
+
+
+def _as_edges(parts: DataFrame, **pairs: DataFrame | None) -> DataFrame:
+    """Edges of components and their pairs (src, dst, own), these as edges without a label, with their `kind`; None stands for the edges."""
+    kinds = [
+        parts.select("comp", F.lit(kind).alias("kind"), *_EDGE)
+        if own is None
+        else own.select(F.col("own").alias("comp"), F.lit(kind).alias("kind"), "src", "dst", F.lit(kind).alias("family"), F.lit("n").alias("side"), F.lit(0).cast("long").alias("label"))
+        for kind, own in pairs.items()
+    ]
+    return reduce(DataFrame.union, kinds)
 
 
-def _edge_frame(edges) -> pd.DataFrame:
-    return pd.DataFrame(sorted(edges), columns=_EDGE).astype({"src": "int64", "dst": "int64", "label": "int64"})
+def _ends(edges: set[kernel.Edge]) -> set[tuple[int, int]]:
+    return {e[:2] for e in edges}
+
+
+_edge_frame = sorted
+"""Rows of edges in order."""
 
 
 _EDGES_SQL = "src long, dst long, family string, side string, label long"
@@ -126,7 +183,7 @@ def bracket_pairs(edges: DataFrame, pairs: DataFrame, strategy: str = "auto", la
 
 def on_demand(
     edges: DataFrame, known: DataFrame, upper: DataFrame, parity_d: bool = False, valueflow: bool = False,
-    strategy: str = "auto", largest: int = LARGEST, together: int = 2_000, splits: int = 8,
+    strategy: str = "auto", largest: int = LARGEST, together: int = 2_000, splits: int = 8, equal_once: bool = False,
 ) -> DataFrame:
     """Pairs between `known` and `upper` that stay when each is refined by itself.
 
@@ -144,20 +201,14 @@ def on_demand(
     asked = _of_component(graph.difference(upper, known), parts).select(F.col("own").alias("comp")).distinct()
     sizes = materialise(asked.join(size, "comp"))
     small = parts.join(sizes.where(F.col("n_edges") <= together), "comp", "left_semi")
-    kinds = "comp long, kind string, src long, dst long, family string, side string, label long"
-
-    def rows(pairs: DataFrame, kind: str) -> DataFrame:
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("family", "string"), ("side", "string"), ("label", "long"))]
-        return _of_component(pairs, small).select(F.col("own").alias("comp"), F.lit(kind).alias("kind"), "src", "dst", *none)
 
-    def decide(part: pd.DataFrame) -> pd.DataFrame:
-        of = dict(tuple(part.groupby("kind")))
-        own = {k: _pairs(of[k]) if k in of else set() for k in ("known", "upper")}
-        return _frame(kernel.on_demand(_edges(of["edge"]), own["known"], own["upper"], parity_d, valueflow) - own["known"])
+    def decide(own: set) -> list[tuple[int, int]]:
+        pairs = {kind: _ends({e for e in own if e[2] == kind}) for kind in ("known", "upper")}
+        edges_ = {e for e in own if e[2] not in pairs}
+        return _frame(kernel.on_demand(edges_, pairs["known"], pairs["upper"], parity_d, valueflow) - pairs["known"])
 
-    given = small.select("comp", F.lit("edge").alias("kind"), *_EDGE).union(rows(known, "known")).union(rows(upper, "upper"))
-    assert [f.name for f in given.schema] == [c.split()[0] for c in kinds.split(", ")]
-    found = graph.union(known, given.groupBy("comp").applyInPandas(decide, "src long, dst long"))
+    given = _as_edges(small, edge=None, known=_of_component(known, small), upper=_of_component(upper, small)).drop("kind")
+    found = graph.union(known, _runner(equal_once)(given, decide))
     rest = sizes.where(F.col("n_edges") > together)
     if rest.isEmpty():
         return found
@@ -183,7 +234,7 @@ def _dealt_pairs(edges: DataFrame, known: DataFrame, upper: DataFrame, method: s
 
     def refine(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         edges_ = _edges(part)
-        return _frame(p for p in sorted(_pairs(own)) if kernel.over(edges_, method, p, valueflow))
+        return _table(p for p in sorted(_pairs(own)) if kernel.over(edges_, method, p, valueflow))
 
     confirmed = spread.groupBy("comp", "part").cogroup(dealt.toDF("src", "dst", "own", "share").groupBy("own", "share")).applyInPandas(refine, "src long, dst long")
     return graph.union(known, graph.pull(confirmed, rep))

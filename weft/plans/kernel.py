@@ -7,6 +7,7 @@ The grouped strategy of the engine runs these functions once per component;
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 
 from weft.plans.languages import ERASED, METHODS, UNION, Language, States, excluding
 
@@ -14,6 +15,10 @@ from weft.plans.languages import ERASED, METHODS, UNION, Language, States, exclu
 Edge = tuple[int, int, str, str, int]
 
 
+#: Tables of states are made once a language and worker, not once a component.
+_states = lru_cache(maxsize=256)(States)
+
+
 def bits(x: int):
     """Positions of the ones of x."""
     while x:
@@ -59,7 +64,7 @@ class Solver:
     """All facts (u, v, state) of a language over some edges, and the edges of the paths behind chosen facts."""
 
     def __init__(self, edges: set[Edge], language: Language):
-        self.language, self.states = language, States(language)
+        self.language, self.states = language, _states(language)
         self.names = sorted({v for e in edges for v in e[:2]})
         self.number = {v: i for i, v in enumerate(self.names)}
         n, m = len(self.names), len(self.states.all)

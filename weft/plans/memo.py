@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,21 +50,25 @@ def _edges(shape: str) -> set[tuple[int, int, str, str, int]]:
     return {(int(u), int(v), family, side, int(label)) for u, v, family, side, label in rows}
 
 
-def once(parts: DataFrame, run: Callable[[set], pd.DataFrame]) -> DataFrame:
+def once(parts: DataFrame, run: Callable[[set], list[tuple[int, int]]]) -> DataFrame:
     """The pairs that `run` makes of the edges of each component, run on one component of each shape."""
     shaped = materialise(shapes(parts))
     spread = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    different = shaped.groupBy("digest", "shape").agg(F.count("*").alias("n")).select("digest", "shape").repartition(spread, "digest")
+    salt = F.pmod(F.xxhash64("comp"), F.lit(SALTS)).cast("int")
+    # a result goes to the salts that its members have: one copy for a shape that comes once
+    different = shaped.groupBy("digest", "shape").agg(F.collect_set(salt).alias("salts")).repartition(spread, "digest")
 
     def solve(batches):
         for batch in batches:
-            for digest, shape in zip(batch["digest"], batch["shape"], strict=True):
-                pairs = run(_edges(shape))
-                yield pd.DataFrame({"digest": [digest], "starts": [pairs["src"].tolist()], "ends": [pairs["dst"].tolist()]})
-
-    solved = materialise(different.mapInPandas(solve, "digest string, starts array<int>, ends array<int>"))
-    salted = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = shaped.select("vertices", "digest", F.pmod(F.xxhash64("comp"), F.lit(SALTS)).cast("int").alias("salt"))
+            for at in range(0, batch.num_rows, 1_000):
+                own = batch.slice(at, 1_000)
+                found = [run(_edges(shape)) for shape in own["shape"].to_pylist()]
+                ends = [pa.array([[p[k] for p in pairs] for pairs in found], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([own["digest"], own["salts"], *ends], names=["digest", "salts", "starts", "ends"])
+
+    solved = materialise(different.mapInArrow(solve, "digest string, salts array<int>, starts array<int>, ends array<int>"))
+    salted = solved.withColumn("salt", F.explode("salts"))
+    members = shaped.select("vertices", "digest", salt.alias("salt"))
     id_of = lambda number: F.element_at(F.col("vertices"), number)
     pairs = F.zip_with("starts", "ends", lambda a, b: F.struct(id_of(a).alias("src"), id_of(b).alias("dst")))
     return members.join(salted, ["digest", "salt"]).select(F.inline(pairs))

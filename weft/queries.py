@@ -48,20 +48,20 @@ def _nations(run: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _on_demand(parity_d: bool) -> Query:
     def run(edges: DataFrame) -> DataFrame:
-        under = materialise(analyses.under_approximation(edges))
-        upper = materialise(analyses.over_approximation(edges, "parity" if parity_d else "all"))
-        return analyses.on_demand(edges, under, upper, parity_d)
+        under = materialise(analyses.under_approximation(edges, equal_once=True))
+        upper = materialise(analyses.over_approximation(edges, "parity" if parity_d else "all", equal_once=True))
+        return analyses.on_demand(edges, under, upper, parity_d, equal_once=True)
 
     return _events(run)
 
 
 def _value_flow(edges: DataFrame) -> DataFrame:
     edges = materialise(analyses.value_flow_edges(edges))
-    return analyses.over_approximation(edges, "parity2", None, True)
+    return analyses.over_approximation(edges, "parity2", None, True, equal_once=True)
 
 
 def _condensed_over(edges: DataFrame) -> DataFrame:
-    return analyses.over_approximation(edges, "parity2", materialise(analyses.under_approximation(edges)))
+    return analyses.over_approximation(edges, "parity2", materialise(analyses.under_approximation(edges, equal_once=True)), equal_once=True)
 
 
 def _clusters(edges: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def queries() -> dict[str, Query]:
         "intersected_pairs": _events(lambda e: graph.intersection(*[analyses.language_pairs(e, LANGUAGES[n]) for n in ("alpha_default", "beta_default", "project_pairs")])),
         "valueflow_edges": _events(analyses.value_flow_edges),
         "bracket_paths": _events(lambda e: analyses.bracket_pairs(e, analyses.language_pairs(e, LANGUAGES["alpha_default"]))),
-        "valueflow_under": _events(lambda e: analyses.under_approximation(e, True)),
+        "valueflow_under": _events(lambda e: analyses.under_approximation(e, True, equal_once=True)),
         "closure": _nations(graph.closure),
         "scc": _nations(lambda e: graph.strong_components(e)[0]),
         "scc_reach": _nations(lambda e: graph.strong_components(e)[1]),
@@ -108,9 +108,9 @@ def queries() -> dict[str, Query]:
         "on_demand": _on_demand(False),
     }
     found |= {name: _events(language(name)) for name in LANGUAGES}
-    found |= {f"mr_{m}": _events(lambda e, m=m: analyses.over_approximation(e, m)) for m in METHODS}
-    found |= {f"woven_{m}": _woven(lambda e, m=m: analyses.over_approximation(e, m)) for m in METHODS}
-    found |= {"woven_under": _woven(analyses.under_approximation), "woven_valueflow_under": _woven(lambda e: analyses.under_approximation(e, True)), "woven_valueflow": _woven(_value_flow)}
+    found |= {f"mr_{m}": _events(lambda e, m=m: analyses.over_approximation(e, m, equal_once=True)) for m in METHODS}
+    found |= {f"woven_{m}": _woven(lambda e, m=m: analyses.over_approximation(e, m, equal_once=True)) for m in METHODS}
+    found |= {"woven_under": _woven(lambda e: analyses.under_approximation(e, equal_once=True)), "woven_valueflow_under": _woven(lambda e: analyses.under_approximation(e, True, equal_once=True)), "woven_valueflow": _woven(_value_flow)}
     found |= {f"memo_{m}": _short(lambda e, m=m: analyses.over_approximation(e, m, equal_once=True)) for m in ("parity2", "all")}
     found |= {"memo_under": _short(lambda e: analyses.under_approximation(e, equal_once=True)), "memo_shapes": _short(_shapes)}
     return found
