@@ -115,3 +115,20 @@ def test_exact_shingles_when_every_hash_collides(monkeypatch):
         got = sets()
         assert [[len(a & b) for a in got] for b in got] == [[len(a & b) for a in want] for b in want]
         monkeypatch.setattr(grams, "mix", lambda x: x & np.uint64(0))
+
+
+def test_words_of_runs_are_merged_once(monkeypatch):
+    """Runs that differ by what stands around a word share its merges, also when the words' cache is emptied in between."""
+    import public_tokenizers
+
+    from weft.llm.best_fit_packing import WordTokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for room in (32 << 20, 2_000):
+        own = WordTokenizer(path, room)
+        merged, merge = [], own.merge
+        own.merge = lambda word, merged=merged, merge=merge: merged.append(word) or merge(word)
+        texts = ["Zymurgical, zymurgical. (zymurgical) ZYMURGICAL!", "zymurgical's été, ÉTÉ; été", "don't --'s 12a͸b zymurgical"]
+        assert own.ids(texts) == [b"".join(i.to_bytes(4, "little") for i in own.whole.encode(t, add_special_tokens=False).ids) for t in texts]
+        if room > 2_000:
+            assert merged.count("zymurgical") == 1

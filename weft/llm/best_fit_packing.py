@@ -36,10 +36,11 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, room: int = 32 << 20):
-        """room: bytes of runs and ids that the cache holds before it is emptied."""
+        """room: bytes of runs and ids that the cache holds before it is emptied; words within runs have a quarter of it besides."""
         from tokenizers import Tokenizer
 
         self.whole, self.room, self.held, self.known = Tokenizer.from_file(path), room, 0, {}
+        self.words, self.words_held = {}, 0
         self.merge = self.whole.model.tokenize
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
@@ -51,13 +52,22 @@ class WordTokenizer:
         self.names = {b: 256 + k for k, b in enumerate(rest)}
 
     def _run(self, run: str) -> bytes:
-        if not run.isascii() and any(unicodedata.category(c) == "Cn" for c in run):
+        if not run.isprintable() and any(unicodedata.category(c) == "Cn" for c in run):  # none of them is printable
             # Libraries of other Unicode versions may know these characters: only the tokenizer's own classes count.
             return array("I", self.whole.encode(run, add_special_tokens=False).ids).tobytes()
         words = _WORD.findall((run if run.isascii() else unicodedata.normalize("NFC", run)).lower())
-        if len(words) == 1 and words[0] != run and words[0] in self.known:
-            return self.known[words[0]]
-        return array("I", [t.id for word in words for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.names))]).tobytes()
+        known = self.words
+        return known.get(words[0]) or self._word(words[0]) if len(words) == 1 else b"".join([known.get(word) or self._word(word) for word in words])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one match of the pattern, merged once while it is held: runs differ by what stands around their words."""
+        found = array("I", [t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.names))]).tobytes()
+        self.words_held += 100 + len(word) + len(found)
+        if self.words_held > self.room // 4:
+            self.words.clear()
+            self.words_held = 100 + len(word) + len(found)
+        self.words[word] = found
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
