@@ -106,6 +106,22 @@ def language_pairs(edges: DataFrame, language: Language, strategy: str = "auto",
     return _runner(equal_once)(parts, lambda own: _frame(kernel.Solver(own, language).reach())) if solve is None else solve(parts, language).reach()
 
 
+def unknown_pairs(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
+    """Pairs of the language that the under-approximation lacks, compared where a component is solved: no pair leaves one."""
+    parts, solve = _strategy(edges, strategy, largest)
+    if solve is None:
+        return by_component(parts, lambda own: _frame(kernel.Solver(own, language).reach() - kernel.under(own)))
+    return graph.difference(solve(parts, language).reach(), fixpoint.under_approximation(parts, False, solve))
+
+
+def common_pairs(edges: DataFrame, languages: list[Language], strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
+    """Pairs with a path in each of the languages, compared where a component is solved."""
+    parts, solve = _strategy(edges, strategy, largest)
+    if solve is None:
+        return by_component(parts, lambda own: _frame(set.intersection(*[kernel.Solver(own, language).reach() for language in languages])))
+    return graph.intersection(*[solve(parts, language).reach() for language in languages])
+
+
 def useful_edges(edges: DataFrame, language: Language, strategy: str = "auto", largest: int = SOLVED) -> DataFrame:
     """Edges on paths of the language between different vertices."""
     parts, solve = _strategy(edges, strategy, largest)
@@ -130,6 +146,18 @@ def over_approximation(
     return graph.expand(over_approximation(small, method, None, valueflow, strategy, largest, equal_once), rep)
 
 
+def over_condensed(edges: DataFrame, method: str, valueflow: bool = False, strategy: str = "auto", largest: int = SOLVED, equal_once: bool = False) -> DataFrame:
+    """`over_approximation` with the pairs of `under_approximation` as `known`, both at once by component.
+
+    Each label of the edges has both halves, as `paired` leaves them: condensing takes none.
+    """
+    parts, solve = _strategy(edges, strategy, largest)
+    if solve is None:
+        return _runner(equal_once)(parts, lambda own: _frame(kernel.over_condensed(own, method, kernel.under(own, valueflow), valueflow, whole=False)))
+    known = materialise(fixpoint.under_approximation(parts, valueflow, solve))
+    return over_approximation(parts.select(_EDGE), method, known, valueflow, strategy, largest)
+
+
 def _of_component(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs with the component of their source; pairs across components are in none."""
     place = parts.select(F.col("src").alias("v"), "comp").union(parts.select(F.col("dst").alias("v"), "comp")).distinct()

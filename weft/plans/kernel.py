@@ -334,9 +334,14 @@ def representatives(pairs: set[tuple[int, int]]) -> dict[int, int]:
     return {v: find(v) for v in parent}
 
 
+def contracted(edges: set[Edge], rep: dict[int, int]) -> set[Edge]:
+    """Edges between clusters; those inside a cluster stay as self-loops."""
+    return {(rep.get(e[0], e[0]), rep.get(e[1], e[1]), *e[2:]) for e in edges}
+
+
 def condense(edges: set[Edge], rep: dict[int, int]) -> set[Edge]:
-    """Edges between clusters; those inside a cluster stay as self-loops, labels that lack a half go."""
-    return paired({(rep.get(e[0], e[0]), rep.get(e[1], e[1]), *e[2:]) for e in edges})
+    """`contracted`, without the labels that lack a half."""
+    return paired(contracted(edges, rep))
 
 
 def expand(pairs: set[tuple[int, int]], rep: dict[int, int]) -> set[tuple[int, int]]:
@@ -347,10 +352,13 @@ def expand(pairs: set[tuple[int, int]], rep: dict[int, int]) -> set[tuple[int, i
     return {(u, v) for a, b in pairs for u in members.get(a, [a]) for v in members.get(b, [b])}
 
 
-def over_condensed(edges: set[Edge], method: str, known: set[tuple[int, int]], valueflow: bool = False) -> set[tuple[int, int]]:
-    """The over-approximation on clusters of known pairs: members of a cluster reach each other."""
+def over_condensed(edges: set[Edge], method: str, known: set[tuple[int, int]], valueflow: bool = False, whole: bool = True) -> set[tuple[int, int]]:
+    """The over-approximation on clusters of known pairs: members of a cluster reach each other.
+
+    Of edges that aren't the `whole` graph, labels that lack a half here stay: they may have it elsewhere.
+    """
     rep = representatives(known)
-    out = expand(over(condense(edges, rep), method, None, valueflow), rep)
+    out = expand(over((condense if whole else contracted)(edges, rep), method, None, valueflow), rep)
     members = defaultdict(list)
     for v, r in rep.items():
         members[r].append(v)

@@ -60,10 +60,6 @@ def _value_flow(edges: DataFrame) -> DataFrame:
     return analyses.over_approximation(edges, "parity2", None, True, equal_once=True)
 
 
-def _condensed_over(edges: DataFrame) -> DataFrame:
-    return analyses.over_approximation(edges, "parity2", materialise(analyses.under_approximation(edges, equal_once=True)), equal_once=True)
-
-
 def _clusters(edges: DataFrame) -> DataFrame:
     return materialise(graph.representatives(graph.closure(edges)))
 
@@ -90,8 +86,8 @@ def queries() -> dict[str, Query]:
         "label_masks": _events(lambda e: masked(graph.split(e), LANGUAGES["alpha_parity2"], "comp").select("comp", "family", "label", "rank", "mask").distinct()),
         "wcc": _events(graph.weak_components),
         "useful_edges_alpha": _events(lambda e: analyses.useful_edges(e, LANGUAGES["alpha_parity"])),
-        "unknown_pairs": _events(lambda e: graph.difference(analyses.language_pairs(e, LANGUAGES["alpha_default"]), analyses.under_approximation(e))),
-        "intersected_pairs": _events(lambda e: graph.intersection(*[analyses.language_pairs(e, LANGUAGES[n]) for n in ("alpha_default", "beta_default", "project_pairs")])),
+        "unknown_pairs": _events(lambda e: analyses.unknown_pairs(e, LANGUAGES["alpha_default"])),
+        "intersected_pairs": _events(lambda e: analyses.common_pairs(e, [LANGUAGES[n] for n in ("alpha_default", "beta_default", "project_pairs")])),
         "valueflow_edges": _events(analyses.value_flow_edges),
         "bracket_paths": _events(lambda e: analyses.bracket_pairs(e, analyses.language_pairs(e, LANGUAGES["alpha_default"]))),
         "valueflow_under": _events(lambda e: analyses.under_approximation(e, True, equal_once=True)),
@@ -103,7 +99,7 @@ def queries() -> dict[str, Query]:
         "expanded_pairs": _nations(_expanded),
         "relevant_edges": _relevant,
         "mr_valueflow": _events(_value_flow),
-        "mr_condensed": _events(_condensed_over),
+        "mr_condensed": _events(lambda e: analyses.over_condensed(e, "parity2", equal_once=True)),
         "on_demand_parityD": _on_demand(True),
         "on_demand": _on_demand(False),
     }
