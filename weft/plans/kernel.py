@@ -42,6 +42,18 @@ def ranks(edges: set[Edge], family: str) -> dict[int, int]:
 
 def components(edges: set[Edge]) -> list[set[Edge]]:
     """Edges of each weakly connected component of two or more vertices."""
+    # most often there is one, and in order each edge meets those before
+    rest = sorted(edges)
+    seen = set(rest[0][:2]) if rest else set()
+    for e in rest:
+        if e[0] in seen:
+            seen.add(e[1])
+        elif e[1] in seen:
+            seen.add(e[0])
+        else:
+            break
+    else:
+        return [set(edges)] if len(seen) > 1 else []
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -77,14 +89,17 @@ class Solver:
         self.closes: list[dict[tuple, int]] = [defaultdict(int) for _ in range(n)]
         self.open_edges: dict[tuple[int, int, tuple], list[Edge]] = defaultdict(list)
         self.close_edges: dict[tuple[int, int, tuple], list[Edge]] = defaultdict(list)
+        number, counted, erased = self.number, language.counted, language.balanced == "erased"
+        steps = {(label, side): self.states.step(k, side) for label, k in rank.items() for side in "oc"}
         for e in edges:
-            u, v = self.number[e[0]], self.number[e[1]]
-            if e[2] == "n" or e[2] == language.counted:
-                s = 0 if e[2] == "n" else self.states.step(rank[e[4]], e[3])
+            u, v = number[e[0]], number[e[1]]
+            if e[2] == "n" or e[2] == counted:
+                s = 0 if e[2] == "n" else steps[e[4], e[3]]
                 self.atoms[u][s] |= 1 << v
+                self.back[v][s] |= 1 << u
                 self.step_edges[u, v, s].append(e)
             else:
-                name = ("x", 0) if language.balanced == "erased" else (e[2], e[4])
+                name = ("x", 0) if erased else (e[2], e[4])
                 if e[3] == "o":
                     opens[v].append((u, name))
                     self.open_edges[u, v, name].append(e)
@@ -96,10 +111,6 @@ class Solver:
         for v, found in opens.items():
             for u, name in found:
                 self.out_of[u].append((v, name))
-        for x in range(n):
-            for s, found in self.atoms[x].items():
-                for w in bits(found):
-                    self.back[w][s] |= 1 << x
         self.rows = [[0] * n for _ in range(m)]
         self.cols = [[0] * n for _ in range(m)]
         self._close(n)
@@ -114,12 +125,16 @@ class Solver:
             if not new:
                 continue
             rows[s][u] |= new
-            found: dict[int, int] = defaultdict(int)
-            one = 1 << u
-            for v in bits(new):
-                cols[s][v] |= one
+            found: dict[int, int] = {}
+            one, col, then, left = 1 << u, cols[s], compose[s], new
+            while left:
+                low = left & -left
+                left ^= low
+                v = low.bit_length() - 1
+                col[v] |= one
                 for t, to in atoms[v].items():
-                    found[compose[s][t]] |= to
+                    t = then[t]
+                    found[t] = found.get(t, 0) | to
             for t, to in found.items():
                 if to & ~rows[t][u]:
                     todo.append((u, t, to))
@@ -145,7 +160,7 @@ class Solver:
 
     def useful(self, pair: tuple[int, int] | None = None) -> set[Edge]:
         """Edges on accepted paths: between all different vertices, or of one pair (which may be one vertex twice)."""
-        before, rows = self.states.before, self.rows
+        before, rows, back = self.states.before, self.rows, self.back
         todo: list[tuple[int, int, int]] = []
         if pair is None:
             todo = [(u, s, row & ~(1 << u)) for s in self.states.accepting for u, row in enumerate(rows[s]) if row & ~(1 << u)]
@@ -161,10 +176,15 @@ class Solver:
             if not new:
                 continue
             marked[s][u] |= new
-            for w in bits(new):
-                for t, sources in self.back[w].items():
+            while new:
+                low = new & -new
+                new ^= low
+                w = low.bit_length() - 1
+                for t, sources in back[w].items():
                     for r in before[t][s]:
                         had = rows[r][u] & sources
+                        if not had:
+                            continue
                         if had & ~marked[r][u]:
                             todo.append((u, r, had))
                         fresh = had & ~used[t, w]
