@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from bisect import bisect_left, insort
@@ -20,8 +21,10 @@ from weft.session import materialise
 _SALTS = 64  # a hot length is ranked in so many groups
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD = regex.compile(_PATTERN)
+#: The same for lower-case ASCII, where `re` knows the classes and is faster.
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Text with these goes through the tokenizer whole: characters on whose class, lower case or being white space libraries differ.
-_ODD = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
 class WordTokenizer:
@@ -55,8 +58,11 @@ class WordTokenizer:
         if not run.isprintable() and any(unicodedata.category(c) == "Cn" for c in run):  # none of them is printable
             # Libraries of other Unicode versions may know these characters: only the tokenizer's own classes count.
             return array("I", self.whole.encode(run, add_special_tokens=False).ids).tobytes()
-        words = _WORD.findall((run if run.isascii() else unicodedata.normalize("NFC", run)).lower())
-        known = self.words
+        known, ascii_ = self.words, run.isascii()
+        text = run.lower() if ascii_ else unicodedata.normalize("NFC", run).lower()
+        if text.isalpha():  # letters alone are one word
+            return known.get(text) or self._word(text)
+        words = (_ASCII_WORD if ascii_ else _WORD).findall(text)
         return known.get(words[0]) or self._word(words[0]) if len(words) == 1 else b"".join([known.get(word) or self._word(word) for word in words])
 
     def _word(self, word: str) -> bytes:
