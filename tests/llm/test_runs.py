@@ -15,3 +15,13 @@ def test_ascii_runs_need_no_unicode_classes(monkeypatch):
     own = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
     monkeypatch.setattr(best_fit_packing, "_WORD", None)
     assert own.ids(texts) == [np.array(own.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_words_that_come_again_stay_held():
+    """A word of every text is merged once, however often the cache is turned over by words that come once."""
+    own, rng = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), 20_000), random.Random(5)
+    merged, merge = [], own.merge
+    own.merge = lambda word: merged.append(word) or merge(word)
+    texts = ["Zymurgical " + " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(30)) + " x²y a½ⅷb 3٣ co­op _été_!" for _ in range(50)]
+    assert own.ids(texts) == [np.array(own.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert merged.count("zymurgical") == 1 and len(merged) > 1_000

@@ -21,78 +21,81 @@ from weft.session import materialise
 _SALTS = 64  # a hot length is ranked in so many groups
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD = regex.compile(_PATTERN)
-#: The same for lower-case ASCII, where `re` knows the classes and is faster.
-_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The same for lower-case text as `re`, which is faster, knows the classes: all of ASCII; elsewhere numbers that aren't decimal count as letters.
+_ASCII_WORD = re.compile(r"[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\sa-z0-9]+")
+_ANY_WORD = re.compile(r"[a-zß-öø-ÿ]++(?!\w)|[^\W\d_]+|\d|'s|'t|'re|'ve|'m|'ll|'d|(?:[^\w\s]|_)+")
 #: Text with these goes through the tokenizer whole: characters on whose class, lower case or being white space libraries differ.
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
 class WordTokenizer:
-    """Ids of whole texts through a cache of what stands between blanks.
+    """Ids of whole texts through a cache of words.
 
     A vocabulary that drops white space, takes lower case and cuts words by the
-    pattern above gives each run of other characters the same ids wherever it
-    stands, so a text is split at blanks and every distinct run is looked up
-    once (`by_runs`). Whether a vocabulary is of that kind is read from its
-    file; texts of any other one, texts with odd characters and texts with the
+    pattern above gives each word the same ids wherever it stands, so a text is
+    cut into words and every distinct word is merged once while it is held
+    (`by_runs`). Whether a vocabulary is of that kind is read from its file;
+    texts of any other one, texts with odd characters and texts with the
     vocabulary's special strings go through the tokenizer as they are.
     """
 
-    def __init__(self, path: str, room: int = 32 << 20):
-        """room: bytes of runs and ids that the cache holds before it is emptied; words within runs have a quarter of it besides."""
+    def __init__(self, path: str, room: int = 96 << 20):
+        """room: bytes of words and ids that are held; at half of it, those not met since the last time go."""
         from tokenizers import Tokenizer
 
-        self.whole, self.room, self.held, self.known = Tokenizer.from_file(path), room, 0, {}
-        self.words, self.words_held = {}, 0
+        self.whole, self.room, self.held, self.known, self.before = Tokenizer.from_file(path), room, 0, {}, {}
         self.merge = self.whole.model.tokenize
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         self.by_runs = _drops_blanks(said)
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in said.get("added_tokens") or []) or r"(?!)")
+        self.special = [t["content"] for t in said.get("added_tokens") or []]
         # byte-level names: printable bytes stand for themselves, the others for what follows 255
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.names = {b: 256 + k for k, b in enumerate(rest)}
 
-    def _run(self, run: str) -> bytes:
-        if not run.isprintable() and any(unicodedata.category(c) == "Cn" for c in run):  # none of them is printable
-            # Libraries of other Unicode versions may know these characters: only the tokenizer's own classes count.
-            return array("I", self.whole.encode(run, add_special_tokens=False).ids).tobytes()
-        known, ascii_ = self.words, run.isascii()
-        text = run.lower() if ascii_ else unicodedata.normalize("NFC", run).lower()
-        if text.isalpha():  # letters alone are one word
-            return known.get(text) or self._word(text)
-        words = (_ASCII_WORD if ascii_ else _WORD).findall(text)
-        return known.get(words[0]) or self._word(words[0]) if len(words) == 1 else b"".join([known.get(word) or self._word(word) for word in words])
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one match of the pattern, merged once while it is held: runs differ by what stands around their words."""
-        found = array("I", [t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.names))]).tobytes()
-        self.words_held += 100 + len(word) + len(found)
-        if self.words_held > self.room // 4:
-            self.words.clear()
-            self.words_held = 100 + len(word) + len(found)
-        self.words[word] = found
-        return found
+    def _words(self, text: str) -> list[str] | None:
+        """What a text is cut into, to be looked up; None if it must go through the tokenizer whole."""
+        if not self.by_runs or any(s in text for s in self.special):
+            return None
+        # what prints has neither odd characters, but for two, nor unassigned ones
+        if text.replace("\n", " ").replace("\t", " ").replace("\r", " ").isprintable() and "\u0130" not in text and "\u03a3" not in text:
+            return _ASCII_WORD.findall(text.lower()) if text.isascii() else _ANY_WORD.findall(unicodedata.normalize("NFC", text).lower())
+        if _ODD.search(text):
+            return None
+        out = []
+        for run in text.split():
+            # Libraries of other Unicode versions may know unassigned characters: only the tokenizer's own classes count.
+            unassigned = not run.isprintable() and any(unicodedata.category(c) == "Cn" for c in run)
+            out += [run] if unassigned else _ANY_WORD.findall(unicodedata.normalize("NFC", run).lower())
+        return out
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of one of `_words`."""
+        if word.isascii():
+            return array("I", [t.id for t in self.merge(word)]).tobytes()
+        if not word.isprintable() and any(unicodedata.category(c) == "Cn" for c in word):
+            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        parts = [word] if word.isalpha() else _WORD.findall(word)
+        return array("I", [t.id for part in parts for t in self.merge(part.encode().decode("latin-1").translate(self.names))]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, out, odd = self.known, [b""] * len(texts), []
+        out, odd = [b""] * len(texts), []
         for k, text in enumerate(texts):
-            if not self.by_runs or _ODD.search(text) or self.special.search(text):
+            words, known = self._words(text), self.known
+            if words is None:
                 odd.append(k)
                 continue
-            runs = text.split()
             try:
-                out[k] = b"".join(map(known.__getitem__, runs))
+                out[k] = b"".join(map(known.__getitem__, words))
             except KeyError:
-                for run in [r for r in set(runs) if r not in known]:
-                    known[run] = found = self._run(run)
-                    self.held += 100 + len(run) + len(found)
-                out[k] = b"".join(map(known.__getitem__, runs))
-            if self.held > self.room:
-                known.clear()
-                self.held = 0
+                for word in set(words).difference(known):
+                    known[word] = found = self.before.get(word) or self._ids(word)
+                    self.held += 200 + len(word) + len(found)
+                out[k] = b"".join(map(known.__getitem__, words))
+            if self.held > self.room // 2:
+                self.before, self.known, self.held = known, {}, 0
         for k, found in zip(odd, self.whole.encode_batch([texts[k] for k in odd], add_special_tokens=False), strict=True):
             out[k] = np.array(found.ids, "<u4").tobytes()
         return out
