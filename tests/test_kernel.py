@@ -108,3 +108,15 @@ def test_small_cases():
     assert kernel.representatives({(0, 2), (2, 0), (1, 3)}) == {0: 0, 2: 0}
     assert kernel.condense({(2, 0, "n", "n", 0), (1, 2, "p", "o", 4)}, {0: 0, 2: 0}) == {(0, 0, "n", "n", 0)}
     assert kernel.over(set(), "all") == set() and kernel.under(set()) == set()
+
+
+def test_parts_without_labels_are_solved_once(monkeypatch):
+    """Refinement of a part without labels takes one solver, and none where the first language leaves no edge."""
+    solved, solver = [], kernel.Solver
+    monkeypatch.setattr(kernel, "Solver", lambda edges, language: solved.append(language) or solver(edges, language))
+    plain = {(1, 2, "n", "n", 0), (2, 3, "n", "n", 0), (3, 2, "n", "n", 0), (3, 3, "n", "n", 0)}
+    for method in kernel.METHODS:
+        assert kernel.over(plain, method) == {(1, 2), (1, 3), (2, 3), (3, 2)} and len(solved) == 1
+        solved.clear()
+    assert kernel.over({(1, 2, "p", "c", 0), (2, 3, "p", "o", 0)}, "all") == set() and len(solved) == 1
+    assert kernel.over(plain, "all", None, True) == set()

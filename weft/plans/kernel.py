@@ -307,6 +307,8 @@ def _refine(edges: set[Edge], method: str, pair: tuple[int, int] | None, valuefl
     if not edges:
         return set()
     plan, now, reached = METHODS[method], edges, []
+    if pair is None and not valueflow and all(e[2] == "n" for e in edges):  # every language takes every path
+        return Solver(edges, plan.alpha).reach()
 
     def step(language: Language) -> bool:
         nonlocal now
@@ -321,7 +323,7 @@ def _refine(edges: set[Edge], method: str, pair: tuple[int, int] | None, valuefl
         return True
 
     for language in (plan.alpha, plan.beta, *([ERASED] if plan.project else [])):
-        if not step(language):
+        if not now or not step(language):  # without edges no pair is left
             return set()
     kept = list(reached)
     if plan.exclude:
