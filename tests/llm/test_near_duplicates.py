@@ -1,6 +1,9 @@
 """Embedding and text near-duplicates against brute force."""
 
 import random
+import threading
+from contextlib import suppress
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -58,6 +61,78 @@ def test_forest_recall_in_many_leaves(spark):
     assert got == dict(enumerate(near.sum(1)))
 
 
+def _workers_mb(spark):
+    """MB held by the largest Python worker of the session."""
+    todo, most = [spark.sparkContext._gateway.proc.pid], 0
+    while todo:
+        pid = todo.pop()
+        with suppress(OSError):
+            todo += [int(x) for f in Path(f"/proc/{pid}/task").glob("*/children") for x in f.read_text().split()]
+            if "pyspark.daemon" in Path(f"/proc/{pid}/cmdline").read_text():
+                most = max(most, int(Path(f"/proc/{pid}/statm").read_text().split()[1]) * 4096 >> 20)
+    return most
+
+
+@pytest.mark.skipif(not Path("/proc/self/task").exists(), reason="memory of the workers is read from /proc")
+def test_forest_holds_a_dense_group(spark):
+    """7,000 distinct vectors that all link: a task's memory doesn't grow with their links."""
+    rng, n = np.random.default_rng(3), 7_000
+    rows = (rng.standard_normal(16) + 0.05 * rng.standard_normal((n, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(rows)], VECTORS)
+    most, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], _workers_mb(spark))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = rp_forest.near_duplicates(df).groupBy("n_links", "component_id").count().collect()
+    finally:
+        over.set()
+        watcher.join()
+    assert [tuple(r) for r in got] == [(n - 1, 0, n)]
+    assert 0 < most[0] < 700
+
+
+def test_forest_deals_a_large_leaf_in_parts(spark):
+    """A group that no direction divides, larger than a task's share: every two of its parts meet."""
+    rng = np.random.default_rng(6)
+    rows = np.concatenate([rng.standard_normal(16) + 0.2 * rng.standard_normal((700, 16)), rng.standard_normal((100, 16))]).astype(np.float32)
+    rows = np.concatenate([rows, rows[:30]])
+    unit = rows.astype(np.float64) / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert rp_forest.Forest(rows.astype(np.float64), 16, 1.0, 8, 0.056, 14, 17).parts.max() > 2
+    got = rp_forest.near_duplicates(spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(rows)], VECTORS), leaf_size=8).collect()
+    assert {r["id"]: r["n_links"] for r in got} == dict(enumerate(near.sum(1)))
+    assert {r["id"]: r["component_id"] for r in got} == _brute(range(len(rows)), zip(*np.nonzero(near), strict=True))
+
+
+@pytest.mark.parametrize("held", [50, 1 << 20])
+def test_forest_counts_each_link_once(monkeypatch, held):
+    """Branch by branch, with few links held at once or all of them."""
+    monkeypatch.setattr(rp_forest, "_HELD", held)
+    monkeypatch.setattr(rp_forest, "_BRANCH", 4)
+    rng = np.random.default_rng(9)
+    rows = np.concatenate([rng.standard_normal((1_500, 24)), rng.standard_normal(24) + 0.25 * rng.standard_normal((400, 24)), np.repeat(rng.standard_normal((40, 24)), 5, axis=0) + 0.2 * rng.standard_normal((200, 24))])
+    unit = rp_forest._unit(rows)
+    forest = rp_forest.Forest(rows, 24, 1.0, 100, 0.5 * 0.2**0.5 / 24**0.5, 10, 1)
+    row, branch = forest.deal(unit)
+    assert len(forest.heads) > 40
+    links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for b in range(len(forest.heads)):
+        own = np.sort(row[branch == b])
+        found, least = rp_forest._links(forest, b, None, np.ones(len(own)), unit[own], 0.9)
+        links[own] += found
+        root = rp_forest._local_roots(len(rows), np.concatenate([own, np.arange(len(rows))]), np.concatenate([own[least], root]))
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert (links == near.sum(1)).all()
+    assert dict(enumerate(root)) == _brute(range(len(rows)), zip(*np.nonzero(near), strict=True))
+
+
 def test_forest_edge_cases(spark):
     inf, nan = float("inf"), float("nan")
     data = [(1, None, None), (2, [], None), (3, [0.0, 0.0], None), (4, [1.0, None], None), (5, [nan, 1.0], None), (6, [inf, 1.0], None), (7, [1.0, 0.0], None), (8, [1.0, 0.0], None), (9, [1.0, 0.0, 0.0], None), (None, [1.0, 0.0], None), (10, [1e30, 1e25], None)]
